@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe_fst, exact_dedup, license_scan, near_dedup, quality_crf, url_filter, winnow
-from newsloom.llm.runtime import shuffle_partitions
+from newsloom.llm import bpe_fst, exact_dedup, katz_lm, license_scan, near_dedup, packing, quality_crf, url_filter, wavelet, winnow
+from newsloom.llm.runtime import shared_folder, shuffle_partitions
 
 #: (verdict, host and path)
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -54,10 +55,20 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_lm.score_documents(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 def op6_bpe_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_fst.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    wavelet.write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return wavelet.read_documents(spark.read.parquet(path))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
@@ -66,8 +77,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_line_crf, op3_winnow, op4_license_scan, op6_bpe_fst, op8_url_filter, op9_exact_dedup)
+    f.__name__: f for f in (op1_near_dedup, op2_line_crf, op3_winnow, op4_license_scan, op5_katz, op6_bpe_fst, op7_wavelet, op8_url_filter, op9_exact_dedup, op10_best_fit)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

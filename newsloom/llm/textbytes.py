@@ -123,9 +123,10 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, rows: slice) -> Words:
+def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, rows: slice, lower: bool = True) -> Words:
     base = int(offsets[0])
-    data = LOWER[data[base : int(offsets[-1])]]
+    data = data[base : int(offsets[-1])]
+    data = LOWER[data] if lower else data
     cut = offsets - base
     inside = table[data]
     edge = np.zeros(len(data) + 1, np.int8)
@@ -142,11 +143,11 @@ def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, rows:
     return Words(rows, data, start, end, np.searchsorted(start, cut))
 
 
-def word_runs(column: pa.Array, table: np.ndarray, run_bytes: int = 1 << 22) -> Iterator[Words]:
+def word_runs(column: pa.Array, table: np.ndarray, run_bytes: int = 1 << 22, lower: bool = True) -> Iterator[Words]:
     """Words of all rows of a column, in runs of about run_bytes (a longer text is a run of its own)."""
     data, offsets = string_buffers(column)
     n, i = len(offsets) - 1, 0
     while i < n:
         j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + run_bytes, "right")) - 1))
-        yield split_words(data, offsets[i : j + 1], table, slice(i, j))
+        yield split_words(data, offsets[i : j + 1], table, slice(i, j), lower)
         i = j
