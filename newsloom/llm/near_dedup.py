@@ -30,7 +30,7 @@ from newsloom.llm.textbytes import mix
 SKETCH_BOUND = 147
 #: Members of a block inside a large band; documents whose sets meet in one confirming group, on average.
 BLOCK = 512
-SET_BLOCK = 256
+SET_BLOCK = 4096
 #: Ids up to this many are broadcast (8 bytes each) to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
