@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = None
+from newsloom.plans import base, pages, texts
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "pages", "texts"]
+QUERIES, ORACLES = base.QUERIES, base.ORACLES
+FLAGSHIP = texts.norm_text
