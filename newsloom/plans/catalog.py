@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from newsloom.plans import base, pages, texts
+from newsloom.plans import base, pages, ranked, texts
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "pages", "texts"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "pages", "ranked", "texts"]
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
-FLAGSHIP = texts.norm_text
+FLAGSHIP = ranked.front_page
