@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _micros(at: Column) -> Column:
+    return F.unix_micros(at.cast("timestamp"))
+
+
 def audit_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """One row per page: digest, bytes, title, kind and named checks, with passed when all checks hold."""
     h = F.col(html)
@@ -58,15 +62,15 @@ def over_quota(calls: DataFrame, budgets: DataFrame, at: str, model: str, tie: s
 
 def gap_violations(calls: DataFrame, at: str, key: str, tie: str, least_seconds: float) -> DataFrame:
     w = Window.partitionBy(key).orderBy(at, tie)
-    gap = F.unix_micros(at) - F.unix_micros(F.lag(at).over(w))
+    gap = _micros(F.col(at)) - _micros(F.lag(at).over(w))
     return calls.withColumn("gap_us", gap).where(F.col("gap_us") < int(least_seconds * 1_000_000))
 
 
 def open_cooldowns(calls: DataFrame, at: str, key: str, tie: str, failed: Column, seconds: Column) -> DataFrame:
     """Calls made while an earlier failure of the key still rested it (an answer in between clears nothing here)."""
-    until = F.when(failed, F.unix_micros(at) + (seconds * 1_000_000).cast("long"))
+    until = F.when(failed, _micros(F.col(at)) + seconds.cast("long") * 1_000_000)
     w = Window.partitionBy(key).orderBy(at, tie).rowsBetween(Window.unboundedPreceding, -1)
-    return calls.withColumn("rests_until", F.max(until).over(w)).where(F.unix_micros(at) < F.col("rests_until"))
+    return calls.withColumn("rests_until", F.max(until).over(w)).where(_micros(F.col(at)) < F.col("rests_until"))
 
 
 def health(attempts: DataFrame, group: str) -> DataFrame:

@@ -15,7 +15,7 @@ FRESH_SECONDS, RESCUE_SECONDS, FUTURE_SECONDS = 1800, 43_200, 300
 
 def freshness(at: Column, now: Column, critical: Column) -> Column:
     """'fresh' up to 30 minutes, 'rescued' up to 12 hours when critical, 'late', 'future' beyond 5 minutes ahead, 'undated'."""
-    age = (F.unix_micros(now) - F.unix_micros(at)) / 1_000_000
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 1_000_000
     return (
         F.when(at.isNull(), "undated").when(age < -FUTURE_SECONDS, "future").when(age <= FRESH_SECONDS, "fresh")
         .when((age <= RESCUE_SECONDS) & critical, "rescued").otherwise("late")
