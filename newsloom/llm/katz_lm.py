@@ -30,7 +30,7 @@ from newsloom.llm.runtime import shared_folder, shuffle_partitions, stored, work
 from newsloom.llm.textbytes import SPACE_WORDS, mix, word_runs
 
 #: Text bytes of a chunk; tokens for which a partition of the tables is planned.
-CHUNK_BYTES, PARTITION_TOKENS = 8 << 20, 2_000_000
+CHUNK_BYTES, PARTITION_TOKENS = 4 << 20, 1_000_000
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 END = np.uint64(0xE17D)  # the hash that stands for the end of a document
