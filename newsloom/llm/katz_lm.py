@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.runtime import shared_folder, shuffle_partitions, stored, workers_import
+from newsloom.llm.runtime import lean, shared_folder, shuffle_partitions, stored, workers_import
 from newsloom.llm.textbytes import SPACE_WORDS, mix, word_runs
 
 #: Text bytes of a chunk; tokens for which a partition of the tables is planned.
@@ -323,7 +323,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_column: str = "doc_id"
     spark = docs.sparkSession
     workers_import(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_column).alias("text"))
-    made = rows.mapInArrow(_chunks, "chunk long, ids array<long>, held array<boolean>, sizes binary, hashes binary, trained binary, codes binary, tokens long")
+    made = rows.mapInArrow(lean(_chunks), "chunk long, ids array<long>, held array<boolean>, sizes binary, hashes binary, trained binary, codes binary, tokens long")
     # bucketed by chunk, so that the joins with answers move only the answers
     name = f"chunks_{uuid.uuid4().hex}"
     made.write.bucketBy(shuffle_partitions(spark), "chunk").format("parquet").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
@@ -332,16 +332,16 @@ def score_documents(docs: DataFrame, held_out: Column, id_column: str = "doc_id"
     parts = max(1, -(-tokens // PARTITION_TOKENS))
     hot = PARTITION_TOKENS // 4
 
-    asks = chunks.select("chunk", "hashes", "trained").mapInArrow(_vocabulary_asks(parts), "part int, chunk long, hashes binary, trained binary")
+    asks = chunks.select("chunk", "hashes", "trained").mapInArrow(lean(_vocabulary_asks(parts)), "part int, chunk long, hashes binary, trained binary")
     words = stored(asks.groupBy("part").applyInArrow(_answer_vocabulary(parts), _REPLY))
     trained, distinct, *occurring = _figures(words)
     unigrams = Unigrams(trained, distinct, occurring)
 
     known = chunks.join(_gathered(words, "known"), "chunk")
-    asks = known.mapInArrow(_bigram_asks(parts, parts, hot), "part int, chunk long, names binary, followers binary, w binary, trained binary, wc binary")
+    asks = known.mapInArrow(lean(_bigram_asks(parts, parts, hot)), "part int, chunk long, names binary, followers binary, w binary, trained binary, wc binary")
     bigrams = stored(asks.groupBy("part").applyInArrow(_answer_bigrams(unigrams), _REPLY))
     d = discounts(_figures(bigrams)[2:])
 
     known = known.join(_gathered(bigrams, "answers"), "chunk", "left")
-    out = known.mapInArrow(_evaluate(parts, parts, hot, unigrams, d), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = known.mapInArrow(lean(_evaluate(parts, parts, hot, unigrams, d)), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_column)

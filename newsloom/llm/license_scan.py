@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.runtime import workers_import
+from newsloom.llm.runtime import lean, workers_import
 from newsloom.llm.textbytes import PLAIN_WORDS, text_hash, word_runs
 
 #: Phrases whose every place counts, and their labels.
@@ -157,5 +157,5 @@ def scan_licenses(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, tem
     workers_import(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(_scan(phrases, templates), f"id {kind}, n_words long, found array<struct<kind: string, label: string, start: long, end: long>>")
+    out = rows.mapInArrow(lean(_scan(phrases, templates)), f"id {kind}, n_words long, found array<struct<kind: string, label: string, start: long, end: long>>")
     return out.withColumnRenamed("id", id_column)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.components import components
-from newsloom.llm.runtime import broadcast_if_small, checkpointed, shuffle_partitions, stored, workers_import
+from newsloom.llm.runtime import broadcast_if_small, checkpointed, lean, shuffle_partitions, stored, workers_import
 from newsloom.llm.shingles import MinHash, shingle_sets
 from newsloom.llm.textbytes import mix
 
@@ -170,7 +170,7 @@ def _confirm(asks: DataFrame, ids: DataFrame, texts: DataFrame, home: Column, si
     """The links (a, b) among packed candidates (u, home, others), decided on the full sets of the documents in ids."""
     ids = checkpointed(ids.distinct())
     wanted = texts.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi").dropDuplicates(["id"])
-    sets = stored(wanted.mapInArrow(_sets(size), "id long, items binary"))
+    sets = stored(wanted.mapInArrow(lean(_sets(size)), "id long, items binary"))
     asks = asks.groupBy("u", "home").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))  # at most a home's documents
     asks = asks.join(sets.select(F.col("id").alias("u"), F.col("items").alias("mine")), "u")
     return asks.groupBy("home").cogroup(sets.withColumn("home", home).groupBy("home")).applyInArrow(_confirm_block(percent), "a long, b long")
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     spark = docs.sparkSession
     workers_import(spark)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    signed = stored(texts.mapInArrow(_signatures(size), "id long, n long, key1 long, key2 long, bands array<long>, sketch array<long>"))
+    signed = stored(texts.mapInArrow(lean(_signatures(size)), "id long, n long, key1 long, key2 long, bands array<long>, sketch array<long>"))
     able = signed.where("n > 0 and id is not null")
     classes = stored(able.groupBy("key1", "key2", "n").agg(F.min(F.struct("id", "bands", "sketch")).alias("x")).select("key1", "key2", "n", F.col("x.id").alias("id"), "x.bands", "x.sketch"))
     links = _links(classes, texts, size, percent)
@@ -228,7 +228,7 @@ def _links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     dealt = inside.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "id", "n", "label", "sketch", "home")
     dealt = dealt.repartition(shuffle_partitions(dealt.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    packed = stored(dealt.mapInArrow(_across(percent), "u long, home long, others array<long>"))
+    packed = stored(dealt.mapInArrow(lean(_across(percent)), "u long, home long, others array<long>"))
     asks = packed.where("u is not null")
     ids = packed.where("u is null").select(F.explode("others").alias("id")).union(asks.select("u"))
     return checkpointed(links.union(_confirm(asks, ids, texts, home, size, percent)))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.runtime import stored, workers_import
+from newsloom.llm.runtime import lean, stored, workers_import
 from newsloom.llm.word_ids import encoded_runs
 
 CAPACITY = 2048
@@ -83,7 +83,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
     workers_import(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_pieces(tokenizer, end_id, capacity), f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_column)
+    return rows.mapInArrow(lean(_pieces(tokenizer, end_id, capacity)), f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_column)
 
 
 def assign(pieces: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id") -> DataFrame:

@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.runtime import workers_import
+from newsloom.llm.runtime import lean, workers_import
 from newsloom.llm.textbytes import SPACE_WORDS, split_words, string_buffers
 
 #: Bounds of the training sample: documents of each label (those of the smallest hashes), and lines of each of them.
 TRAIN_DOCUMENTS, TRAIN_LINES = 1500, 64
 ROUNDS, STEP, RIDGE = 120, 0.15, 1e-3
-RUN_BYTES = 1 << 22
+RUN_BYTES = 1 << 21
 #: The score of a document without a line that has a visible character.
 BLANK_SCORE = 0.0
 
@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         part = named.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCUMENTS)
         chosen = part if chosen is None else chosen.union(part)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "id").select(F.col("id").cast("long").alias("id"), "label", "text")
-    got = rows.mapInArrow(_training_lines, "id long, label int, features binary, size binary").collect()
+    got = rows.mapInArrow(lean(_training_lines), "id long, label int, features binary, size binary").collect()
     got = sorted({r.id: r for r in sorted(got, key=lambda r: (r.id, r.features), reverse=True)}.values(), key=lambda r: r.id)
     features = [np.frombuffer(r.features, np.float32).reshape(-1, FEATURES) for r in got]
     first = np.concatenate([[0], np.cumsum([len(f) for f in features])]).astype(int)
@@ -218,4 +218,4 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], id_column: str = "doc_i
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, len(share)), pa.array(np.where(blank, BLANK_SCORE, value)), pa.array(np.diff(first)), pa.array(share, mask=blank)], names=["id", "score", "n_lines", "good_share"])
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, n_lines long, good_share double").withColumnRenamed("id", id_column)
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, score double, n_lines long, good_share double").withColumnRenamed("id", id_column)

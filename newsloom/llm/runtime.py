@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +74,16 @@ def id_ranges(docs: DataFrame, ranges: int) -> tuple[Column, list[int], int | No
     ends = sorted({int(x) for x in docs.where("id is not null").approxQuantile("id", at, 0.25 / ranges)} - {int(top)}) if at else []
     limits = F.array(*[F.lit(e) for e in ends]).cast("array<bigint>")
     return (F.size(F.filter(limits, lambda e: e < F.col("id"))) if ends else F.lit(0)), ends, int(top)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and then the worker's free memory given back: workers stay for later tasks, and their memory counts as the executor's."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+    return wrapped

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)  # odd, so that it has an inverse modulo 2**64
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_HASH_WINDOW = 1 << 21
+_HASH_WINDOW = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -143,7 +143,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, rows:
     return Words(rows, data, start, end, np.searchsorted(start, cut))
 
 
-def word_runs(column: pa.Array, table: np.ndarray, run_bytes: int = 1 << 22, lower: bool = True) -> Iterator[Words]:
+def word_runs(column: pa.Array, table: np.ndarray, run_bytes: int = 1 << 21, lower: bool = True) -> Iterator[Words]:
     """Words of all rows of a column, in runs of about run_bytes (a longer text is a run of its own)."""
     data, offsets = string_buffers(column)
     n, i = len(offsets) - 1, 0

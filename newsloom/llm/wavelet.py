@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.runtime import broadcast_if_small, id_ranges, workers_import
+from newsloom.llm.runtime import broadcast_if_small, id_ranges, lean, workers_import
 from newsloom.llm.word_ids import encoded_runs
 
 MAGIC, VERSION = b"NLWM", 1
@@ -183,7 +183,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     number, _, _ = id_ranges(rows, ranges)
     nameless = -1 - F.pmod(F.xxhash64("text"), F.lit(ranges))
     placed = rows.select(F.when(F.col("id").isNull(), nameless).otherwise(number).cast("int").alias("shard"), "id", "text")
-    encoded = placed.mapInArrow(_encode(tokenizer, end_id), "shard int, id long, width int, ids binary")
+    encoded = placed.mapInArrow(lean(_encode(tokenizer, end_id)), "shard int, id long, width int, ids binary")
     encoded.groupBy("shard").applyInArrow(_shard, "shard int, n_docs long, n_tokens long, payload binary").write.option("compression", "none").parquet(path)
 
 
@@ -202,7 +202,7 @@ def read_documents(shards: DataFrame, id_column: str = "doc_id") -> DataFrame:
     workers_import(shards.sparkSession)
     sizes = shards.select(F.col("shard").alias("number"), "n_tokens")  # one narrow row a shard
     before = sizes.select("number", F.coalesce(F.sum("n_tokens").over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rows = shards.select("shard", "payload").mapInArrow(_read, "shard int, id long, inside long, n_tokens long, crc long")
+    rows = shards.select("shard", "payload").mapInArrow(lean(_read), "shard int, id long, inside long, n_tokens long, crc long")
     rows = rows.join(broadcast_if_small(before, BROADCAST_SHARDS), F.col("shard") == F.col("number"))
     return rows.select(F.col("id").alias(id_column), (F.col("before") + F.col("inside")).alias("start"), "n_tokens", F.col("crc").alias("ids_crc32"))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from newsloom.llm.textbytes import SPACE_WORDS, Words, word_runs
 
 #: Words a worker remembers; the table is emptied when it is full.
-MOST_WORDS = 600_000
+MOST_WORDS = 250_000
 
 
 class WordEncoder:
@@ -30,7 +30,7 @@ class WordEncoder:
 
     def _reset(self) -> None:
         self.known: dict[int, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
+        self.ids = np.zeros(1 << 19, np.uint32)
         self.start = np.zeros(1 << 18, np.int64)
         self.used = 0
 
