@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ import pyarrow as pa
 from newsloom.llm.textbytes import SPACE_WORDS, Words, word_runs
 
 #: Words a worker remembers; the table is emptied when it is full.
-MOST_WORDS = 250_000
+MOST_WORDS = 1_500_000
 
 
 class WordEncoder:
@@ -29,38 +30,39 @@ class WordEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids = np.zeros(1 << 19, np.uint32)
-        self.start = np.zeros(1 << 18, np.int64)
-        self.used = 0
+        # about 30 bytes a word: sorted hashes with the words' numbers; the ids of word k are ids[start[k]:start[k + 1]]
+        self.hashes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.start = np.zeros(1 << 19, np.uint32), np.zeros(1 << 17, np.int64)
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        n, total = len(self.known), int(sizes.sum())
-        while self.used + total > len(self.ids):
+        n, used = len(self.hashes), int(self.start[len(self.hashes)])
+        total = int(sizes.sum())
+        while used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + len(words) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        self.ids[self.used : self.used + total] = np.fromiter((i for e in encoded for i in e), np.uint32, total)
-        self.start[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(sizes)
-        self.known.update(zip(hashes, range(n, n + len(words)), strict=True))
-        self.used += total
+        self.ids[used : used + total] = np.fromiter(chain.from_iterable(encoded), np.uint32, total)
+        self.start[n + 1 : n + 1 + len(words)] = used + np.cumsum(sizes)
 
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): document d of the run has ids[first[d]:first[d + 1]]."""
-        if len(self.known) > MOST_WORDS:
+        if len(self.hashes) > MOST_WORDS:
             self._reset()
         hashes, where, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        place = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
-        new = np.flatnonzero(place < 0)
+        at = np.searchsorted(self.hashes, hashes)
+        inside = at < len(self.hashes)
+        number = np.full(len(hashes), -1)
+        same = self.hashes[at[inside]] == hashes[inside]
+        number[inside] = np.where(same, self.number[at[inside]], -1)
+        new = np.flatnonzero(number < 0)
         if len(new):
-            data = words.data.tobytes()
-            at = where[new]
-            self._learn([keys[i] for i in new.tolist()], [data[a:b].decode() for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)])
-            place[new] = np.arange(len(self.known) - len(new), len(self.known))
-        begin, size = self.start[place], self.start[place + 1] - self.start[place]
+            data, here = words.data.tobytes(), where[new]
+            self._learn([data[a:b].decode() for a, b in zip(words.start[here].tolist(), words.end[here].tolist(), strict=True)])
+            number[new] = np.arange(len(self.hashes), len(self.hashes) + len(new))
+            self.hashes, self.number = np.insert(self.hashes, at[new], hashes[new]), np.insert(self.number, at[new], number[new].astype(np.int32))
+        begin, size = self.start[number], self.start[number + 1] - self.start[number]
         size_each = size[back]
         end = np.cumsum(size_each)
         index = np.repeat(begin[back] - (end - size_each), size_each) + np.arange(int(end[-1]) if len(end) else 0)
