@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from newsloom.plans import base, judging, pages, ranked, streams, texts
+from newsloom.plans import base, edited, judging, pages, ranked, streams, texts
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "judging", "pages", "ranked", "streams", "texts"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "edited", "judging", "pages", "ranked", "streams", "texts"]
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
 FLAGSHIP = ranked.front_page
