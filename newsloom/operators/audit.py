@@ -97,3 +97,12 @@ def reclassified(attempts: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
     rows = attempts.join(why, key, "left")
     explained = (F.col("result") == "failed") & F.col("block_reason").isNotNull()
     return rows.withColumn("reason", F.when(explained, F.col("block_reason")).otherwise(F.col("reason"))).withColumn("result", F.when(explained, "editorial_blocked").otherwise(F.col("result"))).drop("block_reason")
+
+
+def run_metrics(attempts: DataFrame, feeds: DataFrame, run_id: str, started: Column) -> DataFrame:
+    """One row for a run: counts by outcome, reasons by number, feeds without candidates."""
+    reasons = attempts.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+    listed = reasons.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "n")))).alias("rejections"))
+    done = attempts.agg(F.count("*").alias("attempts"), *[F.count_if(F.col("result") == k).alias(k) for k in ("published", "failed", "blocked", "ambiguous")])
+    fed = feeds.agg(F.count("*").alias("feeds"), F.count_if(F.col("candidates") == 0).alias("empty_feeds"))
+    return done.crossJoin(fed).crossJoin(listed).select(F.lit(run_id).alias("run_id"), started.alias("started_at"), "*")  # one row each

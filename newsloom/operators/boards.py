@@ -114,3 +114,35 @@ def longest_alias(rows: DataFrame, aliases: DataFrame, name: str, id_column: str
     """Each row's target by the longest alias (alias, target) that its lower-cased name holds; the table of aliases is small."""
     met = rows.join(F.broadcast(aliases), F.lower(name).contains(F.col("alias")))
     return met.withColumn("_n", F.row_number().over(Window.partitionBy(id_column).orderBy(F.desc(F.length("alias")), "alias"))).where("_n = 1").drop("_n")
+
+
+def complete_prices(rows: DataFrame, required: Sequence[str], least: int = 5, id_column: str = "page_id") -> DataFrame:
+    """rows of pages whose table has every required symbol and enough prices; a page that lacks some is an error that names it."""
+    have = rows.groupBy(id_column).agg(F.collect_set("symbol").alias("have"), F.count_if(is_price(F.col("cells"))).alias("prices"))
+    lacking = F.array_except(F.array(*[F.lit(s) for s in required]).cast("array<string>"), F.col("have"))
+    bad = (F.size(lacking) > 0) | (F.col("prices") < least)
+    checked = have.where(F.when(bad, F.raise_error(F.concat(F.lit("incomplete price table; missing: "), F.array_join(lacking, ",")))).isNull())
+    return rows.join(checked.select(id_column), id_column, "left_semi")
+
+
+def shown_matches(matches: DataFrame, shown: DataFrame) -> DataFrame:
+    """Matches that a board showed: the same sides and start."""
+    return matches.join(shown.select("hostName", "guestName", "scheduledStartOn").distinct(), ["hostName", "guestName", "scheduledStartOn"], "left_semi")
+
+
+def final_results(board: DataFrame, results: DataFrame, finished: int = 7) -> DataFrame:
+    """Board rows with their result, when it is final and both scores are known; sport 3 counts points, others goals."""
+    score = lambda side: F.when(F.col("sport") == 3, F.col(f"points.{side}")).otherwise(F.col(f"goals.{side}"))
+    pens = (F.coalesce("penalties.host", F.lit(0)) > 0) | (F.coalesce("penalties.guest", F.lit(0)) > 0)
+    both = F.col("penalties.host").isNotNull() & F.col("penalties.guest").isNotNull() & pens
+    r = results.where(F.col("status") == finished).select("id", "goals", "points", "penalties")
+    rows = board.join(r, "id").select("id", "hostName", "guestName", score("host").alias("host"), score("guest").alias("guest"), F.when(both, F.col("penalties")).alias("penalties"))
+    return rows.where("host is not null and guest is not null")
+
+
+def caption_items(rows: DataFrame, group: str, own: str, score: str, start: str, first_own: int = 4, first_other: int = 6) -> DataFrame:
+    """The rows that a caption names (some of the own side's, some others) with how many more there are."""
+    w = Window.partitionBy(group, own)
+    rows = rows.withColumn("place", F.row_number().over(w.orderBy(F.desc(score), start))).withColumn("all", F.count("*").over(w))
+    limit = F.when(F.col(own), first_own).otherwise(first_other)
+    return rows.withColumn("more", F.greatest(F.col("all") - limit, F.lit(0))).where(F.col("place") <= limit).drop("all")

@@ -73,3 +73,18 @@ def registered(rows: DataFrame, registry: DataFrame, links: Sequence[str], title
     out = out.withColumn("_k", F.lower(F.trim(title))).join(broadcast_if_small(by_title), F.col("_k") == F.col("t"), "left")
     hit = F.col("_hit") | F.coalesce("_t", F.lit(False))
     return out.withColumn("status", F.when(hit, "skipped_duplicate").otherwise("new")).drop("_k", "t", "_t", "_hit")
+
+
+def send_log(calls: DataFrame, limit: int = 4096) -> DataFrame:
+    """Outbound attempts (t, method, chat, text, response) as log rows; a text that is cut says how long it was."""
+    size, text = F.length("text"), F.substring("text", 1, limit)
+    return calls.select(
+        "t", "method", "chat", size.alias("len"), text.alias("text"), F.get_json_object("response", "$.ok").try_cast("boolean").alias("ok"), F.get_json_object("response", "$.result.message_id").try_cast("long").alias("message_id"),
+        F.get_json_object("response", "$.description").alias("error"), F.when(size > limit, size).alias("trimmed_from"),
+    )
+
+
+def without_raw(rows: DataFrame, statuses: Sequence[str], asof: Column, hold: str = "INTERVAL 20 MINUTES") -> tuple[DataFrame, DataFrame]:
+    """(rows that may go out, blocks): texts that no model rewrote are held back for a while."""
+    raw = F.coalesce(F.col("status").isin(*statuses), F.lit(False))
+    return rows.where(~raw), rows.where(raw).select("title", asof.alias("at"), (asof + F.expr(hold)).alias("until"), F.lit("raw_text").alias("reason"))

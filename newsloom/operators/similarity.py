@@ -98,3 +98,16 @@ def newest_earlier(left: DataFrame, right: DataFrame, key: str, window: str) ->
     r = right.select(F.col(key).alias("r_key"), F.col("t").alias("r_t"), F.col("id").alias("r_id"))
     met = left.join(r, (F.col(key) == F.col("r_key")) & (F.col("r_t") < F.col("t")) & (F.col("r_t") >= F.col("t") - F.expr(window)), "left")
     return met.groupBy("id", key, "t").agg(F.max(F.struct("r_t", "r_id")).alias("m")).select("id", key, "t", F.col("m.r_id").alias("match_id"), F.col("m.r_t").alias("match_t"))
+
+
+def anchored(rows: DataFrame, common_keys: list[str], speaker_within: str = "INTERVAL 2 HOURS") -> DataFrame:
+    """Pairs (a later, b earlier) of rows (id, t, keys, numbers, speaker): a shared distinctive number and two uncommon keys,
+    or the same speaker within two hours and three uncommon keys. Rows meet by number or by speaker, never all with all."""
+    usual = F.array(*[F.lit(k) for k in common_keys]).cast("array<string>")
+    rare = rows.withColumn("keys", F.array_except("keys", usual))
+    side = lambda p: rare.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "t", "keys", "numbers", "speaker")])
+    a, b = side("a"), side("b")
+    earlier, both = F.col("b_t") < F.col("a_t"), F.size(F.array_intersect("a_keys", "b_keys"))
+    number = a.withColumn("n", F.explode("a_numbers")).join(b.withColumn("n", F.explode("b_numbers")), "n").where(earlier & (both >= 2)).select("a_id", "b_id")
+    said = a.join(b, F.col("a_speaker") == F.col("b_speaker")).where(earlier & (F.col("b_t") >= F.col("a_t") - F.expr(speaker_within)) & (both >= 3)).select("a_id", "b_id")
+    return number.union(said).distinct().select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,3 +75,21 @@ def canonical_status(label: Column) -> Column:
 def outcome(ok: Column) -> Column:
     """true: published; false: failed (may be tried again); null: ambiguous (never tried again)."""
     return F.when(ok.isNull(), "ambiguous").when(ok, "published").otherwise("failed")
+
+
+def judged_in_batches(stories: DataFrame, judge: Callable[[list[str]], list[dict | None]], size: int = 8) -> DataFrame:
+    """(id, score, happened, scope) from a judge that sees so many titles at a time; a story it gives nothing for has nulls.
+
+    The judge runs in the tasks that hold the stories; one that answers with another number of verdicts gets none accepted.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), size):
+                part = pdf.iloc[k : k + size]
+                given = judge(part["title"].tolist())
+                given = given if len(given) == len(part) else [None] * len(part)
+                rows = [v or {} for v in given]
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "score": pd.array([r.get("score") for r in rows], "Int32"), "happened": pd.array([r.get("happened") for r in rows], "boolean"), "scope": [r.get("scope") for r in rows]})
+
+    return stories.select("id", "title").mapInPandas(run, f"id {dict(stories.dtypes)['id']}, score int, happened boolean, scope string")
