@@ -57,7 +57,9 @@ def host_suffixes(url_host: Column) -> Column:
 
 
 def suffix(url: Column) -> Column:
-    return F.lower(F.regexp_extract(path(url), r"\.([A-Za-z0-9]{1,5})$", 1))
+    """The file name's ending; a link without a host is all path."""
+    place = F.when(url.rlike("^([A-Za-z][A-Za-z0-9+.-]*:)?//"), path(url)).otherwise(F.regexp_replace(url, "[?#].*$", ""))
+    return F.lower(F.regexp_extract(place, r"\.([A-Za-z0-9]{1,5})$", 1))
 
 
 def kinds(url: Column) -> Column:
