@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.components import components
 from newsloom.llm.runtime import broadcast_if_small, checkpointed, lean, shuffle_partitions, stored, workers_import
 from newsloom.llm.shingles import MinHash, shingle_sets
 from newsloom.llm.textbytes import mix
+from newsloom.operators.components import components
 
 #: Bits in which the sketches of two sets of similarity 0.75 may differ: mean 98 and five standard deviations of 9.7.
 SKETCH_BOUND = 147
@@ -203,6 +203,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def _links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges (a, b) that join the classes to the components of all confirmed links."""
     members = classes.select("id", F.explode("bands").alias("key"))
     shared = checkpointed(members.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("least")).where("m > 1"))
     members = checkpointed(members.join(shared, "key"))
@@ -231,4 +232,6 @@ def _links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     packed = stored(dealt.mapInArrow(lean(_across(percent)), "u long, home long, others array<long>"))
     asks = packed.where("u is not null")
     ids = packed.where("u is null").select(F.explode("others").alias("id")).union(asks.select("u"))
-    return checkpointed(links.union(_confirm(asks, ids, texts, home, size, percent)))
+    # what is linked already enters the last search for components as stars
+    stars = label.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return checkpointed(stars.union(_confirm(asks, ids, texts, home, size, percent)))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -13,6 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.runtime import broadcast_if_small, checkpointed, shared_folder
+
+__all__ = ["broadcast_if_small", "checkpointed", "id_ranges", "lean", "lower_ascii", "shared_folder", "shuffle_partitions", "stored", "workers_import"]
+
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -24,21 +27,6 @@ def workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, have) if x)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests on one machine), a new temporary folder is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return named or sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and cut from its lineage; for narrow tables."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df, written as Parquet in the shared folder and read back: later reads take only the columns they need."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
@@ -50,11 +38,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
-    """Hints a broadcast only when a count shows that df has at most most_rows rows; otherwise Spark joins by shuffle."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
-
-
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is. Texts without other characters take the fast way."""
     plain = F.octet_length(text) == F.char_length(text)
