@@ -169,7 +169,7 @@ def _confirm_block(percent: int):
 def _confirm(asks: DataFrame, ids: DataFrame, texts: DataFrame, home: Column, size: int, percent: int) -> DataFrame:
     """The links (a, b) among packed candidates (u, home, others), decided on the full sets of the documents in ids."""
     ids = checkpointed(ids.distinct())
-    wanted = texts.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi").dropDuplicates(["id"])
+    wanted = texts.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     sets = stored(wanted.mapInArrow(lean(_sets(size)), "id long, items binary"))
     asks = asks.groupBy("u", "home").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))  # at most a home's documents
     asks = asks.join(sets.select(F.col("id").alias("u"), F.col("items").alias("mine")), "u")
@@ -182,8 +182,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of distinct size-word shingles (words are
     runs of non-white space, A-Z lower-cased; a text of fewer words is one shingle). component_id is the smallest id that links
     reach, and the document of that id is kept. A null or empty text has the empty set and is linked with nothing, not even its
-    like. A row with a null id takes no part in links: component_id null, kept. Repeated ids are rows of one document as far as
-    links go; each row is returned. Other columns are not read, whatever their names. An empty table gives no rows.
+    like. A row with a null id takes no part in links: component_id null, kept. Rows that repeat an id are one document, whose
+    links are decided on its smallest text; each row is returned. Other columns are not read, whatever their names. An empty table gives no rows.
     """
     spark = docs.sparkSession
     workers_import(spark)
