@@ -1,6 +1,6 @@
 """Token-id files: one wavelet matrix per shard.
 
-A shard holds the documents of one range of ids. Its payload is a header, the documents' ids and ends, and one bit-plane per
+A shard holds documents that follow one another by id. Its payload is a header, the documents' ids and ends, and one bit-plane per
 bit of the largest token id. Plane by plane, from the highest bit, the tokens are parted stably into those with bit 0 and those
 with bit 1; a plane keeps the bits in the order before its parting, with a count of ones before every block. From these any
 token can be read, its occurrences before a position counted, and its k-th occurrence found. Sections are compressed by zstd.
@@ -15,15 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.runtime import broadcast_if_small, id_ranges, lean, workers_import
+from newsloom.llm.runtime import broadcast_if_small, lean, workers_import
 from newsloom.llm.word_ids import encoded_runs
 
 MAGIC, VERSION = b"NLWM", 1
-#: Text bytes for which a shard is planned, and bits of a plane between two stored counts.
-SHARD_BYTES, BLOCK_BITS = 16 << 20, 512
+#: Tokens that close a shard, and bits of a plane between two stored counts.
+SHARD_TOKENS, BLOCK_BITS = 4_000_000, 512
 #: The id that a row without one has in the file.
 NO_ID = -(1 << 63)
 BROADCAST_SHARDS = 200_000
@@ -143,66 +144,68 @@ def open_shard(payload: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return ids, ends, WaveletMatrix(n_tokens, [np.frombuffer(p, np.uint8) for p in parts[3 : 3 + planes]], zeros.tolist(), [np.frombuffer(p, "<u4") for p in parts[3 + planes :]])
 
 
-def _encode(path: str, end_id: int):
+def _shards(path: str, end_id: int, shard_tokens: int):
+    """Documents in their order to shards: a shard is closed when it holds enough tokens. Part and place number it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, ids, first in encoded_runs(batch.column(2), path):
-                ids = np.insert(ids, first[1:], end_id).astype("<u4")
-                cut = (first + np.arange(len(first))) * 4
-                wide = ids.max(initial=0) >= 1 << 16
-                data = ids.tobytes() if wide else ids.astype("<u2").tobytes()
-                offsets = cut if wide else cut // 2
-                n = rows.stop - rows.start
-                column = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, n), batch.column(1).slice(rows.start, n), pa.array(np.full(n, 4 if wide else 2, np.int32)), column], names=["shard", "id", "width", "ids"])
+        part, place = TaskContext.get().partitionId(), 0
+        ids: list[int] = []
+        rows: list[np.ndarray] = []
+        held = 0
 
-    return run
+        def closed() -> pa.RecordBatch:
+            tokens, names = np.concatenate(rows), np.array(ids, np.int64)
+            payload = pack_shard(names, np.cumsum([len(r) for r in rows]), tokens)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([payload], pa.binary())], names=["part", "place", "n_docs", "n_tokens", "payload"])
 
+        for batch in batches:
+            for run_rows, tokens, first in encoded_runs(batch.column(1), path):
+                names = batch.column(0).slice(run_rows.start, len(first) - 1).to_pylist()
+                for name, a, b in zip(names, first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    ids.append(NO_ID if name is None else name)
+                    rows.append(np.append(tokens[a:b], np.uint32(end_id)))
+                    held += b - a + 1
+                    if held >= shard_tokens:
+                        yield closed()
+                        ids, rows, held, place = [], [], 0, place + 1
+        if rows:
+            yield closed()
 
-def _shard(group: pa.Table) -> pa.Table:
-    ids = np.array([NO_ID if i is None else i for i in group.column("id").to_pylist()], np.int64)
-    rows = [np.frombuffer(x.as_buffer(), "<u4" if w == 4 else "<u2") for x, w in zip(group.column("ids"), group.column("width").to_pylist(), strict=True)]
-    order = sorted(range(len(rows)), key=lambda k: (ids[k], zlib.crc32(rows[k].tobytes()))) if len(np.unique(ids)) < len(ids) else np.argsort(ids).tolist()
-    rows = [rows[k] for k in order]
-    tokens = np.concatenate(rows)
-    payload = pack_shard(ids[order], np.cumsum([len(r) for r in rows]), tokens)
-    return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "n_docs": pa.array([len(rows)], pa.int64()), "n_tokens": pa.array([len(tokens)], pa.int64()), "payload": pa.array([payload], pa.binary())})
+    return run
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_column: str = "doc_id", text_column: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
-    """Writes the shards (shard, n_docs, n_tokens, payload) of all documents as a Parquet table at path.
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_column: str = "doc_id", text_column: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
+    """Writes the shards (part, place, n_docs, n_tokens, payload) of all documents as a Parquet table at path.
 
-    Shard numbers ascend with the ids; inside, documents ascend by id. Each document's ids are followed by end_id, so a null or
-    empty text is one token. Rows without an id come first, under NO_ID. Repeated ids are kept as rows of their own, ordered by
-    checksum. An empty table gives no shards.
+    Rows are range-partitioned by id, and by a hash of the text so that no id, and no missing one, is a hot range; (part, place)
+    ascends with them. Each document's ids are followed by end_id, so a null or empty text is one token. Rows without an id come
+    first, under NO_ID. Repeated ids are kept as rows of their own, in the order of the hash. An empty table gives no shards.
     """
     workers_import(docs.sparkSession)
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, -(-total // shard_bytes))
-    number, _, _ = id_ranges(rows, ranges)
-    nameless = -1 - F.pmod(F.xxhash64("text"), F.lit(ranges))
-    placed = rows.select(F.when(F.col("id").isNull(), nameless).otherwise(number).cast("int").alias("shard"), "id", "text")
-    encoded = placed.mapInArrow(lean(_encode(tokenizer, end_id)), "shard int, id long, width int, ids binary")
-    encoded.groupBy("shard").applyInArrow(_shard, "shard int, n_docs long, n_tokens long, payload binary").write.option("compression", "none").parquet(path)
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
+    shards = ordered.mapInArrow(lean(_shards(tokenizer, end_id, shard_tokens)), "part int, place int, n_docs long, n_tokens long, payload binary")
+    shards.write.option("compression", "none").parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for number, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for part, place, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             ids, ends, matrix = open_shard(payload.as_py())
             tokens = matrix.tokens().astype("<u4")
             starts = np.concatenate([[0], ends[:-1]])
             crc = [zlib.crc32(tokens[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), number, np.int32)), pa.array(ids, mask=ids == NO_ID), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["shard", "id", "inside", "n_tokens", "crc"])
+            number = [pa.array(np.full(len(ids), x, np.int32)) for x in (part, place)]
+            yield pa.RecordBatch.from_arrays([*number, pa.array(ids, mask=ids == NO_ID), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["part", "place", "id", "inside", "n_tokens", "crc"])
 
 
 def read_documents(shards: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """One row per document in the shards: id, start (tokens of all documents before it), n_tokens, ids_crc32."""
     workers_import(shards.sparkSession)
-    sizes = shards.select(F.col("shard").alias("number"), "n_tokens")  # one narrow row a shard
-    before = sizes.select("number", F.coalesce(F.sum("n_tokens").over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rows = shards.select("shard", "payload").mapInArrow(lean(_read), "shard int, id long, inside long, n_tokens long, crc long")
-    rows = rows.join(broadcast_if_small(before, BROADCAST_SHARDS), F.col("shard") == F.col("number"))
+    sizes = shards.select("part", "place", "n_tokens")
+    earlier = lambda w, of: F.coalesce(F.sum(of).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("all")).select("part", earlier(Window.orderBy("part"), "all").alias("base"))  # one row a partition of the writer
+    before = sizes.withColumn("inner", earlier(Window.partitionBy("part").orderBy("place"), "n_tokens")).join(parts, "part").select("part", "place", (F.col("base") + F.col("inner")).alias("before"))
+    rows = shards.select("part", "place", "payload").mapInArrow(lean(_read), "part int, place int, id long, inside long, n_tokens long, crc long")
+    rows = rows.join(broadcast_if_small(before, BROADCAST_SHARDS), ["part", "place"])
     return rows.select(F.col("id").alias(id_column), (F.col("before") + F.col("inside")).alias("start"), "n_tokens", F.col("crc").alias("ids_crc32"))
-

@@ -100,7 +100,7 @@ def test_wavelet_matrix(values, token):
 def test_token_files(spark):
     data = rows()
     path = f"{shared_folder(spark)}/files"
-    wavelet.write_shards(frame(spark), path, WORDS, 2, shard_bytes=2_000)
+    wavelet.write_shards(frame(spark), path, WORDS, 2, shard_tokens=900)
     got = sorted(wavelet.read_documents(spark.read.parquet(path)).collect(), key=lambda r: r.start)
     assert len(got) == len(data) and spark.read.parquet(path).count() > 3
     at, text = 0, {r[0]: r[1] or "" for r in data}
