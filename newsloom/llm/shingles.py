@@ -11,8 +11,10 @@ from newsloom.llm.textbytes import SPACE_WORDS, mix, word_runs
 
 
 def _combine(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every n consecutive words (of all words, document borders are the caller's business)."""
-    out = np.full(max(0, len(words) - n + 1), np.uint64(n), np.uint64)
+    """Hash of every n consecutive words (of all words, document borders are the caller's business); none of fewer words."""
+    if len(words) < n:
+        return np.empty(0, np.uint64)
+    out = np.full(len(words) - n + 1, np.uint64(n), np.uint64)
     with np.errstate(over="ignore"):
         for i in range(n):
             out *= np.uint64(0x9FB21C651E98DF25)

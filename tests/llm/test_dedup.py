@@ -7,11 +7,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from newsloom.llm import near_dedup, winnow
 from newsloom.llm.exact_dedup import exact_duplicates
-from newsloom.llm.shingles import MinHash
+from newsloom.llm.shingles import MinHash, shingle_sets
 from tests.llm.fixtures import frame, low, no_rows, rows
 
 
@@ -67,6 +68,22 @@ def test_near_duplicates_nulls_and_no_rows(spark):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in got) == [(0, 2, 0, True), (2, 0, 2, True), (4, 2, 4, True), (9, 0, 9, True)]
 
 
+def test_shingle_sets_of_runs_of_few_words():
+    """A run is one batch of rows or less: batches of one short text, and a short text between two that are runs of their own."""
+    few = [" ".join("abcdef"[:k]) for k in range(7)]
+    long = " ".join(f"w{i}" for i in range(400_000))
+    for texts in [*([t] for t in few), [long, few[3], long], [few[1], few[2]]]:
+        found = [int(n) for _, _, first in shingle_sets(pa.array(texts)) for n in np.diff(first)]
+        assert found == [len(shingles(t)) for t in texts]
+
+
+@pytest.mark.parametrize("n", range(7))
+def test_near_duplicates_one_row_a_partition(spark, n):
+    data = [(k, " ".join("abcdef"[:n]), *rows()[0][2:]) for k in range(2)]
+    got = near_dedup.near_duplicates(frame(spark, data).repartitionByRange(2, "doc_id")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.kept) for r in got) == [(0, len(shingles(data[0][1])), True), (1, len(shingles(data[1][1])), n == 0)]
+
+
 def test_odd_sketch_bound():
     rng = np.random.default_rng(4)
     hashing, worst = MinHash(), 0
