@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,28 +125,61 @@ def on_topic(title: Column, sentences: Column, lead_keys: int = 2, least_title_k
     return let(keys_of(title), choose)
 
 
-def _fold(sentences: Column, keep: Callable[[Column, Column], Column]) -> Column:
-    """Sentences kept one after another: keep(kept so far, sentence)."""
-    return F.aggregate(sentences, F.array().cast("array<string>"), lambda acc, s: F.when(keep(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
+def _chosen(sentences: Column, kept: Column) -> Column:
+    pairs = F.zip_with(sentences, kept, lambda s, k: F.struct(s.alias("s"), k.alias("k")))
+    return F.transform(F.filter(pairs, lambda x: x.k), lambda x: x.s)
 
 
 def without_near_copies(sentences: Column, share: float = 0.8) -> Column:
-    """A sentence is dropped when so much of its words is in one kept before it."""
-    words = lambda s: F.array_distinct(words_of(F.lower(s)))
-    copied = lambda acc, s: F.exists(acc, lambda k: common(words(s), words(k)) >= share * F.size(words(s)))
-    return _fold(sentences, lambda acc, s: (F.size(words(s)) > 0) & ~copied(acc, s))
+    """A sentence is dropped when so much (above 0) of its words is in one kept before it."""
+
+    @F.arrow_udf("array<boolean>")
+    def kept(column: pa.Array) -> pa.Array:
+        return pa.array([None if x.as_py() is None else _unlike(x.as_py(), share) for x in column], pa.list_(pa.bool_()))
+
+    return _chosen(sentences, kept(F.transform(sentences, lambda s: F.array_distinct(words_of(F.lower(s))))))
+
+
+def _unlike(sentences: list[list[str]], share: float) -> list[bool]:
+    """Of n words c must be shared, so a copy's original holds one of any n - c + 1 of them: those in the fewest kept sentences."""
+    kept = [False] * len(sentences)
+    holders: dict[str, list[int]] = {}
+    for i, words in enumerate(sentences):
+        if not words:
+            continue
+        own, least = set(words), share * len(words)
+        probes = sorted((holders.get(w, []) for w in words), key=len)[: max(0, len(words) - math.ceil(least) + 1)]
+        if any(len(own.intersection(sentences[k])) >= least for k in set().union(*probes)):
+            continue
+        kept[i] = True
+        for w in words:
+            holders.setdefault(w, []).append(i)
+    return kept
 
 
 def without_redundant(title: Column, sentences: Column, fillers: Sequence[str] = (r"(?i)^(more details|further details|this story is)",)) -> Column:
     """After the lead, fillers go, and details that add no number and at most one key to what was said."""
     numbers = lambda s: F.regexp_extract_all(s, F.lit(r"[0-9]+"), F.lit(0))
-
-    def news(acc: Column, s: Column) -> Column:
-        said = F.concat_ws(" ", title, F.array_join(acc, " "))
-        adds = (F.size(F.array_except(numbers(s), numbers(said))) > 0) | (F.size(F.array_except(keys_of(s), keys_of(said))) > 1)
-        return (F.size(acc) == 0) | (adds & ~s.rlike("|".join(fillers)))
-
-    return _fold(sentences, news)
+    said = lambda s: F.struct(keys_of(s).alias("keys"), numbers(s).alias("numbers"))
+
+    @F.arrow_udf("array<boolean>")
+    def kept(head: pa.Array, column: pa.Array) -> pa.Array:
+        return pa.array([None if x.as_py() is None else _news(t.as_py(), x.as_py()) for t, x in zip(head, column, strict=True)], pa.list_(pa.bool_()))
+
+    details = F.transform(sentences, lambda s: F.struct(said(s).alias("said"), s.rlike("|".join(fillers)).alias("filler")))
+    return _chosen(sentences, kept(said(F.coalesce(title, F.lit(""))), details))
+
+
+def _news(title: dict, details: list[dict]) -> list[bool]:
+    keys, numbers = set(title["keys"]), set(title["numbers"])
+    kept: list[bool] = []
+    for x in details:
+        new_keys, new_numbers = set(x["said"]["keys"] or ()) - keys, set(x["said"]["numbers"] or ()) - numbers
+        kept.append(not kept or bool(new_numbers or len(new_keys) > 1) and not x["filler"])
+        if kept[-1]:
+            keys |= new_keys
+            numbers |= new_numbers
+    return kept
 
 
 def best_lead(title: Column, sentences: Column, first: int = 3) -> Column:

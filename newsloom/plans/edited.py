@@ -56,8 +56,7 @@ def on_topic_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def redundant_lines(spark: SparkSession, sf: str) -> DataFrame:
-    rows = drafts(spark, sf).select("doc_id", F.slice("s", 1, 40).alias("head"), "title")  # a post is made of the first sentences
-    return rows.select("doc_id", F.size(E.without_redundant(F.col("title"), F.col("head"))).alias("news"), F.size(E.without_near_copies(F.col("head"))).alias("unlike"))
+    return drafts(spark, sf).select("doc_id", F.size(E.without_redundant(F.col("title"), F.col("s"))).alias("news"), F.size(E.without_near_copies(F.col("s"))).alias("unlike"))
 
 
 @query()

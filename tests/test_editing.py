@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import editing as E
 from newsloom.operators import gates as G
+from newsloom.plans.edited import redundant_lines
 
 
 def cases(seed=4, n=60):
@@ -74,6 +75,14 @@ def test_redundant(table):
     assert result(table, E.without_redundant(F.col("title"), F.col("s"))) == {i: plain(t, s) for i, t, s in cases()}
 
 
+def test_redundant_lines_of_long_texts(spark, tmp_path):
+    """The query counts sentences to a text's end; a copy far behind its original is found."""
+    news = [f"Story{'abcdefgh'[i % 8] * (1 + i // 8)} {i} names item{i} and place{i}." for i in range(60)]
+    spark.createDataFrame([(0, "Headline.\n" + " ".join(news + news[50:])), (1, "Headline.\n" + " ".join(news[:3] * 30 + news[3:])), (2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.news, r.unlike) for r in redundant_lines(spark, str(tmp_path)).collect()}
+    assert (got[0], got[1], got[3]) == ((61, 61), (61, 61), (0, 0))
+
+
 def test_best_lead(table):
     def plain(title, s):
         n = [common(keys(x), keys(title)) for x in s[:4]]
