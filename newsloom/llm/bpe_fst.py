@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from newsloom.llm.runtime import lean, workers_import
 
 #: Bounds of a worker's tables; a full table is emptied and filled anew.
-MOST_STATES, MOST_PIECES, MOST_PAIRS = 100_000, 700_000, 500_000
-#: States behind this many unemitted bytes are not remembered: they hardly come again.
+MOST_MOVES, MOST_PIECES, MOST_PAIRS = 300_000, 400_000, 300_000
+#: Longer pieces are not remembered: they hardly come again.
 REMEMBERED = 48
 
 
@@ -26,13 +26,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Reads the bytes of one piece and emits its BPE tokens.
+    """Reads the bytes of a piece and emits its BPE tokens as soon as no continuation can change them.
 
     BPE has this property: a row of tokens is the encoding of their bytes exactly if each neighbouring pair is the encoding of
-    its own bytes. So each prefix of a piece has one last token: the one that forms such a pair with the last token of the
-    prefix before it. A state is the bytes not yet emitted with the last token of each of their prefixes, and the token emitted
-    before them. A token is emitted as soon as every encoding of a longer piece has it, at most two longest tokens later.
-    States and moves are made when they are first met.
+    its own bytes. So of all tokens that end at a place, one alone continues the encoding of the bytes before it.
+
+    A nondeterministic reader would guess at every place that a token starts there, and walk down the trie of tokens. A state is
+    the set of its guesses that are alive: each a trie node, and the tokens between the last emitted one and the guess. One of
+    them stands at the root: the encoding of what has been read. A byte moves every guess down the trie and drops those that
+    leave it; the one whose token ends here and fits gives the new guess at the root. Tokens with which all guesses begin are
+    settled: the move emits them, and the state forgets them, so that different beginnings lead to one state. A guess lives at
+    most as long as the longest token, which bounds the lookahead. States and moves are made when they are first met.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -41,23 +45,27 @@ class Transducer:
         self.longest = max(map(len, ranks), default=1)
         self.halves = {token: self._parts(piece, token) for piece, token in ranks.items()}
         self.pairs: dict[int, bool] = {}
-        # tokens by their last bytes: ends[node * 256 + byte] is the next node, ended[node] its token or -1
-        self.ends: dict[int, int] = {}
-        self.ended = [-1]
+        # the trie: down[node * 256 + byte] is the next node, token[node] its token or -1, inner[node]: longer tokens begin so
+        self.down: dict[int, int] = {}
+        self.token, self.inner = [-1], [True]
         for piece, token in ranks.items():
             node = 0
-            for byte in reversed(piece):
-                to = self.ends.get(node * 256 + byte)
+            for byte in piece:
+                self.inner[node] = True
+                to = self.down.get(node * 256 + byte)
                 if to is None:
-                    self.ended.append(-1)
-                    to = self.ends[node * 256 + byte] = len(self.ended) - 1
+                    self.token.append(-1)
+                    self.inner.append(False)
+                    to = self.down[node * 256 + byte] = len(self.token) - 1
                 node = to
-            self.ended[node] = token
+            self.token[node] = token
         self._reset()
 
     def _reset(self) -> None:
-        self.states: list[tuple[bytes, tuple[int, ...], int]] = [(b"", (), -1)]
-        self.moves: dict[int, int] = {}  # state * 256 + byte
+        # a state: the token emitted last (-1: none, -2: no guess stands right after it), and the guesses, that at the root last
+        self.states: list[tuple[int, tuple[tuple[int, tuple[int, ...]], ...]]] = [(-1, ((0, ()),))]
+        self.number = {self.states[0]: 0}
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # state * 256 + byte: (state, emitted tokens)
 
     def _parts(self, piece: bytes, limit: int = 1 << 60) -> list[int]:
         """Merges the neighbours of the lowest rank below limit, the leftmost first, until none can be."""
@@ -101,69 +109,60 @@ class Transducer:
             else:
                 return True
 
-    def _last(self, piece: bytes, start: int, at: int, last: list[int], before: int) -> int:
-        """The last token of piece[start:at + 1], given those of its prefixes; only one token that ends there fits."""
-        ends, ended, pairs, node = self.ends, self.ended, self.pairs, 0
-        for k in range(at, start - 1, -1):
-            node = ends.get(node * 256 + piece[k])
-            if node is None:
-                break
-            token = ended[node]
-            if token >= 0:
-                a = last[k - start - 1] if k > start else before
-                known = pairs.get(a * 0x1000000 + token)
-                if known or known is None and self.fits(a, token):
-                    return token
-        raise ValueError("the ranks lack a single byte")
-
-    def _settled(self, state: tuple[bytes, tuple[int, ...], int]) -> tuple[list[int], tuple[bytes, tuple[int, ...], int]]:
-        """The tokens that all continuations share, and the state without them."""
-        pending, last, before = state
-        n = len(pending)
-        common: set[int] | None = None
-        for end in range(max(0, n + 1 - self.longest), n + 1):
-            borders = {end}
-            while end > 0:
-                end -= len(self.bytes[last[end - 1]])
-                borders.add(end)
-            common = borders if common is None else common & borders
-        cut = max(common or {0})
-        return self._tokens(last, cut), (pending[cut:], last[cut:], last[cut - 1] if cut else before)
-
-    def _tokens(self, last: tuple[int, ...] | list[int], end: int) -> list[int]:
-        out = []
-        while end > 0:
-            out.append(last[end - 1])
-            end -= len(self.bytes[out[-1]])
-        return out[::-1]
+    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        before, guesses = self.states[state]
+        kept: list[tuple[int, tuple[int, ...]]] = []
+        read = None
+        for node, tokens in guesses:
+            to = self.down.get(node * 256 + byte)
+            if to is None:
+                continue
+            token = self.token[to]
+            if read is None and token >= 0 and self.fits(tokens[-1] if tokens else before, token):
+                read = (*tokens, token)
+            if self.inner[to]:
+                kept.append((to, tokens))
+        if read is None:
+            raise ValueError("the ranks lack a single byte")
+        settled = len(read)
+        for _, tokens in kept:
+            settled = min(settled, len(tokens))
+            while tokens[:settled] != read[:settled]:
+                settled -= 1
+        kept.append((0, read))
+        emitted = read[:settled]
+        rest = tuple((node, tokens[settled:]) for node, tokens in kept)
+        last = -2 if all(tokens for _, tokens in rest) else emitted[-1] if emitted else before
+        key = (last, rest)
+        to = self.number.get(key)
+        if to is None:
+            to = self.number[key] = len(self.states)
+            self.states.append(key)
+        move = self.moves[state * 256 + byte] = (to, emitted)
+        return move
+
+    def emit(self, piece: bytes) -> Iterator[tuple[int, ...]]:
+        """For every byte the tokens that it settles, and then those that the end settles."""
+        if len(self.moves) >= MOST_MOVES:
+            self._reset()
+        at, moves = 0, self.moves
+        for byte in piece:
+            move = moves.get(at * 256 + byte) or self._move(at, byte)
+            at = move[0]
+            yield move[1]
+        yield self.states[at][1][-1][1]
 
     def encode(self, piece: bytes) -> list[int]:
-        """Follows the moves that are known, makes the next one, and goes on from there without keeping states."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        if len(self.states) >= MOST_STATES:
+        if len(self.moves) >= MOST_MOVES:
             self._reset()
-        at, i, n = 0, 0, min(len(piece), REMEMBERED)
-        moves = self.moves
-        while i < n:
-            to = moves.get(at * 256 + piece[i])
-            if to is None:
-                break
-            at = to
-            i += 1
-        pending, last, before = self.states[at]
-        last, out, start = list(last), [], 0
-        for j in range(i, len(piece)):
-            last.append(self._last(piece, start, j, last, before))
-            if j == i < n:
-                self.states.append((piece[: j + 1], tuple(last), -1))
-                moves[at * 256 + piece[j]] = len(self.states) - 1
-            if j + 1 - start >= 2 * self.longest:
-                done, (pending, rest, before) = self._settled((piece[start : j + 1], tuple(last), before))
-                out += done
-                last, start = list(rest), j + 1 - len(pending)
-        return out + self._tokens(last, len(last))
+        at, moves, out = 0, self.moves, []
+        for byte in piece:
+            move = moves.get(at * 256 + byte) or self._move(at, byte)
+            at = move[0]
+            if move[1]:
+                out += move[1]
+        out += self.states[at][1][-1][1]
+        return out
 
 
 class Utf8Machine:
@@ -214,7 +213,7 @@ class Utf8Machine:
 
 
 class Codec:
-    """Texts to ids and back. Pieces seen lately are remembered with their ids."""
+    """Texts to ids and back. A piece runs through the transducer from its start state; what it emitted is remembered."""
 
     def __init__(self, path: str, pattern: str):
         ranks = read_ranks(path)

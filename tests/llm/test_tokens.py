@@ -44,6 +44,20 @@ def test_bpe_of_long_pieces():
         assert CODEC.encode(piece).tolist() == REFERENCE.encode_ordinary(piece)
 
 
+def test_tokens_are_emitted_before_the_piece_ends():
+    machine = bpe_fst.Transducer(bpe_fst.read_ranks(RANKS))
+    pieces = [b"internationalisation", b"a" * 3000, "".join(random.Random(5).choices("etaoin shrdlu", k=4000)).encode(), "é漢".encode() * 300]
+    for piece in pieces:
+        out, early, lag = [], 0, 0
+        for k, tokens in enumerate(machine.emit(piece)):
+            out += tokens
+            early += len(tokens) * (k < len(piece))
+            lag = max(lag, min(k + 1, len(piece)) - sum(len(machine.bytes[t]) for t in out))
+        assert out == REFERENCE._encode_single_piece(piece)
+        assert early > 0 and lag <= 2 * machine.longest
+    assert len(machine.states) < len(machine.moves) + 1  # different beginnings lead to one state
+
+
 def test_utf8_machine_equals_the_codec():
     rng = random.Random(6)
     for _ in range(400):
