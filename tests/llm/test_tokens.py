@@ -100,15 +100,36 @@ def test_words_of_runs(texts, size):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(0, 300), max_size=700), st.integers(0, 300))
-def test_wavelet_matrix(values, token):
+@given(st.lists(st.integers(0, 300), max_size=1400), st.integers(0, 300), st.sampled_from([3, 40, 4096]), st.sampled_from([1, 8, 8192]))
+def test_wavelet_matrix(values, token, sample, section):
+    """Access, rank, count and select against plain lists, with small directories and sections too."""
     x = np.array(values, np.uint32)
-    ids, ends, matrix = wavelet.open_shard(wavelet.pack_shard(np.arange(1), np.array([len(x)]), x))
-    assert matrix.tokens().tolist() == values and matrix.access(np.arange(len(x))).tolist() == values
-    places = [i for i, v in enumerate(values) if v == token]
-    assert [matrix.select(token, k) for k in range(len(places))] == places and matrix.select(token, len(places)) == -1
-    for at in {0, len(values) // 2, len(values)}:
-        assert matrix.rank(token, at) == sum(p < at for p in places)
+    kept = wavelet.SAMPLE, wavelet.SECTION
+    wavelet.SAMPLE, wavelet.SECTION = sample, section
+    try:
+        matrix = wavelet.open_shard(wavelet.pack_shard(np.arange(1), np.array([len(x)]), x, 2)).matrix
+        places = [i for i, v in enumerate(values) if v == token]
+        assert matrix.occurrences(token).tolist() == places and matrix.occurrences(token, 1, 3).tolist() == places[1:3]
+        assert [matrix.select(token, k) for k in range(len(places))] == places and matrix.select(token, len(places)) == -1
+        for at in {0, len(values) // 2, len(values)}:
+            assert matrix.rank(token, at) == sum(p < at for p in places)
+        assert matrix.access(np.arange(len(x))).tolist() == values and matrix.tokens().tolist() == values
+    finally:
+        wavelet.SAMPLE, wavelet.SECTION = kept
+
+
+def test_a_shard_opens_only_what_it_reads():
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 50_000, 3_000_000, dtype=np.uint32)
+    matrix = wavelet.open_shard(wavelet.pack_shard(np.arange(1), np.array([len(x)]), x, 2)).matrix
+    assert matrix.access(np.array([7, 11])).tolist() == x[[7, 11]].tolist()
+    assert sum(int((~p.shut).sum()) for p in matrix.planes) <= 2 * len(matrix.planes) < sum(len(p.shut) for p in matrix.planes)
+    assert matrix.select(int(x[5]), 0) == int(np.flatnonzero(x == x[5])[0])
+
+
+def test_end_ids_inside_a_document_end_nothing():
+    shard = wavelet.open_shard(wavelet.pack_shard(np.array([5, 6]), np.array([4, 5]), np.array([1, 2, 7, 2, 2], np.uint32), 2))
+    assert shard.ends().tolist() == [4, 5] and shard.ids.tolist() == [5, 6]
 
 
 def test_token_files(spark):
@@ -123,6 +144,12 @@ def test_token_files(spark):
         ids = [*LIBRARY.encode(text[r.doc_id], add_special_tokens=False).ids, 2]
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+    every = [t for i in text for t in LIBRARY.encode(text[i], add_special_tokens=False).ids for _ in range(sum(d[0] == i for d in data))]
+    counted = wavelet.count_tokens(spark.read.parquet(path), [every[0], every[-1], 2, 49_000_000]).collect()
+    assert {r.token: r.n for r in counted} == {t: every.count(t) for t in (every[0], every[-1])} | {2: len(data), 49_000_000: 0}
+    lost = frame(spark, [(None, "a", *data[0][2:]), (-(1 << 63), "a b", *data[0][2:]), (None, None, *data[0][2:])])
+    wavelet.write_shards(lost, f"{path}-lost", WORDS, 2)
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in wavelet.read_documents(spark.read.parquet(f"{path}-lost")).collect())[0] == (-(1 << 63), 3)
     empty = f"{shared_folder(spark)}/none"
     wavelet.write_shards(no_rows(spark), empty, WORDS, 2)
     assert wavelet.read_documents(spark.read.parquet(empty)).count() == 0
