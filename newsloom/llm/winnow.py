@@ -1,8 +1,10 @@
 """Winnowing fingerprints, with DataFrame functions only.
 
-The k-grams are of words, the positions are word numbers. Of every window of consecutive k-gram hashes the smallest is chosen,
-the rightmost one among equals, and kept with its position. Two texts that share a run of at least GRAM + WINDOW - 1 words
-have a chosen hash in common.
+The k-grams are of words, the positions are word numbers. A k-gram's hash is a cyclic polynomial of its words' hashes, a rolling
+hash: each word's 64 bits are turned once more for every word that follows, and all are combined by exclusive or. It is rolled by
+doubling: that of 2 m words is that of the first m, turned m times, with that of the next m. Of every window of consecutive
+hashes the smallest is chosen, the rightmost one among equals, and kept with its position. Two texts that share a run of at least
+GRAM + WINDOW - 1 words have a chosen hash in common.
 """
 
 from __future__ import annotations
@@ -12,11 +14,12 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.runtime import id_ranges
 
-#: Words in a k-gram; k-gram hashes in a window (a power of two).
+#: Words in a k-gram; k-gram hashes in a window (both powers of two).
 GRAM, WINDOW = 4, 8
+#: Bits by which a word's hash is turned for each word after it.
+TURN = 13
 #: Characters of a word before it is cut, so that a text without white space has words too.
 WORD_CHARS = 32
-_POSITION = 1 << 24
 
 
 def _let(value: Column, body) -> Column:
@@ -24,36 +27,52 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _turned(x: Column, bits: int) -> Column:
+    bits %= 64
+    return F.shiftleft(x, bits).bitwiseOR(F.shiftrightunsigned(x, 64 - bits)) if bits else x
+
+
+def gram_hashes(text: Column, gram: int = GRAM) -> Column:
+    """array<bigint>: the hash of every gram consecutive words. A text of fewer words is one k-gram, no words are none."""
+
+    def rolled(h: Column, width: int) -> Column:
+        """h holds the hashes of width words from every word on; past the last word there is nothing to combine."""
+        if width == gram:
+            return F.slice(h, F.lit(1), F.greatest(F.size(h) - (gram - 1), F.lit(1)))
+        both = F.transform(h, lambda x, i: _turned(x, TURN * width).bitwiseXOR(F.coalesce(F.get(h, i + width), F.lit(0).cast("bigint"))))
+        return _let(both, lambda y: rolled(y, 2 * width))
+
+    words = F.regexp_extract_all(text, F.lit(r"\S{1,%d}" % WORD_CHARS), F.lit(0))
+    hashes = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: rolled(h, 1))
+    return _let(hashes, lambda h: F.filter(h, lambda x: x.isNotNull()))
+
+
 def selected(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """array<bigint> of the chosen k-grams in the order of their positions: 39 bits of hash, then 24 bits of inverted position.
+    """array<struct<hash bigint, position int>> of the chosen k-grams in the order of their positions.
 
-    Packed like this, the least number of a window is its least hash, and among equal hashes the rightmost. A text of fewer than
-    gram words is one k-gram, one of fewer than window k-grams is one window; no words give an empty array.
+    A text of fewer than window k-grams is one window; one without words gives an empty array.
     """
 
-    def grams(words: Column) -> Column:
-        count = F.greatest(F.size(words) - (gram - 1), F.lit(1))
-        return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.slice(F.transform(h, lambda x, i: packed(h, x, i)), F.lit(1), count))
+    def lesser(a: Column, b: Column) -> Column:
+        """The smaller hash, of equal ones that on the right (b)."""
+        return F.when(b.hash <= a.hash, b).otherwise(a)
 
-    def packed(h: Column, x: Column, i: Column) -> Column:
-        rolled = F.xxhash64(x, *[F.get(h, i + j) for j in range(1, gram)])
-        return F.shiftleft(F.shiftrightunsigned(rolled, 25), 24).bitwiseOR(F.lit(_POSITION - 1) - i.cast("long"))
+    def minima(x: Column, width: int) -> Column:
+        """x holds the minima of width neighbours; doubled until they are of a window. Those past the last window go."""
+        if width == window:
+            return F.slice(x, F.lit(1), F.greatest(F.size(x) - (window - 1), F.lit(1)))
+        return _let(F.transform(x, lambda v, i: lesser(v, F.get(x, i + width))), lambda y: minima(y, 2 * width))
 
-    def halves(x: Column, step: int, count: Column) -> Column:
-        """Minima of 2 * step, then 4 * step ... neighbours; entries past count would be of windows that end early."""
-        if step == window:
-            return F.array_distinct(F.slice(x, F.lit(1), count))
-        return _let(F.transform(x, lambda v, i: F.least(v, F.get(x, i + step))), lambda y: halves(y, 2 * step, count))
+    def once(x: Column) -> Column:
+        """Windows choose from left to right, so a choice that is made again follows itself."""
+        return F.filter(x, lambda v, i: F.coalesce(F.get(x, i - 1).position != v.position, F.lit(True)))
 
-    def minima(g: Column) -> Column:
-        return halves(g, 1, F.greatest(F.size(g) - (window - 1), F.lit(1)))
-
-    words = F.regexp_extract_all(text, F.lit(r"\S{1,%d}" % WORD_CHARS), F.lit(0))
-    return _let(words, lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(_let(grams(w), minima)))
+    placed = F.transform(gram_hashes(text, gram), lambda h, i: F.struct(h.alias("hash"), i.alias("position")))
+    return _let(placed, lambda g: _let(minima(g, 1), once))
 
 
 def hashes_of(chosen: Column) -> Column:
-    return F.array_distinct(F.transform(chosen, lambda x: F.shiftrightunsigned(x, 24)))
+    return F.array_distinct(F.transform(chosen, lambda x: x.hash))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -65,14 +84,12 @@ def likeness(a: Column, b: Column) -> Column:
 
 def as_text(chosen: Column) -> Column:
     """'hash:position hash:position ...', hashes in hexadecimal."""
-    return F.array_join(F.transform(chosen, lambda x: F.concat(F.lower(F.hex(F.shiftrightunsigned(x, 24))), F.lit(":"), (F.lit(_POSITION - 1) - x.bitwiseAND(F.lit(_POSITION - 1))).cast("string"))), " ")
+    return F.array_join(F.transform(chosen, lambda x: F.concat(F.lower(F.hex(x.hash)), F.lit(":"), x.position.cast("string"))), " ")
 
 
 def fingerprints(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """docs with a column fingerprint: array of struct<hash bigint, position int>. A null text counts as empty and has no entries."""
-    chosen = selected(F.coalesce(F.col(text_column), F.lit("")))
-    pairs = F.transform(chosen, lambda x: F.struct(F.shiftrightunsigned(x, 24).alias("hash"), (F.lit(_POSITION - 1) - x.bitwiseAND(F.lit(_POSITION - 1))).cast("int").alias("position")))
-    return docs.withColumn("fingerprint", pairs)
+    return docs.withColumn("fingerprint", selected(F.coalesce(F.col(text_column), F.lit(""))))
 
 
 def with_next(docs: DataFrame, columns: list[str], ranges: int) -> DataFrame:
@@ -104,11 +121,12 @@ def half_edited(docs: DataFrame, ranges: int, id_column: str = "doc_id", text_co
     one with words are not (0). A row with a null id has no next text (empty). Empty table: no rows. Other columns are not read.
     """
     text = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    rows = with_next(text.withColumn("chosen", selected(F.col("text"))), ["text", "chosen"], ranges)
-    rows = rows.withColumn("n", F.char_length("text").cast("long"))
+    # the shuffle carries texts alone; the next text is fingerprinted anew, which moves less than its fingerprint would
+    rows = with_next(text, ["text"], ranges)
+    rows = rows.withColumn("n", F.char_length("text").cast("long")).withColumn("following", F.coalesce("next.text", F.lit("")))
     kept = F.substring(F.col("text"), F.lit(1), (F.col("n") - F.floor(F.col("n") / 2)).cast("int"))
-    taken = F.substring(F.coalesce(F.col("next.text"), F.lit("")), F.lit(1), F.floor(F.col("n") / 2).cast("int"))
-    rows = rows.select("id", "n", "chosen", F.coalesce("next.chosen", F.array().cast("array<bigint>")).alias("next_chosen"), F.concat(kept, taken).alias("edited"))
+    taken = F.substring(F.col("following"), F.lit(1), F.floor(F.col("n") / 2).cast("int"))
+    rows = rows.select("id", "n", selected(F.col("text")).alias("chosen"), selected(F.col("following")).alias("next_chosen"), F.concat(kept, taken).alias("edited"))
     rows = rows.select("id", "n", "chosen", "next_chosen", F.sha2("edited", 256).alias("edited_sha256"), selected(F.col("edited")).alias("edited_chosen"))
     own, edited, following = (hashes_of(F.col(c)) for c in ("chosen", "edited_chosen", "next_chosen"))
     return rows.select(

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from newsloom.llm import near_dedup, winnow
 from newsloom.llm.exact_dedup import exact_duplicates
@@ -118,40 +118,71 @@ def test_exact_duplicates_null_ids(spark):
     assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got) == [(0, 0, 1, True), (0, 3, 2, False), (3, 3, 2, True)]
 
 
+def turned(x, bits):
+    bits %= 64
+    return ((x << bits) | (x >> (64 - bits))) & ((1 << 64) - 1)
+
+
+def plain_winnow(text):
+    """[(hash, position)] by the rule: all k-gram hashes, the minimum of every window as signed numbers, the rightmost of equals."""
+    words = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in re.findall(r"[^ \t-\r]{1,%d}" % winnow.WORD_CHARS, text)]
+    if not words:
+        return []
+    grams = []
+    for i in range(max(1, len(words) - winnow.GRAM + 1)):
+        h = 0
+        for j in range(winnow.GRAM):
+            h ^= turned(words[i + j], winnow.TURN * (winnow.GRAM - 1 - j)) if i + j < len(words) else 0
+        grams.append(h - (1 << 64) if h >> 63 else h)
+    out = []
+    for k in range(max(1, len(grams) - winnow.WINDOW + 1)):
+        best = min(range(k, min(k + winnow.WINDOW, len(grams))), key=lambda i: (grams[i], -i))
+        if not out or out[-1][1] != best:
+            out.append((grams[best], best))
+    return out
+
+
+def alike(a, b):
+    x, y = {h for h, _ in plain_winnow(a)}, {h for h, _ in plain_winnow(b)}
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def shown(text):
+    return " ".join(f"{h & ((1 << 64) - 1):x}:{p}" for h, p in plain_winnow(text))
+
+
 def test_winnowing(spark):
     data = rows()
     got = winnow.half_edited(frame(spark), ranges=7).collect()
     assert len(got) == len(data)
-    order = sorted({r[0]: r[1] or "" for r in data}.items(), reverse=True)
-    following = {i: order[(k + 1) % len(order)][1] for k, (i, _) in enumerate(order)}
-    text = dict(order)
-    repeated = {i for i, n in Counter(r[0] for r in data).items() if n > 1}
-    for r in got:
-        t, n = text[r.doc_id], len(text[r.doc_id])
-        assert r.n_chars == n and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        if r.doc_id not in repeated:
-            edited = t[: n - n // 2] + following[r.doc_id][: n // 2]
-            assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-            if edited == t:
-                assert r.fingerprint == r.edited_fingerprint and r.near_edited == 1
-    by_text: dict[str, set[str]] = {}
-    for r in got:
-        by_text.setdefault(text[r.doc_id], set()).add(r.fingerprint)
-    assert all(len(f) == 1 for f in by_text.values())
+    # rows of one id are ordered by their texts
+    order = sorted(((r[0], r[1] or "") for r in data), key=lambda r: (-r[0], r[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        following, n = order[(k + 1) % len(order)][1], len(t)
+        edited = t[: n - n // 2] + following[: n // 2]
+        want.append((i, n, hashlib.sha256(edited.encode()).hexdigest(), shown(t), shown(edited), round(alike(t, edited), 9), round(alike(t, following), 9)))
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == sorted(want)
     assert winnow.half_edited(no_rows(spark), ranges=4).count() == 0
 
 
+def test_winnowing_of_null_ids_and_clashing_names(spark):
+    rest = rows()[0][2:]
+    got = winnow.half_edited(frame(spark, [(None, "a b c d e f", *rest), (None, None, *rest), (4, "a b", *rest), (9, None, *rest)]), ranges=3).collect()
+    assert sorted((r.doc_id or 0, r.n_chars, r.fingerprint) for r in got) == sorted([(0, 11, shown("a b c d e f")), (0, 0, ""), (4, 3, shown("a b")), (9, 0, "")])
+
+
 def test_winnowing_chooses_by_the_rule(spark):
-    """Against all k-gram hashes of the same text: the minimum of every window, the rightmost of equals."""
-    texts = ["a b c d e f g h i j k l m n o p q r s t", "z z z z z z z z z z z z z z z z", "a b", "a b c d e", ""]
+    texts = ["a b c d e f g h i j k l m n o p q r s t", "z z z z z z z z z z z z z z z z", "a b", "a b c d e", "", "x" * 500, " ".join(f"w{i % 977}" for i in range(60_000))]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    alone = {r.doc_id: [(x >> 24, (1 << 24) - 1 - (x & 0xFFFFFF)) for x in r.c] for r in df.select("doc_id", winnow.selected(df.text, window=1).alias("c")).collect()}
     got = {r.doc_id: [(p.hash, p.position) for p in r.fingerprint] for r in winnow.fingerprints(df).collect()}
-    for i, hashes in alone.items():
-        want = []
-        for k in range(max(1, len(hashes) - winnow.WINDOW + 1) if hashes else 0):
-            window = hashes[k : k + winnow.WINDOW]
-            best = min(window, key=lambda x: (x[0], -x[1]))
-            if not want or want[-1] != best:
-                want.append(best)
-        assert got[i] == want
+    assert got == {i: plain_winnow(t) for i, t in enumerate(texts)}
+
+
+def test_positions_are_not_bounded(spark):
+    """More words than 24 bits count: positions and hashes stay apart."""
+    n = (1 << 24) + 50
+    from pyspark.sql import functions as F
+
+    placed = F.struct(F.lit(5).cast("bigint").alias("hash"), F.lit(n).alias("position"))
+    assert spark.range(1).select(winnow.as_text(F.array(placed)).alias("t")).first().t == f"5:{n}"
