@@ -3,6 +3,9 @@
 Every line with a visible character is labelled good or bad from features of its own, its predecessor and its successor, and
 from the labels beside it. Forward-backward marginals, weighted by line length, give the document's share of good text; a
 logistic link fitted on the same training documents turns it into a score.
+
+Labels are known of documents only, so every line of a training document carries its document's label: the chain learns how
+strongly neighbouring lines agree ("stay" against "change"), not where good text turns bad.
 """
 
 from __future__ import annotations
@@ -11,14 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.runtime import lean, workers_import
+from newsloom.llm.runtime import checkpointed, lean, workers_import
 from newsloom.llm.textbytes import SPACE_WORDS, split_words, string_buffers
 
-#: Bounds of the training sample: documents of each label (those of the smallest hashes), and lines of each of them.
-TRAIN_DOCUMENTS, TRAIN_LINES = 1500, 64
+#: Bounds of the training sample: documents of each label (those of the smallest hashes), and visible lines of them all. Documents
+#: are taken whole; those that would bring the lines of their label over half of the bound are left out of the sample.
+TRAIN_DOCUMENTS, TRAIN_LINES = 1500, 400_000
 ROUNDS, STEP, RIDGE = 120, 0.15, 1e-3
 RUN_BYTES = 1 << 21
 #: The score of a document without a line that has a visible character.
@@ -172,16 +176,22 @@ def _training_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for rows, data, cut in _runs(batch.column(2)):
             features, size, first = line_features(data, cut)
             for k in range(rows.stop - rows.start):
-                a = int(first[k])
-                b = min(int(first[k + 1]), a + TRAIN_LINES)
+                a, b = int(first[k]), int(first[k + 1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start + k, 1), batch.column(1).slice(rows.start + k, 1), pa.array([features[a:b].astype(np.float32).tobytes()]), pa.array([size[a:b].tobytes()])], names=["id", "label", "features", "size"])
 
 
+def _line_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows, data, cut in _runs(batch.column(1)):
+            n = np.diff(line_features(data, cut)[2])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, len(n)), pa.array(n)], names=["id", "lines"])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> dict[str, np.ndarray]:
-    """A model from a bounded sample of labelled rows: at most TRAIN_DOCUMENTS of each label, TRAIN_LINES lines of each.
+    """A model from a bounded sample of labelled rows: at most TRAIN_DOCUMENTS of each label, with all their lines.
 
     The sample is that of the smallest hashes of the id, so it does not depend on the order of rows. A document labelled twice
-    takes the smaller label; labels without a document, null labels and null ids are passed over. Without any usable label the
+    takes the smaller label, an id with several texts the smallest; labels without a document, null labels and null ids are passed over. Without any usable label the
     model is neutral.
     """
     workers_import(docs.sparkSession)
@@ -190,9 +200,13 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     for value in (0, 1):
         part = named.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCUMENTS)
         chosen = part if chosen is None else chosen.union(part)
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "id").select(F.col("id").cast("long").alias("id"), "label", "text")
-    got = rows.mapInArrow(lean(_training_lines), "id long, label int, features binary, size binary").collect()
-    got = sorted({r.id: r for r in sorted(got, key=lambda r: (r.id, r.features), reverse=True)}.values(), key=lambda r: r.id)
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "id")
+    texts = checkpointed(texts.groupBy(F.col("id").cast("long").alias("id"), "label").agg(F.min("text").alias("text")))
+    counts = texts.select("id", "text").mapInArrow(lean(_line_counts), "id long, lines long").join(texts.select("id", "label"), "id")
+    order = Window.partitionBy("label").orderBy("lines", "id").rowsBetween(Window.unboundedPreceding, 0)  # the sample's rows
+    within = counts.withColumn("all", F.sum("lines").over(order)).where(F.col("all") <= TRAIN_LINES // 2).select("id")
+    rows = texts.join(F.broadcast(within), "id").select("id", "label", "text")
+    got = sorted(rows.mapInArrow(lean(_training_lines), "id long, label int, features binary, size binary").collect(), key=lambda r: r.id)
     features = [np.frombuffer(r.features, np.float32).reshape(-1, FEATURES) for r in got]
     first = np.concatenate([[0], np.cumsum([len(f) for f in features])]).astype(int)
     if not got or not first[-1]:

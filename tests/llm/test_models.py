@@ -57,6 +57,24 @@ def test_held_out_quality(spark):
     assert sum((r.score >= 0.7) == (r.quality == 1) for r in got) / len(got) > 0.95
 
 
+def test_every_line_of_a_training_document_counts(spark):
+    """What a document says after its 64th line is learnt: here only the later lines tell the labels apart."""
+    data = [(i, "\n".join(["Plain words stand here."] * 80 + (["Plain words stand here."] if i % 2 else ["!!! BUY | NOW !!!"]) * 120)) for i in range(80)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    got = quality_crf.score(docs, quality_crf.train(docs, labels.where("doc_id < 60"))).where("doc_id >= 60").collect()
+    assert all((r.score >= 0.7) == (r.doc_id % 2 == 1) for r in got) and {r.n_lines for r in got} == {200}
+
+
+def test_the_sample_is_bounded_by_whole_documents(spark, monkeypatch):
+    monkeypatch.setattr(quality_crf, "TRAIN_LINES", 40)
+    docs, labels = labelled(spark, 90)
+    seen = []
+    monkeypatch.setattr(quality_crf, "fit", lambda features, first, label, size: seen.append((len(features), np.diff(first))) or {})
+    quality_crf.train(docs, labels)
+    assert 20 < seen[0][0] <= 40 and (seen[0][1] > 0).all()
+
+
 def test_quality_of_awkward_rows(spark):
     docs, labels = labelled(spark, 60)
     model = quality_crf.train(docs, labels)
