@@ -21,12 +21,16 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def expressions(host: Column, path: Column) -> Column:
-    """array<string>: every host suffix (at dots, longest first) with every path prefix that ends in '/'."""
-    labels = F.split(host, r"\.", -1)
-    hosts = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
-    parts = F.split(path, "/", -1)
-    paths = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/")))
+def expressions(host: Column, path: Column, labels: int, folders: int) -> Column:
+    """array<string>: host suffixes of at most `labels` labels with path prefixes of at most `folders` folders that end in '/'.
+
+    Suffixes are cut at dots, prefixes at slashes ('/' alone is no folder). A host of more labels and a path of more folders than
+    any rule has can be met by no rule with more of them, so longer expressions are not built.
+    """
+    parts = F.split(host, r"\.", -1)
+    hosts = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels))), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."))
+    names = F.split(path, "/", folders + 2)  # what follows the last folder stays in one part
+    paths = F.transform(F.sequence(F.lit(1), F.size(names) - 1), lambda k: F.concat(F.array_join(F.slice(names, F.lit(1), k), "/"), F.lit("/")))
     return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
 
 
@@ -45,22 +49,27 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_column: str = "page_id",
     '#' or the end. A null url or one without '://' has both empty, and no rule fits an empty path. Repeated rows are returned
     as often as they come; extra columns of either table are not read. An empty rule table gives the default to all.
 
-    Each url gives its host suffixes times its path prefixes. Expressions and rules meet by equality on the first 32 bits of
-    their SHA-256; the full digest, the host and the rest of the rule's path are confirmed after it. The strongest match of a
-    url is chosen by an aggregation that starts before the shuffle, where a url's expressions still lie together.
+    Each url gives its host suffixes times its path prefixes, as deep as the rules go, whatever the length of the url. Expressions
+    and rules meet by equality on the first 32 bits of their SHA-256; the full digest and then the rest of the rule's path are
+    confirmed after it. The strongest match of a url is chosen by an aggregation that starts before the shuffle, where a url's
+    expressions still lie together.
     """
     url = F.col(url_column)
     base = pages.select(F.col(id_column).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    looked = base.withColumn("expression", F.explode_outer(F.when((F.col("host") != "") & F.col("path").startswith("/"), expressions(F.col("host"), F.col("path")))))
-    looked = looked.withColumn("first", F.coalesce(F.col("expression") == F.concat("host", F.lit("/")), F.lit(True)))
-    looked = looked.withColumn("digest", F.sha2("expression", 256)).withColumn("short", F.substring("digest", 1, SHORT))
+    deep = rules.agg(F.max(F.size(F.split("host", r"\.", -1))).alias("labels"), F.max(F.size(F.split("path", "/", -1)) - 2).alias("folders")).first()
+    found = expressions(F.col("host"), F.col("path"), deep.labels or 1, max(0, deep.folders or 0))
+    looked = base.select("*", F.posexplode_outer(F.when((F.col("host") != "") & F.col("path").startswith("/"), found)).alias("nth", "expression"))
+    looked = looked.withColumn("first", F.coalesce(F.col("nth") == 0, F.lit(True))).withColumn("digest", F.sha2("expression", 256))
+    looked = looked.withColumn("short", F.substring("digest", 1, SHORT))
     folder = F.regexp_extract(F.col("path"), r"(?s)^(.*/)", 1)
     # among equal lengths the largest of (blocks, rule) wins
     entry = F.struct(F.length(F.concat("host", "path")).alias("length"), (F.col("verdict") == "block").alias("blocks"), F.concat("host", "path").alias("rule"), "verdict", F.col("path").alias("path"))
-    table = rules.groupBy(F.sha2(F.concat("host", folder), 256).alias("r_digest")).agg(F.collect_set(entry).alias("entries")).where("r_digest is not null")
-    table = table.withColumn("r_short", F.substring("r_digest", 1, SHORT))
-    met = looked.join(broadcast_if_small(table, BROADCAST_RULES), (F.col("short") == F.col("r_short")) & (F.col("digest") == F.col("r_digest")), "left")
-    fitting = F.array_max(F.filter("entries", lambda e: F.col("path").startswith(e.path)))
+    digest = F.sha2(F.concat("host", folder), 256)
+    table = rules.withColumn("digest", digest).where("digest is not null").groupBy(F.substring("digest", 1, SHORT).alias("r_short"))
+    table = table.agg(F.collect_set(F.struct("digest", entry.alias("entry"))).alias("entries"))
+    met = looked.join(broadcast_if_small(table, BROADCAST_RULES), F.col("short") == F.col("r_short"), "left")
+    confirmed = F.filter("entries", lambda e: (e.digest == F.col("digest")) & F.col("path").startswith(e.entry.path))
+    fitting = F.array_max(F.transform(confirmed, lambda e: e.entry))
     best = met.groupBy("id", "host", "path").agg(F.max(fitting).alias("best"), F.count_if("first").alias("rows"))
     best = best.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("rows", F.lit(1)))))
     return best.select(F.col("id").alias(id_column), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -256,6 +257,27 @@ def judge(url):
     return host, path, best and best[2], best[3] if best else "allow"
 
 
+def test_long_urls_take_no_longer(spark):
+    """60,000 folders: only as many prefixes are built as the rules have folders."""
+    urls = ["http://www.example.com/en/" + "a/" * 60_000, "http://" + "x." * 60_000 + "com/" + "/" * 60_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = url_filter.rule_table(spark, URL_RULES)
+    url_filter.filter_urls(pages.limit(1), rules).collect()
+    began = time.time()
+    got = url_filter.filter_urls(pages, rules).collect()
+    assert time.time() - began < 15 and {r.page_id: r.rule for r in got} == {0: "www.example.com/en/", 1: "com/"}
+
+
+def test_full_digests_decide(spark, monkeypatch):
+    """With short prefixes of one hexadecimal digit nearly every expression meets a wrong rule."""
+    monkeypatch.setattr(url_filter, "SHORT", 1)
+    rules = [(v, r) for v, r in URL_RULES] + [("block", f"host{i}.org/p{i}/") for i in range(60)]
+    urls = [f"http://a{i}.host{i}.org/p{i}/x" for i in range(60)] + [f"http://host{i}.org/q{i}/" for i in range(60)] + ["http://x.com/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.rule for r in url_filter.filter_urls(pages, url_filter.rule_table(spark, rules)).collect()}
+    assert got == {i: f"host{i}.org/p{i}/" if i < 60 else "com/" if i == 120 else None for i in range(121)}
+
+
 def test_url_rules(spark):
     urls = [None, "", "nohost", "http://A.Example.COM/en/x?q#f", "https://www.example.com/en/", "http://example.com/enx", "http://com/", "http://x.com", "ftp://a.net/es/1#t", "http://net/fr/", "http://xnet/fr/", "a://b://c/d", "http://.com/", "http://e.example.com:80/en/", "//x.com/", "http://x.com//en/", "http://é.com/É/?"]
     data = [(i, u, "h", "p", "v") for i, u in enumerate(urls)] + [(3, urls[3], "h", "p", "v")] * 2 + [(None, urls[3], "h", "p", "v")]
