@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from newsloom.llm import near_dedup, winnow
+from newsloom.llm import exact_dedup, near_dedup, winnow
 from newsloom.llm.exact_dedup import exact_duplicates
 from newsloom.llm.shingles import MinHash, shingle_sets
 from tests.llm.fixtures import frame, low, no_rows, rows
@@ -112,6 +112,14 @@ def test_exact_duplicates(spark, digest_all):
     assert exact_duplicates(no_rows(spark)).count() == 0
 
 
+def test_exact_duplicates_beyond_the_broadcast_bounds(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", 1)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_IDS", 1)
+    got = exact_duplicates(frame(spark)).select("doc_id", "keep_id", "group_size", "kept").collect()
+    monkeypatch.undo()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, exact_duplicates(frame(spark), digest_all=True).select("doc_id", "keep_id", "group_size", "kept").collect()))
+
+
 def test_exact_duplicates_null_ids(spark):
     rest = rows()[0][2:]
     got = exact_duplicates(frame(spark, [(None, "A", *rest), (3, "a", *rest), (None, "b", *rest)])).collect()
