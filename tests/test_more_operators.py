@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import audit, boards, memory, similarity, verdicts
+from newsloom.operators import components as components_module
 
 T0 = datetime(2024, 1, 31)
 
@@ -68,3 +69,13 @@ def test_caption_items(spark):
     df = spark.createDataFrame([("d", i < 6, i, i) for i in range(20)], "day string, own boolean, score int, start int")
     got = boards.caption_items(df, "day", "own", "score", "start").groupBy("own").agg(F.count("*").alias("n"), F.max("more").alias("more")).collect()
     assert {r.own: (r.n, r.more) for r in got} == {True: (4, 2), False: (6, 8)}
+
+
+def test_components_of_hubs_and_chains(spark, monkeypatch):
+    monkeypatch.setattr(components_module, "HUB", 5)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 200), (7, 300), (300, 301), (7, 300)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {i: 0 for i in [*range(60), 300, 301]} | {100 + i: 100 for i in range(31)}
+    assert {r.node: r.label for r in components_module.components(df).collect()} == want
+    monkeypatch.setattr(components_module, "MOST_HUBS", 0)
+    assert {r.node: r.label for r in components_module.components(df).collect()} == want
