@@ -3,11 +3,17 @@
 Method: each document's set of five-word shingles gives 32 bands of 4 MinHash values (a pair at similarity 0.75 shares no band
 with probability 5e-6) and an odd sketch: 256 MinHash samples folded into 512 parity bits, whose XOR with another sketch has a
 population count that tells the similarity. Documents with equal sets are one class from the start, so copies never meet each
-other. Candidates come in two steps that are linear in the members of a band, however large it is:
-
-1. every member of a band with the band's smallest id; links are confirmed on full sets and joined to components;
-2. in bands that still hold several components, pairs across components whose sketches agree. They are found block against
-   block inside tasks (a large band is dealt out to pairs of blocks), and packed as one row per document and block.
+other. Candidates come in three steps:
+
+1. every member of a band with the band's smallest id; links are confirmed on full sets and joined to components. This is linear
+   in the members of a band, and settles bands of near copies however large they are;
+2. in bands of at most BLOCK members that still hold several components: pairs across components, inside one task;
+3. larger bands that still hold several components are crowds that share a passage and little else. Their members are met by the
+   rarest of their shingles instead: of two sets of similarity t, the first n - ceil(t n) + 1 shingles of each, in any order
+   common to all sets, share one. The order is by a frequency sketch of bounded size, so the common passage comes last and is
+   met by hardly anyone; no link is lost by it. Groups of a shingle that hold several components are compared as in step 2; one
+   above BLOCK is dealt out to pairs of blocks. Work is linear in the members' shingles but for such groups, whose pairs are
+   compared by their sketches.
 
 Pairs pass a sketch bound five standard deviations below similarity 0.75 and are then decided on full shingle sets.
 """
@@ -18,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +40,8 @@ BLOCK = 512
 SET_BLOCK = 4096
 #: Ids up to this many are broadcast (8 bytes each) to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Asking documents of one confirming group, on average; counters of the frequency sketch (8 bytes each).
+ASKS, COUNTERS = 8192, 1 << 18
 
 
 def _signatures(size: int):
@@ -70,6 +79,38 @@ def _sets(size: int):
     return run
 
 
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes + np.uint64(7)) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a task for the frequency sketch of the sets' shingles."""
+    counts = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for items in batch.column(1):
+            np.add.at(counts, _slots(np.frombuffer(items.as_buffer(), np.uint64)), 1)
+    full = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full])], names=["slot", "n"])
+
+
+def _rarest(frequency: Broadcast, percent: int):
+    """(id, key): the shingles by which a set must meet every other of the wanted similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = [], []
+            for i, items in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                items = np.frombuffer(items.as_buffer(), np.uint64)
+                order = np.lexsort((items, frequency.value[_slots(items)]))
+                first = items[order[: len(items) + percent * -len(items) // 100 + 1]]  # n - ceil(t n) + 1
+                ids.append(np.full(len(first), i))
+                keys.append(first.view(np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], names=["id", "key"])
+
+    return run
+
+
 def _sketches_agree(a: Column, b: Column, n: Column, m: Column, percent: int) -> Column:
     bits = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (bits <= SKETCH_BOUND)
@@ -166,14 +207,25 @@ def _confirm_block(percent: int):
     return run
 
 
-def _confirm(asks: DataFrame, ids: DataFrame, texts: DataFrame, home: Column, size: int, percent: int) -> DataFrame:
-    """The links (a, b) among packed candidates (u, home, others), decided on the full sets of the documents in ids."""
-    ids = checkpointed(ids.distinct())
+def _set_table(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(id, items): the full sets of the documents in ids."""
     wanted = texts.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    sets = stored(wanted.mapInArrow(lean(_sets(size)), "id long, items binary"))
-    asks = asks.groupBy("u", "home").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))  # at most a home's documents
+    return stored(wanted.mapInArrow(lean(_sets(size)), "id long, items binary"))
+
+
+def _confirm(asks: DataFrame, ids: DataFrame, texts: DataFrame, home: Column, size: int, percent: int) -> DataFrame:
+    """The links (a, b) among packed candidates (u, home, others), decided on the full sets of the documents in ids.
+
+    A home's documents meet those that ask for them; the askers of a home are dealt to groups of about ASKS, each with the home's sets.
+    """
+    sets = _set_table(checkpointed(ids.distinct()), texts, size)
+    asks = checkpointed(asks.groupBy("u", "home").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")))  # at most a home's documents
+    groups = checkpointed(asks.groupBy("home").agg(F.ceil(F.count("*") / ASKS).alias("groups")))
+    groups = broadcast_if_small(groups)
+    asks = asks.join(groups, "home").withColumn("group", F.pmod(F.xxhash64("u"), F.col("groups"))).drop("groups")
     asks = asks.join(sets.select(F.col("id").alias("u"), F.col("items").alias("mine")), "u")
-    return asks.groupBy("home").cogroup(sets.withColumn("home", home).groupBy("home")).applyInArrow(_confirm_block(percent), "a long, b long")
+    homes = sets.withColumn("home", home).join(groups, "home").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).drop("groups")
+    return asks.groupBy("home", "group").cogroup(homes.groupBy("home", "group")).applyInArrow(_confirm_block(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -221,10 +273,23 @@ def _links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
     # step 2: across the components that a band still holds
     label = components(links)
-    members = members.select("key", "m", "id").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    members = checkpointed(members)
-    mixed = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    inside = members.join(mixed, "key").join(about, "id")
+    named = lambda rows: rows.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    members = checkpointed(named(members.select("key", "m", "id")))
+    mixed = checkpointed(members.groupBy("key", "m").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key", "m"))
+    inside = members.drop("m").join(mixed.where(F.col("m") <= BLOCK), "key")
+    # step 3: crowds by their rarest shingles
+    crowds = mixed.where(F.col("m") > BLOCK)
+    if not crowds.isEmpty():
+        crowd = checkpointed(members.join(crowds.select("key"), "key").select("id").distinct())
+        sets = _set_table(crowd, texts, size)
+        frequency = np.zeros(COUNTERS, np.int64)
+        for r in sets.mapInArrow(lean(_tally), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+            frequency[r.slot] = r.n
+        spark = texts.sparkSession
+        rare = stored(named(sets.mapInArrow(lean(_rarest(spark.sparkContext.broadcast(frequency), percent)), "id long, key long")))
+        shared = rare.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+        inside = inside.unionByName(rare.join(shared.select("key", "m"), "key"))
+    inside = inside.join(about, "id")
     inside = inside.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = inside.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "id", "n", "label", "sketch", "home")

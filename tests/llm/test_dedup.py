@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -194,3 +195,82 @@ def test_positions_are_not_bounded(spark):
 
     placed = F.struct(F.lit(5).cast("bigint").alias("hash"), F.lit(n).alias("position"))
     assert spark.range(1).select(winnow.as_text(F.array(placed)).alias("t")).first().t == f"5:{n}"
+
+
+def crowd(n, shared=60, own=40):
+    """n texts that share a passage of `shared` words and little else; every tenth has a near copy, every fortieth a chain of them."""
+    rng = random.Random(17)
+    passage = [f"p{i}" for i in range(shared)]
+    out = []
+    for i in range(n):
+        words = passage + [f"u{rng.randrange(1 << 40)}" for _ in range(own)]
+        out.append(words)
+        for k in range(3 if i % 40 == 0 else 1 if i % 10 == 0 else 0):
+            words = list(words)
+            words[-1 - 7 * k] = f"e{i}-{k}"
+            out.append(words)
+    return [(k, " ".join(w), *rows()[0][2:]) for k, w in enumerate(out)]
+
+
+def test_a_crowd_around_a_passage(spark, monkeypatch):
+    """Bands above BLOCK that hold many components: no link is lost, and the rows that are compared stay linear in the members."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    compared = []
+    across = near_dedup._across
+    data = crowd(400)
+    _, label = classes(data)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(percent):
+        run = across(percent)
+
+        def wrapped(batches):
+            def passed():
+                for b in batches:
+                    seen.add(b.num_rows)
+                    yield b
+
+            yield from run(passed())
+
+        return wrapped
+
+    monkeypatch.setattr(near_dedup, "_across", counted)
+    got = near_dedup.near_duplicates(frame(spark, data)).collect()
+    assert {r.doc_id: r.component_id for r in got} == label
+    compared.append(seen.value)
+    seen.value = 0
+    near_dedup.near_duplicates(frame(spark, crowd(800))).count()
+    compared.append(seen.value)
+    assert compared[1] <= 2.6 * compared[0] + 400
+
+
+def test_the_rarest_shingles_meet_every_similar_set():
+    rng = np.random.default_rng(8)
+
+    class frequency:
+        value = rng.integers(0, 5, near_dedup.COUNTERS)
+
+    for n, m in [(1, 1), (4, 3), (4, 4), (10, 8), (100, 75), (133, 100), (37, 31)]:
+        for _ in range(20):
+            both = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+            shared = -(-75 * (n + m) // 175)  # the least overlap at similarity 0.75
+            if shared > min(n, m):
+                continue
+            a, b = np.sort(both[:n]), np.sort(np.concatenate([both[:shared], both[200 : 200 + m - shared]]))
+            table = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()], pa.binary())], names=["id", "items"])
+            out = list(near_dedup._rarest(frequency, 75)(iter([table])))[0]
+            keys = {i: {k for j, k in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True) if j == i} for i in (1, 2)}
+            assert keys[1] & keys[2]
+
+
+def test_recall_of_bands_and_sketches():
+    """Pairs right at similarity 0.75: all of 600 meet in a band, and pass the sketch bound."""
+    rng = np.random.default_rng(12)
+    hashing, met = MinHash(), 0
+    for _ in range(600):
+        both = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
+        a, b = (np.concatenate([both, rng.integers(0, 1 << 63, 25, dtype=np.uint64)]) for _ in range(2))
+        minima = hashing.minima(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        keys, sketch = hashing.band_keys(minima), hashing.odd_sketches(minima)
+        met += bool((keys[0] == keys[1]).any()) and int(np.bitwise_count(sketch[0] ^ sketch[1]).sum()) <= near_dedup.SKETCH_BOUND
+    assert met == 600
