@@ -11,6 +11,8 @@ shuffle moves a few bytes for each distinct entry of a chunk:
 3. chunks evaluate: log P(w|h) = log(d(c) c / c(h)) for a bigram seen in training, else log alpha(h) + log P(w), and so on down
    to the mass left for unknown words. alpha(h) = (1 - sum of seen P(w|h)) / (1 - sum of the P(w) of the seen w), so every
    history's probabilities sum to 1.
+
+Rows between chunks and partitions are no more than a chunk's distinct entries, however many partitions there are.
 """
 
 from __future__ import annotations
@@ -112,15 +114,19 @@ def _vocabulary_asks(parts: int):
         for batch in batches:
             for chunk, hashes, trained in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 hashes, trained = _unpack_hashes(hashes), expand(trained)
-                where = _vocabulary_part(hashes, parts)
-                order = np.argsort(where, kind="stable")
-                edge = np.searchsorted(where[order], np.arange(parts + 1))
-                rows = [(p, hashes[order[a:b]].tobytes(), squeeze(trained[order[a:b]])) for p, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+                rows = [(p, hashes[at].tobytes(), squeeze(trained[at])) for p, at in _by_part(_vocabulary_part(hashes, parts))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "chunk", "hashes", "trained"])
 
     return run
 
 
+def _by_part(part: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(part, places) of the parts that occur; places in their order."""
+    order = np.argsort(part, kind="stable")
+    names, first = np.unique(part[order], return_index=True)
+    return list(zip(names.tolist(), np.split(order, first[1:]), strict=True)) if len(names) else []
+
+
 def _vocabulary_part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((mix(hashes) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
@@ -159,11 +165,9 @@ class _Chunk:
         size = expand(row["sizes"]).astype(np.int64)
         hashes = _unpack_hashes(row["hashes"])
         number, count = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        where = _vocabulary_part(hashes, parts)
-        order = np.argsort(where, kind="stable")
-        edge = np.searchsorted(where[order], np.arange(parts + 1))
+        places = dict(_by_part(_vocabulary_part(hashes, parts)))
         for r in known:
-            at = order[edge[r["part"]] : edge[r["part"] + 1]]
+            at = places[r["part"]]
             number[at], count[at] = expand(r["a"]).astype(np.int64), expand(r["b"]).astype(np.int64)
         codes = expand(row["codes"]).astype(np.int64)
         end = np.cumsum(size + 1)
@@ -197,18 +201,23 @@ class _Chunk:
         self.names, at = np.unique(self.history[known_at], return_index=True)
         self.name_count = self.history_count[known_at][at]
 
-    def dealt(self, parts: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(order of pairs, their edges by partition, asked histories, their edges by partition)."""
+    def dealt(self, parts: int, hot: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each partition that is asked: the pairs, by history and word, and the histories (each is asked for itself as well).
+
+        There are no more partitions in it than pairs and histories, however many there are in all.
+        """
         shares = np.minimum(parts, -(-self.hc // hot))
         base = mix(self.h.astype(np.uint64) + np.uint64(1)) % np.uint64(parts)
         part = ((base + mix(self.w.astype(np.uint64) ^ np.uint64(0x5BD1E995)) % shares.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((self.w, self.h, part))
+        order = np.lexsort((self.w, self.h))
         share = np.minimum(parts, -(-self.name_count // hot))
         which = np.repeat(np.arange(len(self.names)), share)
         turn = np.arange(len(which)) - np.repeat(np.cumsum(share) - share, share)
         home = ((mix(self.names[which].astype(np.uint64) + np.uint64(1)) % np.uint64(parts) + turn.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        by = np.lexsort((self.names[which], home))
-        return order, np.searchsorted(part[order], np.arange(parts + 1)), which[by], np.searchsorted(home[by], np.arange(parts + 1))
+        by = np.argsort(self.names[which], kind="stable")
+        none = np.zeros(0, np.int64)
+        pairs = {p: order[at] for p, at in _by_part(part[order])}
+        return {p: (pairs.get(p, none), which[by[at]]) for p, at in _by_part(home[by])}  # a pair's partition is one of its history's
 
 
 def _bigram_asks(word_parts: int, parts: int, hot: int):
@@ -217,13 +226,11 @@ def _bigram_asks(word_parts: int, parts: int, hot: int):
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 c = _Chunk(row, word_parts, row["known"])
-                order, edge, asked, name_edge = c.dealt(parts, hot)
                 out: list[tuple] = []
-                for p in range(parts):
-                    pairs, names = order[edge[p] : edge[p + 1]], c.names[asked[name_edge[p] : name_edge[p + 1]]]
-                    if len(names):
-                        followers = np.bincount(np.searchsorted(names, c.h[pairs]), minlength=len(names))
-                        out.append((p, row["chunk"], squeeze(np.diff(names, prepend=0)), squeeze(followers), squeeze(c.w[pairs]), squeeze(c.trained[pairs]), squeeze(c.wc[pairs])))
+                for p, (pairs, asked) in c.dealt(parts, hot).items():
+                    names = c.names[asked]
+                    followers = np.bincount(np.searchsorted(names, c.h[pairs]), minlength=len(names))
+                    out.append((p, row["chunk"], squeeze(np.diff(names, prepend=0)), squeeze(followers), squeeze(c.w[pairs]), squeeze(c.trained[pairs]), squeeze(c.wc[pairs])))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], (pa.int32(), pa.int64(), *[pa.binary()] * 5)[i]) for i in range(7)], names=["part", "chunk", "names", "followers", "w", "trained", "wc"])
 
     return run
@@ -265,13 +272,13 @@ def _evaluate(word_parts: int, parts: int, hot: int, unigrams: Unigrams, d: np.n
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 c = _Chunk(row, word_parts, row["known"])
-                order, edge, asked, name_edge = c.dealt(parts, hot)
+                dealt = c.dealt(parts, hot)
                 count = np.zeros(len(c.h), np.int64)
                 once, mass = np.zeros((DISCOUNTED, len(c.names))), np.zeros(len(c.names))
                 for r in sorted(row["answers"] or [], key=lambda r: r["part"]):
-                    p = r["part"]
-                    count[order[edge[p] : edge[p + 1]]] = expand(r["a"])
-                    at, size = asked[name_edge[p] : name_edge[p + 1]], struct.unpack_from(f"<{DISCOUNTED + 1}q", r["b"])
+                    pairs, at = dealt[r["part"]]
+                    count[pairs] = expand(r["a"])
+                    size = struct.unpack_from(f"<{DISCOUNTED + 1}q", r["b"])
                     start = 8 * len(size)
                     for i, n in enumerate(size):
                         values = expand(r["b"][start : start + n])
@@ -328,6 +335,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_column: str = "doc_id"
     name = f"chunks_{uuid.uuid4().hex}"
     made.write.bucketBy(shuffle_partitions(spark), "chunk").format("parquet").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     chunks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay in the shared folder, and chunks reads them; the catalog keeps nothing
     tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
     parts = max(1, -(-tokens // PARTITION_TOKENS))
     hot = PARTITION_TOKENS // 4
