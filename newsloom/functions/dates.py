@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 
 def jalali(day: Column) -> Column:
-    """struct<year, month, day> of the solar Hijri calendar, by whole-number arithmetic on the days since 1600-03-20."""
-    days = F.datediff(day, F.lit("1600-01-01").cast("date")) - 79
-    cycle, rest = F.floor(days / 12053), days % 12053
-    four, rest4 = F.floor(rest / 1461), rest % 1461
-    extra = F.when(rest4 >= 366, F.floor((rest4 - 1) / 365)).otherwise(0)
-    inside = F.when(rest4 >= 366, (rest4 - 1) % 365).otherwise(rest4)
-    year = 979 + 33 * cycle + 4 * four + extra
-    month = F.when(inside < 186, F.floor(inside / 31) + 1).otherwise(F.floor((inside - 186) / 30) + 7)
-    number = F.when(inside < 186, inside % 31 + 1).otherwise((inside - 186) % 30 + 1)
-    return F.struct(year.cast("int").alias("year"), month.cast("int").alias("month"), number.cast("int").alias("day"))
+    """struct<year, month, day> of the solar Hijri calendar, in the form where 8 of 33 years are leap years.
+
+    With days counted so that year y begins on day floor(((33 * 365 + 8) y + 21) / 33) of the count, the year of day n is the
+    largest y whose beginning is not after n, which is floor((33 n + 11) / (33 * 365 + 8)). Months begin at fixed days of a year:
+    six of 31 days, then 30 each.
+    """
+    begins = lambda y: F.floor(((33 * 365 + 8) * y + 21) / 33)
+    known = (33 * 365 + 8) * 1400 + 21
+    n = F.datediff(day, F.lit("2021-03-21").cast("date")) + known // 33  # the first day of 1400
+    year = F.floor((33 * n + 11) / (33 * 365 + 8))
+    inside = n - begins(year)
+    starts = [31 * m for m in range(7)] + [186 + 30 * m for m in range(1, 6)]
+    started = F.filter(F.array(*[F.lit(s).cast("long") for s in starts]), lambda s: s <= inside)
+    return F.struct(year.cast("int").alias("year"), F.size(started).alias("month"), (inside - F.array_max(started) + 1).cast("int").alias("day"))
 
 
 # Month names of the solar Hijri calendar.

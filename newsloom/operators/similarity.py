@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,27 +18,31 @@ def document_frequency(rows: DataFrame, keys: str = "keys") -> DataFrame:
     return rows.select(F.explode(F.array_distinct(keys)).alias("key")).groupBy("key").agg(F.count("*").alias("df"))
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, keys: str, least_shared: Column | int, within: Column | None = None) -> DataFrame:
-    """(a, b, n): ids of left and right rows with n shared keys, n at least least_shared.
+#: How many keys a row must share at least: a number, or made from the number of its own keys.
+Need = int | Callable[[Column], Column]
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, keys: str, least_shared: Need, within: Column | None = None, least_right: Need | None = None) -> DataFrame:
+    """(a, b): ids of left and right rows that may share least_shared keys (least_right, if the right rows' bound is another).
 
     A prefix filter keeps the lists short and loses nothing: with its keys in ascending order of frequency, a row that shares
     at least t keys with another has one of them among its first size - t + 1, so only those are met. Keys of many rows are
     dealt over salted groups on the left and copied to them on the right.
     """
-    need = F.lit(least_shared) if isinstance(least_shared, int) else least_shared
     df = document_frequency(left.select(keys).union(right.select(keys)), keys)
     df = df.withColumn("salts", F.least(F.ceil(F.col("df") / HOT_KEY), F.lit(64)).cast("int"))
 
-    def prefixed(side: DataFrame, name: str) -> DataFrame:
+    def prefixed(side: DataFrame, name: str, least: Need) -> DataFrame:
         one = side.select(F.col("id").alias(name), F.explode(F.array_distinct(keys)).alias("key"))
         ranked = one.join(df, "key").groupBy(name).agg(F.sort_array(F.collect_list(F.struct("df", "key", "salts"))).alias("sorted"))
-        first = F.slice(F.col("sorted"), F.lit(1), F.greatest(F.size("sorted") - need + 1, F.lit(0)))
+        need = F.lit(least) if isinstance(least, int) else least(F.size("sorted"))
+        first = F.slice(F.col("sorted"), F.lit(1), F.greatest(F.size("sorted") - need.cast("int") + 1, F.lit(0)))
         return ranked.select(name, F.explode(first).alias("x")).select(name, F.col("x.key").alias("key"), F.col("x.salts").alias("salts"))
 
-    a = prefixed(left, "a").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
-    b = prefixed(right, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    met = a.join(b, ["key", "salt"]).select("a", "b").distinct()
-    return met if within is None else met.where(within)
+    a = prefixed(left, "a", least_shared).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
+    b = prefixed(right, "b", least_shared if least_right is None else least_right).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    met = a.join(b, ["key", "salt"]).select("a", "b")
+    return (met if within is None else met.where(within)).distinct()
 
 
 def decided(pairs: DataFrame, left: DataFrame, right: DataFrame, test: Column) -> DataFrame:
@@ -55,14 +61,26 @@ def similarity(a: Column, b: Column) -> Column:
     return 0.45 * jaccard(a, b) + 0.55 * containment(a, b)
 
 
+def signatures(title: Column, numbers: Column, events: list[list[list[str]]], event_words: list[str], place_words: list[str]) -> Column:
+    """array<string> of what names an event whatever the wording: 'event k' when two of the term groups of events[k] occur in the
+    title, and 'number event place' for every number, event word and place word in it. Titles that share one are one story."""
+    low = F.lower(title)
+    said = lambda words: F.filter(F.array(*[F.lit(w) for w in words]).cast("array<string>"), lambda w: low.contains(w))
+    hits = [sum((F.size(said(group)) > 0).cast("int") for group in groups) for groups in events]
+    named = F.filter(F.array(*[F.when(h >= 2, F.lit(f"event {k}")) for k, h in enumerate(hits)]).cast("array<string>"), lambda x: x.isNotNull())
+    triples = F.transform(numbers, lambda n: F.transform(said(event_words), lambda e: F.transform(said(place_words), lambda p: F.concat_ws(" ", n, e, p))))
+    return F.array_distinct(F.concat(named, F.flatten(F.flatten(triples))))
+
+
 def same_story() -> Column:
-    """Columns a_/b_ norm (folded title), tokens (title), story (tokens without generic words), numbers."""
+    """Columns a_/b_ norm (folded title), tokens (title), story (tokens without generic words), numbers, and signature if there is one."""
     a, b = F.col("a_story"), F.col("b_story")
     empty = (F.size(a) == 0) | (F.size(b) == 0)
-    sim = F.when(empty, jaccard(F.col("a_tokens"), F.col("b_tokens"))).otherwise(similarity(a, b))
-    common, short = shared(a, b), F.least(F.size("a_tokens"), F.size("b_tokens")) <= 3
+    by_title = jaccard(F.col("a_tokens"), F.col("b_tokens"))
+    sim = F.when(empty, by_title).otherwise(similarity(a, b))
+    common, short = shared(a, b), F.least(F.size(a), F.size(b)) <= 3
     number = F.size(F.array_intersect("a_numbers", "b_numbers")) > 0
-    return (F.col("a_norm") == F.col("b_norm")) | (sim >= 0.72) | ((common >= 4) & (sim >= 0.50)) | (short & (jaccard(F.col("a_tokens"), F.col("b_tokens")) >= 0.80)) | (number & (sim >= 0.45) & (common >= 3))
+    return (F.col("a_norm") == F.col("b_norm")) | (sim >= 0.72) | ((common >= 4) & (sim >= 0.50)) | (short & (by_title >= 0.80)) | (number & (sim >= 0.45) & (common >= 3))
 
 
 def same_event() -> Column:
@@ -71,11 +89,45 @@ def same_event() -> Column:
     return same_story() | ((shared(a, b) >= 3) & ((inside >= 0.78) | ((inside >= 0.62) & number)))
 
 
+def story_pairs(rows: DataFrame, test: Column) -> DataFrame:
+    """(a, b), a < b, of rows (id, norm, tokens, story, numbers, signature) that pass same_story() or same_event() or share a
+    signature. Rows must be one for each norm.
+
+    Candidates are exact for each rule: a containment of 0.45 and three common story tokens, which all rules for longer titles
+    need, bound the prefix of the smaller side by half its tokens; one or two story tokens must all be in a title of at most
+    five; and titles of at most three story tokens meet by title tokens, of which they share 0.72 of either side. Rows of one
+    signature are all one story: each is paired with the smallest id of them, and not with every other.
+    """
+    sizes = rows.withColumn("n", F.size("story")).withColumn("all", F.size("tokens"))
+    half = lambda n: F.greatest(F.lit(3), F.ceil(n * 0.45 - 1e-9))
+    most = lambda n: F.ceil(n * 0.72 - 1e-9)
+    few = sizes.where("n between 1 and 2")
+    met = candidate_pairs(rows, rows, "story", half, F.col("a") != F.col("b"), 3)
+    met = met.union(candidate_pairs(few, sizes.where("n between 1 and 5"), "story", lambda n: n, F.col("a") != F.col("b"), 1))
+    met = met.union(candidate_pairs(sizes.where("n <= 3"), sizes.where("all <= 12"), "tokens", most, F.col("a") != F.col("b"), most))
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = decided(met, rows, rows, test).select("a", "b")
+    signed = rows.select("id", F.explode("signature").alias("key"))
+    first = signed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return pairs.union(signed.join(first, "key").where("a < id").select("a", F.col("id").alias("b"))).distinct()
+
+
 def fingerprint_overlap() -> Column:
     n, part = shared(F.col("a_keys"), F.col("b_keys")), containment(F.col("a_keys"), F.col("b_keys"))
     return ((n >= 6) & (part >= 0.40)) | ((n >= 4) & (part >= 0.60))
 
 
+def overlap_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs a < b of rows (id, keys) that pass fingerprint_overlap(), with both rows' columns.
+
+    The side of fewer keys shares four of them and two fifths at least, so it is met by the rarest of its keys alone.
+    """
+    part = lambda n: F.greatest(F.lit(4), F.ceil(n * 0.4 - 1e-9))
+    met = candidate_pairs(rows, rows, "keys", part, F.col("a") != F.col("b"), 4)
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return decided(met, rows, rows, fingerprint_overlap())
+
+
 def head_overlap() -> Column:
     n = shared(F.col("a_keys"), F.col("b_keys"))
     return (F.least(F.size("a_keys"), F.size("b_keys")) >= 5) & (n >= 6) & (containment(F.col("a_keys"), F.col("b_keys")) >= 0.5)
@@ -86,6 +138,14 @@ def headline_containment() -> Column:
     return (F.size("a_keys") >= 5) & (F.size(F.array_except("a_keys", "b_keys")) == 0) & (F.size(F.array_except("b_keys", "a_keys")) <= 2)
 
 
+def same_headline(related: Column | None = None) -> Column:
+    """headline_containment(), or four shared words that are half of the shorter headline's, or a related event: an incident
+    match (the argument) or three shared words."""
+    n = shared(F.col("a_keys"), F.col("b_keys"))
+    half = (n >= 4) & (2 * n >= F.least(F.size("a_keys"), F.size("b_keys")))
+    return headline_containment() | half | (F.coalesce(related, F.lit(False)) if related is not None else n >= 3)
+
+
 def rare_follow_up(pairs: DataFrame, rows: DataFrame, rarest: int = 2, least_shared: int = 6, least_rare: int = 5) -> DataFrame:
     """Pairs (a, b) that share least_shared keys, least_rare of which occur in at most rarest rows of the window."""
     df = document_frequency(rows)

@@ -35,12 +35,12 @@ def asof() -> Column:
 
 
 def title_of(text: str = "text") -> Column:
-    """The first line, cut to a title's length."""
-    return F.substring(first_line(F.coalesce(F.col(text), F.lit(""))), 1, 120)
+    """The whole first line."""
+    return first_line(F.coalesce(F.col(text), F.lit("")))
 
 
 #: The same in SQL.
-TITLE = "substr(split_part(coalesce(text, ''), chr(10), 1), 1, 120)"
+TITLE = "split_part(coalesce(text, ''), chr(10), 1)"
 
 
 def stories(spark: SparkSession, sf: str) -> DataFrame:

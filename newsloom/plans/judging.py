@@ -39,9 +39,9 @@ def cache_join(spark: SparkSession, sf: str) -> DataFrame:
 _PROVIDER = "(SELECT conv_id AS item, turn % 4 AS provider, CASE WHEN length(text) % 5 = 0 THEN NULL ELSE length(text) % 2 = 0 END AS ok, length(text) > 300 AS concrete FROM conversations)"
 
 
-@query(f"WITH v AS (SELECT *, [3, 1, 4, 2][provider + 1] AS priority, provider = 1 AS weak FROM {_PROVIDER} WHERE provider <> 2) SELECT item, provider, ok FROM v WHERE ok IS NOT NULL AND (NOT weak OR (ok AND concrete)) QUALIFY row_number() OVER (PARTITION BY item ORDER BY priority, provider) = 1 AND item % 2 = 0")
+@query(f"WITH v AS (SELECT *, [3, 1, 4, 2][provider + 1] AS priority, provider = 1 AS weak FROM {_PROVIDER} WHERE provider <> 2) SELECT item, provider, ok FROM v WHERE ok IS NOT NULL AND (NOT weak OR (ok AND concrete)) QUALIFY row_number() OVER (PARTITION BY item ORDER BY priority, provider) = 1")
 def provider_first_usable(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").where("conv_id % 2 = 0").dropDuplicates(["conv_id", "turn"])
+    c = table(spark, sf, "conversations").dropDuplicates(["conv_id", "turn"])
     size = F.length("text")
     rows = c.select(F.col("conv_id").alias("item"), (F.col("turn") % 4).alias("provider"), F.when(size % 5 != 0, size % 2 == 0).alias("ok"), (size > 300).alias("concrete"))
     providers = spark.createDataFrame([(0, 3, False), (1, 1, True), (2, 4, False), (3, 2, False)], "provider long, priority int, weak boolean")

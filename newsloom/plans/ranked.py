@@ -19,6 +19,13 @@ ACTORS = ["the", "les", "der", "los"]
 CRITICAL = ["worthless", "stupid", "error", "rights"]
 TERMS = {"high": ["license", "rights"], "medium": ["version", "public"], "actions": ["with", "from", "pour"], "entities": ["the", "les", "der"], "concrete": ["gnu", "apache"], "routine": ["this", "une", "eine"], "low": ["###", "***", "!!"]}
 COUNTRIES = ["work", "license", "all"]
+# Events by groups of terms, and words that name events and places, in the languages of the tables.
+EVENTS = [[["apache"], ["license"], ["version"]], [["copyright", "rights"], ["reserved"], ["company", "inc"]]]
+EVENT_WORDS, PLACE_WORDS = ["license", "released", "copyright"], ["gnu", "apache", "cc", "mit"]
+
+
+def _has(word: str) -> str:
+    return f"contains(norm, '{word}')"
 
 
 def _count(text: str, terms: list[str]) -> str:
@@ -143,7 +150,8 @@ def title_sets(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lower(normal_space(title_of())).alias("norm"))
     one = t.groupBy("norm").agg(F.min("id").alias("id"))
     norm = F.col("norm")
-    return one.select("id", "norm", K.title_tokens(norm).alias("tokens"), K.story_tokens(norm).alias("story"), K.numbers_in(norm).alias("numbers"), K.fingerprint(norm).alias("keys"))
+    numbers = K.numbers_in(norm)
+    return one.select("id", "norm", K.title_tokens(norm).alias("tokens"), K.story_tokens(norm).alias("story"), numbers.alias("numbers"), K.fingerprint(norm).alias("keys"), similarity.signatures(norm, numbers, EVENTS, EVENT_WORDS, PLACE_WORDS).alias("signature"))
 
 
 _STOPS = "[" + ", ".join(f"'{v}'" for v in K.STOP_WORDS) + "]"
@@ -153,25 +161,29 @@ _KEYS = f"""list_filter(list_distinct(list_transform(list_filter(regexp_extract_
 _SETS = f"""norms AS (SELECT min(doc_id) AS id, norm FROM (SELECT doc_id, lower(trim(regexp_replace({TITLE}, '\\s+', ' ', 'g'))) AS norm FROM documents) GROUP BY norm),
     toks AS (SELECT id, norm, list_filter(list_distinct(string_split(regexp_replace(norm, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')), lambda w: length(w) >= 2 AND NOT list_contains({_STOPS}, w)) AS tokens, {_KEYS} AS keys, list_distinct(regexp_extract_all(norm, '[0-9]+')) AS numbers FROM norms),
     sets AS (SELECT *, list_filter(tokens, lambda w: NOT list_contains({_GENERIC}, w)) AS story FROM toks)"""
+_HITS = [" + ".join(f"({' OR '.join(_has(w) for w in g)})::INT" for g in groups) for groups in EVENTS]
+_SIGNED = f"""signed AS (SELECT id, '' AS key FROM sets WHERE false {' '.join(f"UNION ALL SELECT id, 'event {k}' FROM sets WHERE {h} >= 2" for k, h in enumerate(_HITS))}
+    UNION ALL SELECT id, n || ' ' || e || ' ' || p FROM (SELECT id, norm, unnest(numbers) AS n FROM sets), (VALUES {', '.join(f"('{e}')" for e in EVENT_WORDS)}) x(e), (VALUES {', '.join(f"('{p}')" for p in PLACE_WORDS)}) y(p) WHERE contains(norm, e) AND contains(norm, p)),
+    stars AS (SELECT DISTINCT min(id) OVER (PARTITION BY key) AS a, id AS b FROM signed)"""
 _JAC = "CASE WHEN len({0}) + len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1}))::DOUBLE / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) END"
 _CON = "CASE WHEN least(len({0}), len({1})) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1}))::DOUBLE / least(len({0}), len({1})) END"
 _SIM = f"CASE WHEN len(a.story) = 0 OR len(b.story) = 0 THEN {_JAC.format('a.tokens', 'b.tokens')} ELSE 0.45 * {_JAC.format('a.story', 'b.story')} + 0.55 * {_CON.format('a.story', 'b.story')} END"
-_SAME = f"({_SIM} >= 0.72 OR (len(list_intersect(a.story, b.story)) >= 4 AND {_SIM} >= 0.5) OR (least(len(a.tokens), len(b.tokens)) <= 3 AND {_JAC.format('a.tokens', 'b.tokens')} >= 0.8) OR (list_has_any(a.numbers, b.numbers) AND {_SIM} >= 0.45 AND len(list_intersect(a.story, b.story)) >= 3))"
+_SAME = f"({_SIM} >= 0.72 OR (len(list_intersect(a.story, b.story)) >= 4 AND {_SIM} >= 0.5) OR (least(len(a.story), len(b.story)) <= 3 AND {_JAC.format('a.tokens', 'b.tokens')} >= 0.8) OR (list_has_any(a.numbers, b.numbers) AND {_SIM} >= 0.45 AND len(list_intersect(a.story, b.story)) >= 3))"
 
 
-@query(f"WITH {_SETS} SELECT a.id AS a, b.id AS b FROM sets a JOIN sets b ON a.id < b.id AND list_has_any(a.tokens, b.tokens) WHERE {_SAME}")
+@query(f"WITH {_SETS}, {_SIGNED} SELECT a.id AS a, b.id AS b FROM sets a JOIN sets b ON a.id < b.id AND list_has_any(a.tokens, b.tokens) WHERE {_SAME} UNION SELECT a, b FROM stars WHERE a < b")
 def same_story_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.self_pairs(title_sets(spark, sf), "tokens", 1, similarity.same_story()).select("a", "b")
+    return similarity.story_pairs(title_sets(spark, sf), similarity.same_story())
 
 
-@query(f"WITH {_SETS} SELECT a.id AS a, b.id AS b FROM sets a JOIN sets b ON a.id < b.id AND list_has_any(a.tokens, b.tokens) WHERE {_SAME} OR (len(list_intersect(a.story, b.story)) >= 3 AND ({_CON.format('a.story', 'b.story')} >= 0.78 OR ({_CON.format('a.story', 'b.story')} >= 0.62 AND list_has_any(a.numbers, b.numbers))))")
+@query(f"WITH {_SETS}, {_SIGNED} SELECT a.id AS a, b.id AS b FROM sets a JOIN sets b ON a.id < b.id AND list_has_any(a.tokens, b.tokens) WHERE {_SAME} OR (len(list_intersect(a.story, b.story)) >= 3 AND ({_CON.format('a.story', 'b.story')} >= 0.78 OR ({_CON.format('a.story', 'b.story')} >= 0.62 AND list_has_any(a.numbers, b.numbers)))) UNION SELECT a, b FROM stars WHERE a < b")
 def same_event_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.self_pairs(title_sets(spark, sf), "tokens", 1, similarity.same_event()).select("a", "b")
+    return similarity.story_pairs(title_sets(spark, sf), similarity.same_event())
 
 
 @query(f"WITH {_SETS} SELECT a.id AS a, b.id AS b, len(list_intersect(a.keys, b.keys))::INT AS shared FROM sets a JOIN sets b ON a.id < b.id AND list_has_any(a.keys, b.keys) WHERE (len(list_intersect(a.keys, b.keys)) >= 6 AND {_CON.format('a.keys', 'b.keys')} >= 0.4) OR (len(list_intersect(a.keys, b.keys)) >= 4 AND {_CON.format('a.keys', 'b.keys')} >= 0.6)")
 def fp_overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = similarity.self_pairs(title_sets(spark, sf), "keys", 4, similarity.fingerprint_overlap())
+    pairs = similarity.overlap_pairs(title_sets(spark, sf).select("id", "keys"))
     return pairs.select("a", "b", K.shared(F.col("a_keys"), F.col("b_keys")).alias("shared"))
 
 
@@ -182,6 +194,16 @@ def containment_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.decided(met, rows, rows, similarity.headline_containment()).select("a", "b")
 
 
+@query(f"WITH {_SETS} SELECT a.id AS a, b.id AS b FROM sets a JOIN sets b ON a.id <> b.id AND list_has_any(a.keys, b.keys) WHERE (len(a.keys) >= 5 AND len(list_intersect(a.keys, b.keys)) = len(a.keys) AND len(b.keys) - len(a.keys) <= 2) OR (len(list_intersect(a.keys, b.keys)) >= 4 AND {_CON.format('a.keys', 'b.keys')} >= 0.5)")
+def same_headline_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Earlier and later headlines (in either order of ids) that repeat each other by containment or by half of the words."""
+    rows = title_sets(spark, sf)
+    half = lambda n: F.greatest(F.lit(4), F.ceil(n * 0.5))
+    met = similarity.candidate_pairs(rows, rows, "keys", half, F.col("a") != F.col("b"), 4)
+    met = met.union(met.select("b", "a")).distinct()
+    return similarity.decided(met, rows, rows, similarity.same_headline(F.lit(False))).select("a", "b")
+
+
 @query(
     f"""WITH {_SETS}, df AS (SELECT key, count(*) AS df FROM (SELECT unnest(keys) AS key FROM sets) GROUP BY key),
     p AS (SELECT a.id AS a, b.id AS b, unnest(list_intersect(a.keys, b.keys)) AS key FROM sets a JOIN sets b ON a.id < b.id AND list_has_any(a.keys, b.keys))
@@ -213,7 +235,7 @@ def semantic_anti_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def _clusters(spark: SparkSession, sf: str, heads_only: bool) -> DataFrame:
     rows = title_sets(spark, sf)
-    pairs = similarity.self_pairs(rows, "keys", 4, similarity.fingerprint_overlap()).select("a", "b")
+    pairs = similarity.overlap_pairs(rows.select("id", "keys")).select("a", "b")
     return clusters.greedy_clusters(rows.select("id", F.col("id").alias("seq")), pairs, heads_only)
 
 
@@ -240,7 +262,7 @@ def front_page(spark: SparkSession, sf: str) -> DataFrame:
     rows = gated(spark, sf).where("reason is null").select("id", "title", F.coalesce("source", F.lit("-")).alias("source"), (F.col("keyword") + F.col("recency")).alias("score"))
     sets = rows.select("id", K.fingerprint(F.lower(normal_space(F.col("title")))).alias("keys"))
     one = sets.groupBy("keys").agg(F.min("id").alias("id"))
-    pairs = similarity.self_pairs(one, "keys", 4, similarity.fingerprint_overlap()).select("a", "b")
+    pairs = similarity.overlap_pairs(one).select("a", "b")
     named = group(one.select("id", F.col("id").alias("seq")), pairs)
     best = clusters.representatives(rows.join(named, "id"), "cluster_id", F.desc("score"), F.col("id"))
     return ranking.top(ranking.diverse_order(best, "source", "score", "id"), 20, F.desc("adjusted"), F.col("id"))

@@ -141,14 +141,14 @@ def heartbeat_staleness(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT ts::DATE AS run, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'blocked' WHEN 'click' THEN 'ambiguous' ELSE 'published' END AS result FROM events WHERE value < 10),
+    """WITH a AS (SELECT ts::DATE AS run, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'blocked' WHEN 'click' THEN 'ambiguous' ELSE 'published' END AS result FROM events),
     c AS (SELECT run, count(*) AS attempts, count_if(result = 'published')::BIGINT AS published, count_if(result = 'failed')::BIGINT AS failed, count_if(result = 'blocked')::BIGINT AS blocked, count_if(result = 'ambiguous')::BIGINT AS ambiguous FROM a GROUP BY run)
     SELECT *, CASE WHEN published = 0 AND failed > 0 THEN 'publication_failure' WHEN published = 0 AND blocked > 0 THEN 'editorial_blocked' WHEN failed > published THEN 'degraded' ELSE 'healthy' END AS status FROM c"""
 )
 def health_status(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("event_type")
     result = F.when(kind == "error", "failed").when(kind == "view", "blocked").when(kind == "click", "ambiguous").otherwise("published")
-    return audit.health(table(spark, sf, "events").where("value < 10").select(F.to_date("ts").alias("run"), result.alias("result")), "run")
+    return audit.health(table(spark, sf, "events").select(F.to_date("ts").alias("run"), result.alias("result")), "run")
 
 
 @query("SELECT kind, status, count(*) AS feeds, count_if(candidates > 0)::BIGINT AS with_candidates, sum(candidates)::BIGINT AS candidates, avg(duration) AS mean_duration FROM (SELECT event_type AS kind, user_id % 3 AS status, floor(value)::INT % 5 AS candidates, value AS duration FROM events) GROUP BY ROLLUP (kind, status)")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import audit, boards, memory, similarity, verdicts
+from newsloom.operators import audit, boards, clusters, memory, similarity, verdicts
 from newsloom.operators import components as components_module
 
 T0 = datetime(2024, 1, 31)
@@ -79,3 +80,43 @@ def test_components_of_hubs_and_chains(spark, monkeypatch):
     assert {r.node: r.label for r in components_module.components(df).collect()} == want
     monkeypatch.setattr(components_module, "MOST_HUBS", 0)
     assert {r.node: r.label for r in components_module.components(df).collect()} == want
+
+
+def plain_greedy(n, pairs, heads_only):
+    """One greedy pass in the order of ids."""
+    near = {i: set() for i in range(n)}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    of: dict[int, int] = {}
+    for i in range(n):
+        found = [of[j] for j in near[i] if j in of and (of[j] == j or not heads_only)]
+        of[i] = min(found) if found else i
+    return of
+
+
+@pytest.mark.parametrize("heads_only", [False, True])
+@pytest.mark.parametrize("largest", [1, 4, 1000])
+def test_greedy_clusters_in_tasks_and_in_rounds(spark, heads_only, largest):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(70)] + [(70 + i, 71 + i) for i in range(6)]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    rows = spark.createDataFrame([(i, i) for i in range(80)], "id long, seq long")
+    got = clusters.greedy_clusters(rows, spark.createDataFrame(pairs, "a long, b long"), heads_only, largest).collect()
+    assert {r.id: r.cluster_id for r in got} == plain_greedy(80, pairs, heads_only) and len(got) == 80
+
+
+def test_story_pairs_by_rule(spark):
+    """Each rule's pair is found, whatever its length: signature, short titles, part of a longer title, number."""
+    titles = ["quake of 5 in iran kills", "iran shaken by quake, 5 dead say rescue teams", "ab cd", "ab cd news", "ab", "one two three four five six", "one two three four five six seven eight nine ten", "alpha beta gamma delta 77", "alpha beta gamma omega sigma 77"]
+    from newsloom.functions import tokens as K
+
+    df = spark.createDataFrame(list(enumerate(titles)), "id long, norm string")
+    norm, numbers = F.col("norm"), K.numbers_in(F.col("norm"))
+    rows = df.select("id", "norm", K.title_tokens(norm).alias("tokens"), K.story_tokens(norm).alias("story"), numbers.alias("numbers"), similarity.signatures(norm, numbers, [[["rescue"], ["shaken"], ["x"]]], ["quake"], ["iran"]).alias("signature"))
+    got = {tuple(r) for r in similarity.story_pairs(rows, similarity.same_story()).collect()}
+    every = rows.crossJoin(rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])).where("id < b_id")
+    for c in rows.columns:
+        every = every.withColumnRenamed(c, f"a_{c}")
+    plain = {(r.a_id, r.b_id) for r in every.where(similarity.same_story() | (F.size(F.array_intersect("a_signature", "b_signature")) > 0)).collect()}
+    assert got == plain >= {(0, 1), (5, 6), (7, 8)}
