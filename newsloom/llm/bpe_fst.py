@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.runtime import lean, workers_import
 
-#: Bounds of a worker's tables; a full table is emptied and filled anew.
-MOST_MOVES, MOST_PIECES, MOST_PAIRS = 300_000, 400_000, 300_000
+#: Bounds of a worker's tables. With the moves full, new ones are made and not kept; the other two are emptied and filled anew.
+MOST_MOVES, MOST_PIECES, MOST_PAIRS = 350_000, 600_000, 400_000
 #: Longer pieces are not remembered: they hardly come again.
 REMEMBERED = 48
 
@@ -25,6 +26,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+#: The token emitted last (-1: none, -2: no guess stands right after it), and the guesses (node, tokens), that at the root last.
+State = tuple[int, tuple[tuple[int, tuple[int, ...]], ...]]
+
+
 class Transducer:
     """Reads the bytes of a piece and emits its BPE tokens as soon as no continuation can change them.
 
@@ -59,11 +64,7 @@ class Transducer:
                     to = self.down[node * 256 + byte] = len(self.token) - 1
                 node = to
             self.token[node] = token
-        self._reset()
-
-    def _reset(self) -> None:
-        # a state: the token emitted last (-1: none, -2: no guess stands right after it), and the guesses, that at the root last
-        self.states: list[tuple[int, tuple[tuple[int, tuple[int, ...]], ...]]] = [(-1, ((0, ()),))]
+        self.states: list[State] = [(-1, ((0, ()),))]
         self.number = {self.states[0]: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # state * 256 + byte: (state, emitted tokens)
 
@@ -109,31 +110,42 @@ class Transducer:
             else:
                 return True
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, guesses = self.states[state]
+    def _step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+        before, guesses = state
         kept: list[tuple[int, tuple[int, ...]]] = []
         read = None
         for node, tokens in guesses:
             to = self.down.get(node * 256 + byte)
             if to is None:
                 continue
-            token = self.token[to]
-            if read is None and token >= 0 and self.fits(tokens[-1] if tokens else before, token):
-                read = (*tokens, token)
+            if read is None and self.token[to] >= 0:
+                a, token = tokens[-1] if tokens else before, self.token[to]
+                known = self.pairs.get(a * 0x1000000 + token)
+                if known or known is None and self.fits(a, token):
+                    read = (*tokens, token)
             if self.inner[to]:
                 kept.append((to, tokens))
         if read is None:
             raise ValueError("the ranks lack a single byte")
-        settled = len(read)
+        settled, stands = len(read), False
         for _, tokens in kept:
             settled = min(settled, len(tokens))
             while tokens[:settled] != read[:settled]:
                 settled -= 1
-        kept.append((0, read))
-        emitted = read[:settled]
-        rest = tuple((node, tokens[settled:]) for node, tokens in kept)
-        last = -2 if all(tokens for _, tokens in rest) else emitted[-1] if emitted else before
-        key = (last, rest)
+            if not settled:
+                break
+        if settled:
+            before = read[settled - 1]
+            kept = [(node, tokens[settled:]) for node, tokens in kept]
+        kept.append((0, read[settled:]))
+        for _, tokens in kept:
+            if not tokens:
+                stands = True
+                break
+        return (before if stands else -2, tuple(kept)), read[:settled]
+
+    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        key, emitted = self._step(self.states[state], byte)
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
@@ -143,21 +155,26 @@ class Transducer:
 
     def emit(self, piece: bytes) -> Iterator[tuple[int, ...]]:
         """For every byte the tokens that it settles, and then those that the end settles."""
-        if len(self.moves) >= MOST_MOVES:
-            self._reset()
-        at, moves = 0, self.moves
+        state = self.states[0]
         for byte in piece:
-            move = moves.get(at * 256 + byte) or self._move(at, byte)
-            at = move[0]
-            yield move[1]
-        yield self.states[at][1][-1][1]
+            state, emitted = self._step(state, byte)
+            yield emitted
+        yield state[1][-1][1]
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.moves) >= MOST_MOVES:
-            self._reset()
+        """What emit() gives, along the moves that are known. New ones are kept while there is room."""
         at, moves, out = 0, self.moves, []
-        for byte in piece:
-            move = moves.get(at * 256 + byte) or self._move(at, byte)
+        for k, byte in enumerate(piece):
+            move = moves.get(at * 256 + byte)
+            if move is None:
+                if len(moves) >= MOST_MOVES:
+                    state = self.states[at]
+                    for last in piece[k:]:
+                        state, emitted = self._step(state, last)
+                        out += emitted
+                    out += state[1][-1][1]
+                    return out
+                move = self._move(at, byte)
             at = move[0]
             if move[1]:
                 out += move[1]
@@ -234,7 +251,7 @@ class Codec:
             piece = pieces[i]
             ids = known.get(piece)
             if ids is None:
-                ids = np.array(self.machine.encode(piece.encode()), np.int32).tobytes()
+                ids = array("i", self.machine.encode(piece.encode())).tobytes()
                 if len(piece) <= REMEMBERED:
                     if len(known) >= MOST_PIECES:
                         known.clear()
