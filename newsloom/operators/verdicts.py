@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.tokens import scaled_numbers
 from newsloom.operators.rules import Rule, all_reasons
+from newsloom.runtime import broadcast_if_small
 
 SCOPES = ["international", "national", "regional", "local"]
 
@@ -40,7 +41,7 @@ def consensus(verdicts: DataFrame, item: str, model: str, flag: str) -> DataFram
 
 def first_usable(verdicts: DataFrame, providers: DataFrame, cooling: DataFrame, item: str) -> DataFrame:
     """The verdict of each item's first provider by priority that parsed, rests not and, if weak, approves something concrete."""
-    rows = verdicts.join(F.broadcast(providers), "provider").join(F.broadcast(cooling.select("provider").distinct()), "provider", "left_anti")
+    rows = verdicts.join(broadcast_if_small(providers), "provider").join(broadcast_if_small(cooling.select("provider").distinct()), "provider", "left_anti")
     usable = F.col("ok").isNotNull() & (~F.col("weak") | (F.col("ok") & F.col("concrete")))
     rows = rows.where(usable)
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(item).orderBy("priority", "provider"))).where("_n = 1").drop("_n")

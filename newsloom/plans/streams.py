@@ -41,7 +41,7 @@ def min_gap_violations(spark: SparkSession, sf: str) -> DataFrame:
     return audit.gap_violations(calls(spark, sf), "t", "user_id", "event_id", 600).select("event_id", "gap_us")
 
 
-@query(f"WITH c AS (SELECT event_id, user_id, ts, {_STATUS} AS status FROM events), u AS (SELECT event_id, ts, max(CASE WHEN status <> 200 THEN epoch_us(ts) + CASE WHEN status = 429 THEN 86400 ELSE 7200 END * 1000000::BIGINT END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rests_until FROM c) SELECT event_id, rests_until FROM u WHERE epoch_us(ts) < rests_until")
+@query(f"WITH c AS (SELECT event_id, user_id, ts, {_STATUS} AS status FROM events), u AS (SELECT event_id, ts, lag(CASE WHEN status <> 200 THEN epoch_us(ts) + CASE WHEN status = 429 THEN 86400 ELSE 7200 END * 1000000::BIGINT END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rests_until FROM c) SELECT event_id, rests_until FROM u WHERE epoch_us(ts) < rests_until")
 def cooldown_open(spark: SparkSession, sf: str) -> DataFrame:
     out = audit.open_cooldowns(calls(spark, sf), "t", "user_id", "event_id", F.col("status") != 200, F.when(F.col("status") == 429, 86_400).otherwise(7_200))
     return out.select("event_id", "rests_until")
