@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import normal_space, western_digits
+from newsloom.runtime import broadcast_if_small
 
 
 def html_cells(html: Column) -> Column:
@@ -60,7 +61,7 @@ def weather_rows(answers: DataFrame, cities: DataFrame, json: str = "value") ->
     parsed = parsed.where(F.assert_true(F.size("all") == F.col("n"), F.lit("answers and cities differ in number")).isNull())
     rows = parsed.select(F.posexplode("all").alias("place", "x"))
     first = lambda c: F.get(F.col(f"x.daily.{c}"), 0)
-    return rows.join(F.broadcast(cities), "place").select("city", F.col("x.current.temperature_2m").alias("now"), first("temperature_2m_max").alias("tmax"), first("temperature_2m_min").alias("tmin"), first("precipitation_probability_max").alias("rain"), F.coalesce(first("weather_code"), F.col("x.current.weather_code")).alias("code"))
+    return rows.join(broadcast_if_small(cities), "place").select("city", F.col("x.current.temperature_2m").alias("now"), first("temperature_2m_max").alias("tmax"), first("temperature_2m_min").alias("tmin"), first("precipitation_probability_max").alias("rain"), F.coalesce(first("weather_code"), F.col("x.current.weather_code")).alias("code"))
 
 
 def extremes(rows: DataFrame, group: str, name: str, high: str, low: str, order: str) -> DataFrame:
@@ -111,8 +112,17 @@ def due_boards(matches: DataFrame, day: str, start: str, finished: str, at_hour:
 
 
 def longest_alias(rows: DataFrame, aliases: DataFrame, name: str, id_column: str) -> DataFrame:
-    """Each row's target by the longest alias (alias, target) that its lower-cased name holds; the table of aliases is small."""
-    met = rows.join(F.broadcast(aliases), F.lower(name).contains(F.col("alias")))
+    """Each row's target by the longest alias (alias, target) that its lower-cased name holds.
+
+    Names give their parts of the lengths that aliases have, and parts and aliases meet by equality: no alias is tried on a name
+    that lacks it.
+    """
+    sizes = [r.n for r in aliases.select(F.length("alias").alias("n")).where("n > 0").distinct().collect()]  # lengths of names: few
+    low = F.lower(name)
+    parts = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(low, i, F.lit(n))) for n in sizes]
+    cut = rows.withColumn("alias", F.explode(F.array_distinct(F.flatten(F.array(*parts).cast("array<array<string>>")))))
+    met = cut.join(broadcast_if_small(aliases.dropDuplicates(["alias"])), "alias")
+    met = met.select(*rows.columns, *aliases.columns)
     return met.withColumn("_n", F.row_number().over(Window.partitionBy(id_column).orderBy(F.desc(F.length("alias")), "alias"))).where("_n = 1").drop("_n")
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,3 +64,32 @@ def fit_lines(lines: Column, limit: int) -> Column:
         return F.struct(F.when(fits, longer).otherwise(acc.text).alias("text"), (acc.taken + fits.cast("int")).alias("taken"), (acc.skipped + (~fits).cast("int")).alias("skipped"))
 
     return F.aggregate(lines, start, step)
+
+
+def fit_boards(rows: DataFrame, group: str, order: str, line: str, limit: int) -> DataFrame:
+    """(group, text, taken, skipped): fit_lines() for each group's lines in their order, whatever the number of lines.
+
+    Groups are sorted by Spark and pass a task line by line; it holds one text of at most `limit` characters.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: list = []  # group, text, taken, skipped
+        for pdf in batches:
+            done = []
+            for key, new in pdf[[group, line]].itertuples(index=False):
+                if not now or now[0] != key:
+                    done += [now] if now else []
+                    now = [key, "", 0, 0]
+                longer = f"{now[1]}\n{new}" if now[1] else new
+                if len(longer) <= limit:
+                    now[1:3] = longer, now[2] + 1
+                else:
+                    now[3] += 1
+            if done:
+                yield pd.DataFrame(done, columns=[group, "text", "taken", "skipped"])
+        if now:
+            yield pd.DataFrame([now], columns=[group, "text", "taken", "skipped"])
+
+    lines = rows.where(F.col(group).isNotNull() & F.col(line).isNotNull()).select(group, order, line)
+    ordered = lines.repartition(group).sortWithinPartitions(group, order, line)
+    return ordered.mapInPandas(run, f"{group} {dict(rows.dtypes)[group]}, text string, taken int, skipped int")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.tokens import containment, jaccard, shared
@@ -154,10 +154,20 @@ def rare_follow_up(pairs: DataFrame, rows: DataFrame, rarest: int = 2, least_sha
 
 
 def newest_earlier(left: DataFrame, right: DataFrame, key: str, window: str) -> DataFrame:
-    """Each left row (id, key, t) with the newest right row of its key from the window before it; null without one."""
-    r = right.select(F.col(key).alias("r_key"), F.col("t").alias("r_t"), F.col("id").alias("r_id"))
-    met = left.join(r, (F.col(key) == F.col("r_key")) & (F.col("r_t") < F.col("t")) & (F.col("r_t") >= F.col("t") - F.expr(window)), "left")
-    return met.groupBy("id", key, "t").agg(F.max(F.struct("r_t", "r_id")).alias("m")).select("id", key, "t", F.col("m.r_id").alias("match_id"), F.col("m.r_t").alias("match_t"))
+    """Each left row (id, key, t) with the newest right row of its key from the window before it; null without one.
+
+    Both sides go through one ordered pass per key: the last right row before a left row is the newest, and the window then
+    decides on it, so no row meets more than one other.
+    """
+    none = F.lit(None)
+    a = left.select("id", key, "t", F.lit(False).alias("_right"), none.cast(left.schema["t"].dataType).alias("_t"), none.cast(left.schema["id"].dataType).alias("_id"))
+    b = right.select("id", key, "t", F.lit(True).alias("_right"), F.col("t").alias("_t"), F.col("id").alias("_id")).where(F.col(key).isNotNull())
+    # a right row of the same moment is not earlier: left rows come first
+    w = Window.partitionBy(key).orderBy("t", "_right", "id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("_right"), F.struct("_t", "_id")), ignorenulls=True).over(w)
+    both = a.unionByName(b).withColumn("_last", last).where("not _right")
+    fits = F.col("_last._t") >= F.col("t") - F.expr(window)
+    return both.select("id", key, "t", F.when(fits, F.col("_last._id")).alias("match_id"), F.when(fits, F.col("_last._t")).alias("match_t"))
 
 
 def anchored(rows: DataFrame, common_keys: list[str], speaker_within: str = "INTERVAL 2 HOURS") -> DataFrame:

@@ -203,5 +203,4 @@ def alias_longest_match(spark: SparkSession, sf: str) -> DataFrame:
 def bounded_board(spark: SparkSession, sf: str) -> DataFrame:
     """Per nation: customers' lines appended while the board fits its message; longer ones are skipped and counted."""
     line: Column = F.concat_ws(": ", "c_name", boards.format_price(F.col("c_acctbal") * 1000))
-    rows = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("line")))), lambda x: x.line).alias("lines"))
-    return rows.select("c_nationkey", ranking.fit_lines(F.col("lines"), 3900).alias("b")).select("c_nationkey", "b.*")
+    return ranking.fit_boards(table(spark, sf, "customer").select("c_nationkey", "c_custkey", line.alias("line")), "c_nationkey", "c_custkey", "line", 3900)

@@ -239,12 +239,20 @@ def _clusters(spark: SparkSession, sf: str, heads_only: bool) -> DataFrame:
     return clusters.greedy_clusters(rows.select("id", F.col("id").alias("seq")), pairs, heads_only)
 
 
-@query()
+_FP = f"fp AS (SELECT a.id AS a, b.id AS b FROM sets a JOIN sets b ON a.id < b.id AND list_has_any(a.keys, b.keys) WHERE (len(list_intersect(a.keys, b.keys)) >= 6 AND {_CON.format('a.keys', 'b.keys')} >= 0.4) OR (len(list_intersect(a.keys, b.keys)) >= 4 AND {_CON.format('a.keys', 'b.keys')} >= 0.6))"
+_REACHED = "reached(id, cur) AS (SELECT id, id FROM sets UNION SELECT reached.id, fp.a FROM reached JOIN fp ON fp.b = cur)"
+
+
+@query(f"WITH RECURSIVE {_SETS}, {_FP}, {_REACHED} SELECT id, min(cur) AS cluster_id FROM reached GROUP BY id")
 def clusters_single_link(spark: SparkSession, sf: str) -> DataFrame:
     return _clusters(spark, sf, False)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_SETS}, {_FP}, placed AS (SELECT sets.id, row_number() OVER (ORDER BY sets.id) AS n, coalesce(before, []) AS before FROM sets LEFT JOIN (SELECT b, list(a) AS before FROM fp GROUP BY b) ON b = sets.id),
+    walk(n, heads) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT placed.n, CASE WHEN list_has_any(before, heads) THEN heads ELSE list_append(heads, placed.id) END FROM walk JOIN placed ON placed.n = walk.n + 1)
+    SELECT placed.id, coalesce(list_min(list_intersect(before, heads)), placed.id) AS cluster_id FROM placed, (SELECT heads FROM walk ORDER BY n DESC LIMIT 1)"""
+)
 def clusters_star(spark: SparkSession, sf: str) -> DataFrame:
     return _clusters(spark, sf, True)
 
@@ -255,12 +263,21 @@ def cluster_representatives(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.merged(rows, "cluster", "score", ["source"], "id")
 
 
-@query()
+_ACCEPTED = f"""ok AS (SELECT id, title, coalesce(source, '-') AS source, keyword + recency AS score, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS norm FROM {_GATED} WHERE reason IS NULL),
+    keyed AS (SELECT *, list_sort({_KEYS}) AS keys FROM ok), sets AS (SELECT min(id) AS id, keys FROM keyed GROUP BY keys)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_ACCEPTED}, {_FP}, {_REACHED}, named AS (SELECT id, min(cur) AS cluster_id FROM reached GROUP BY id),
+    best AS (SELECT id, title, source, score, cluster_id FROM ok JOIN named USING (id) QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, id) = 1),
+    fam AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, id)::INT AS family_place FROM best), adj AS (SELECT *, score - CASE family_place WHEN 1 THEN 0 WHEN 2 THEN 4 WHEN 3 THEN 10 ELSE 18 END AS adjusted FROM fam)
+    SELECT *, row_number() OVER (ORDER BY adjusted DESC, id)::INT AS place FROM adj ORDER BY adjusted DESC, id LIMIT 20"""
+)
 def front_page(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: accepted stories, one per cluster of like titles, in diverse order (a top-k report)."""
     group = clusters.greedy_clusters
     rows = gated(spark, sf).where("reason is null").select("id", "title", F.coalesce("source", F.lit("-")).alias("source"), (F.col("keyword") + F.col("recency")).alias("score"))
-    sets = rows.select("id", K.fingerprint(F.lower(normal_space(F.col("title")))).alias("keys"))
+    sets = rows.select("id", F.array_sort(K.fingerprint(F.lower(normal_space(F.col("title"))))).alias("keys"))
     one = sets.groupBy("keys").agg(F.min("id").alias("id"))
     pairs = similarity.overlap_pairs(one).select("a", "b")
     named = group(one.select("id", F.col("id").alias("seq")), pairs)

@@ -87,9 +87,11 @@ def newest_earlier(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT a.event_id AS a, b.event_id AS b, CASE WHEN a.ts - b.ts <= INTERVAL 8 HOURS THEN 1 ELSE 2 END AS strength FROM events a JOIN events b ON a.event_type = b.event_type AND a.user_id = b.user_id AND b.ts < a.ts AND b.ts >= a.ts - INTERVAL 18 HOURS")
 def incident_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.concat_ws("|", "event_type", "user_id").alias("k"), F.col("ts").alias("t"))
-    b = e.select(F.col("id").alias("b"), "k", F.col("t").alias("b_t"))
-    met = e.join(b, "k").where((F.col("b_t") < F.col("t")) & (F.col("b_t") >= F.col("t") - F.expr("INTERVAL 18 HOURS")))
+    # rows meet by key and cell of 18 hours, their own or the one before, so a key that lives long stays linear
+    cell = F.floor(F.unix_timestamp("ts") / (18 * 3600))
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.concat_ws("|", "event_type", "user_id").alias("k"), F.col("ts").alias("t"), cell.alias("cell"))
+    b = e.select(F.col("id").alias("b"), "k", F.col("t").alias("b_t"), "cell")
+    met = e.withColumn("cell", F.explode(F.array(F.col("cell"), F.col("cell") - 1))).join(b, ["k", "cell"]).where((F.col("b_t") < F.col("t")) & (F.col("b_t") >= F.col("t") - F.expr("INTERVAL 18 HOURS")))
     return met.select(F.col("id").alias("a"), "b", F.when(F.col("b_t") >= F.col("t") - F.expr("INTERVAL 8 HOURS"), 1).otherwise(2).alias("strength"))
 
 

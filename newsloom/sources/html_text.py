@@ -2,77 +2,121 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Tags of page furniture, tags that end a block, tags without an end, and the places where articles stand.
 DROPPED = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript", "iframe"}
-BLOCKS = {"p", "li", "h1", "h2", "h3", "td", "blockquote"}
-VOID = {"br", "img", "meta", "link", "input", "hr", "source", "wbr"}
+BLOCKS = {"p", "li", "h1", "h2", "h3", "td", "blockquote", "div", "section", "article", "main", "ul", "ol", "table", "tr", "pre", "figure", "figcaption"}
+VOID = {"br", "img", "meta", "link", "input", "hr", "source", "wbr", "area", "base", "col", "embed", "track"}
+ARTICLE_TAGS, ARTICLE_CLASSES, ARTICLE_PROPERTY = {"article", "main"}, {"article-body", "article__body", "news-body", "news-content", "content"}, "articleBody"
+FURNITURE = ["sidebar", "related", "most-read", "share", "social", "comments", "newsletter", "subscribe", "promo", "banner", "breadcrumb", "tags", "cookie", "popup", "ad"]
+_FURNITURE = re.compile(r"(^|[\s_-])(" + "|".join(FURNITURE) + r")s?($|[\s_-])", re.I)
+#: Phrases that tell page furniture inside an article.
+PHRASES = ["sign up for our newsletter", "copy link", "related articles", "subscribe to"]
 
 
 class _Blocks(HTMLParser):
-    """Text of block tags with the share of it that is inside links."""
+    """Text blocks outside page furniture, with the share of text in links, the list and the article containers they stand in."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.dropped = self.link = 0
-        self.blocks: list[tuple[str, str, int]] = []
-        self.tag, self.text, self.linked = "", [], 0
+        self.open: list[tuple[str, bool, bool, int, tuple[int, ...]]] = []  # tag, furniture, link, list, containers
+        self.blocks: list[tuple[str, str, int, int, int, tuple[int, ...]]] = []
+        self.containers = self.lists = self.linked = self.links = 0
+        self.text: list[str] = []
+        self.tag = ""
 
     def _close(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.blocks.append((self.tag, text, self.linked))
-        self.tag, self.text, self.linked = "", [], 0
+            _, _, _, number, inside = self.open[-1] if self.open else ("", False, False, 0, ())
+            self.blocks.append((self.tag, text, self.linked, self.links, number, inside))
+        self.text, self.linked, self.links = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in DROPPED:
-            self.dropped += 1
-        elif tag == "a":
-            self.link += 1
-        elif tag in BLOCKS:
+        if tag in VOID:
+            self.text.append(" ")
+            return
+        if tag in BLOCKS:
             self._close()
+            if tag in ("p", "li", "td") and any(o[0] == tag for o in self.open[-1:]):
+                self.open.pop()  # such a tag ends the one before it
             self.tag = tag
-        elif tag == "br":
-            self.text.append(" ")
+        given = {k: v or "" for k, v in attrs}
+        _, bad, link, number, inside = self.open[-1] if self.open else ("", False, False, 0, ())
+        bad = bad or tag in DROPPED or bool(_FURNITURE.search(f"{given.get('class', '')} {given.get('id', '')}"))
+        if tag in ("ul", "ol"):
+            self.lists += 1
+            number = self.lists
+        if tag in ARTICLE_TAGS or given.get("itemprop") == ARTICLE_PROPERTY or ARTICLE_CLASSES & set(given.get("class", "").split()):
+            self.containers += 1
+            inside = (*inside, self.containers)
+        if tag == "a" and not bad:
+            self.links += 1
+        self.open.append((tag, bad, link or tag == "a", number, inside))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in DROPPED:
-            self.dropped = max(0, self.dropped - 1)
-        elif tag == "a":
-            self.link = max(0, self.link - 1)
-        elif tag in BLOCKS:
+        if tag in BLOCKS:
             self._close()
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                break
+        if tag in BLOCKS:
+            self.tag = next((o[0] for o in reversed(self.open) if o[0] in BLOCKS), "")
 
     def handle_data(self, data: str) -> None:
-        if not self.dropped and self.tag:
+        _, bad, link, _, _ = self.open[-1] if self.open else ("", False, False, 0, ())
+        if not bad:
             self.text.append(data)
-            self.linked += len(data.strip()) if self.link else 0
+            self.linked += len(data.strip()) if link else 0
+
+
+def blocks_of(page: str | None) -> list[tuple[str, str, int, int, int, tuple[int, ...]]]:
+    """(tag, text, characters in links, links, list, containers) of a page's blocks, in their order."""
+    reader = _Blocks()
+    reader.feed(page or "")
+    reader.close()
+    reader._close()
+    return reader.blocks
 
 
 def html_blocks(pages: DataFrame, id_column: str = "page_id", html: str = "html") -> DataFrame:
-    """(id, place, tag, text, link_chars) of the text blocks outside page furniture."""
+    """(id, place, tag, text, link_chars, links, list, inside) of the text blocks outside page furniture.
+
+    list numbers the innermost list of the page that a block stands in (0: none), inside its article containers.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for i, page in pdf.itertuples(index=False):
-                reader = _Blocks()
-                reader.feed(page or "")
-                reader._close()
-                out += [(i, k, *b) for k, b in enumerate(reader.blocks)]
-            yield pd.DataFrame(out, columns=["id", "place", "tag", "text", "link_chars"])
+            out = [(i, k, *b[:5], list(b[5])) for i, page in pdf.itertuples(index=False) for k, b in enumerate(blocks_of(page))]
+            yield pd.DataFrame(out, columns=["id", "place", "tag", "text", "link_chars", "links", "list", "inside"])
 
     rows = pages.select(F.col(id_column).alias("id"), F.col(html).alias("html"))
-    return rows.mapInPandas(run, "id long, place int, tag string, text string, link_chars long").withColumnRenamed("id", id_column)
-
-
-def main_text(pages: DataFrame, id_column: str = "page_id", html: str = "html", least: int = 40, most_links: float = 0.65) -> DataFrame:
-    """(id, blocks, text): blocks of enough text and few links, in their order, joined."""
-    good = html_blocks(pages, id_column, html).where((F.length("text") >= least) & (F.col("link_chars") / F.length("text") < most_links))
-    joined = good.groupBy(id_column).agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("b"))
-    return joined.select(id_column, F.size("b").alias("blocks"), F.array_join(F.transform("b", lambda x: x.text), "\n").alias("text"))
+    return rows.mapInPandas(run, "id long, place int, tag string, text string, link_chars long, links int, list int, inside array<int>").withColumnRenamed("id", id_column)
+
+
+def main_text(pages: DataFrame, id_column: str = "page_id", html: str = "html", least: int = 40, most_links: float = 0.65, shortest: int = 150, phrases: Sequence[str] = PHRASES, penalty: int = 500) -> DataFrame:
+    """(id, blocks, text): the best candidate for a page's article; pages without one have no row.
+
+    Lists of three links and more that are mostly links are dropped. Every article container whose text is longer than
+    `shortest` is a candidate; without one, the paragraphs of at least `least` characters together are. A candidate's score is
+    its length less `penalty` for each phrase of page furniture in it; the best stays, the first of equals.
+    """
+    rows = html_blocks(pages, id_column, html)
+    lists = rows.where("list > 0").groupBy(id_column, "list").agg(F.sum("links").alias("n"), F.sum("link_chars").alias("l"), F.sum(F.length("text")).alias("c"))
+    chrome = lists.where((F.col("n") >= 3) & (F.col("l") / F.col("c") >= most_links)).select(id_column, "list")
+    good = rows.join(chrome, [id_column, "list"], "left_anti")
+    paragraph = (F.col("tag") == "p") & (F.length("text") >= least)
+    homes = F.concat("inside", F.when(paragraph, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
+    joined = good.select(id_column, F.explode(homes).alias("home"), F.struct("place", "text").alias("b")).groupBy(id_column, "home").agg(F.sort_array(F.collect_list("b")).alias("b"))
+    text = joined.select(id_column, "home", F.size("b").alias("blocks"), F.array_join(F.transform("b", lambda x: x.text), "\n").alias("text")).where(F.length("text") > shortest)
+    hits = F.size(F.filter(F.array(*[F.lit(p) for p in phrases]).cast("array<string>"), lambda p: F.contains(F.lower("text"), p)))
+    order = F.struct(F.col("home") > 0, F.length("text") - penalty * hits, -F.col("home"))  # the paragraphs count only without a container
+    return text.groupBy(id_column).agg(F.max_by(F.struct("blocks", "text"), order).alias("x")).select(id_column, "x.blocks", "x.text")

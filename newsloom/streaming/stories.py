@@ -74,16 +74,26 @@ def repeats(rows: list[tuple[Any, ...]], remembered: list[tuple[float, frozenset
 def repeats_table(rows: DataFrame, channel: str = "channel", hours: float = 36, most: int = 150, least: int = 4, share: float = 0.6) -> DataFrame:
     """Rows (channel, id, t, keys, ok) with repeated: the memory of a channel replayed in order of (t, id).
 
-    The memory is bounded; a channel's rows pass one after another, in the order the channel itself has.
+    Channels are sorted by Spark and pass a task row by row, in the order the channel itself has; the task holds one channel's
+    memory, which is bounded, however many rows the channel has.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "id"])
-        seconds = pdf["t"].astype("datetime64[us]").astype("int64") / 1e6
-        flags, _ = repeats(list(zip(seconds, pdf["keys"], [None if pd.isna(x) else bool(x) for x in pdf["ok"]], strict=True)), [], hours * 3600, most, least, share)
-        return pd.DataFrame({"channel": pdf[channel], "id": pdf["id"], "repeated": flags})
-
-    return rows.groupBy(channel).applyInPandas(run, "channel string, id long, repeated boolean")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for pdf in batches:
+            seconds = pdf["t"].astype("datetime64[us]").astype("int64") / 1e6
+            ok = [None if pd.isna(x) else bool(x) for x in pdf["ok"]]
+            flags: list[bool] = []
+            edge = [0, *(pdf[channel].ne(pdf[channel].shift()).to_numpy().nonzero()[0][1:]).tolist(), len(pdf)]
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if pdf[channel].iloc[a] != now:
+                    now, held = pdf[channel].iloc[a], []
+                some, held = repeats(list(zip(seconds[a:b], pdf["keys"][a:b], ok[a:b], strict=True)), held, hours * 3600, most, least, share)
+                flags += some
+            yield pd.DataFrame({"channel": pdf[channel], "id": pdf["id"], "repeated": flags})
+
+    ordered = rows.select(channel, "id", "t", "keys", "ok").repartition(channel).sortWithinPartitions(channel, "t", "id")
+    return ordered.mapInPandas(run, "channel string, id long, repeated boolean")
 
 
 class RepeatMemory(StatefulProcessor):
