@@ -34,7 +34,7 @@ NOISE = {"drill": ["drill", "exercise", "maneuver"], "culture": ["film festival"
 
 def advert(title: Column, body: Column) -> Column:
     """The first reason for which a story is an advert; a story without a title passes."""
-    t, b = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 5000))
+    t, b = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(body, F.lit("")))
     both = F.concat_ws(" ", t, b)
     reason = first_reason([
         Rule("explicit_marker", has(both, MARKERS)),

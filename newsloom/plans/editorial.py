@@ -40,7 +40,7 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), title_of().alias("title"), F.coalesce("text", F.lit("")).alias("body"))
 
 
-_DOCS = f"(SELECT doc_id AS id, {TITLE} AS title, lower({TITLE}) AS low, lower(substr(coalesce(text, ''), 1, 3000)) AS body, lower({TITLE} || ' ' || coalesce(text, '')) AS whole, coalesce(text, '') AS text FROM documents)"
+_DOCS = f"(SELECT doc_id AS id, {TITLE} AS title, lower({TITLE}) AS low, lower(coalesce(text, '')) AS body, lower({TITLE} || ' ' || coalesce(text, '')) AS whole, coalesce(text, '') AS text FROM documents)"
 
 
 def _override_sql(terms: dict[str, list[str]]) -> str:
@@ -93,7 +93,7 @@ _NEAR = f"({_has('whole', RELEVANCE['home'])} OR {_R['mass']})"
 
 
 @query(
-    f"""SELECT id, CASE WHEN NOT {_NEAR} AND ({_R['soft']} OR ({_R['crime']} AND NOT {_has('whole', RELEVANCE['actor'])})) THEN 'foreign-soft-local' WHEN {_has('substr(whole, 1, 300)', RELEVANCE['schedule'])} THEN 'service-schedule'
+    f"""SELECT id, CASE WHEN NOT {_NEAR} AND ({_R['soft']} OR ({_R['crime']} AND NOT {_has('whole', RELEVANCE['actor'])})) THEN 'foreign-soft-local' WHEN {_has('whole', RELEVANCE['schedule'])} THEN 'service-schedule'
     WHEN {_R['province']} AND NOT {_R['exception']} THEN 'provincial-routine' WHEN {_R['low_value']} AND NOT {_R['mass']} THEN 'low-value' END AS relevance FROM {_DOCS}"""
 )
 def relevance_reasons(spark: SparkSession, sf: str) -> DataFrame:

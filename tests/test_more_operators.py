@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import audit, boards, clusters, memory, similarity, verdicts
+from newsloom.operators import audit, boards, clusters, memory, ranking, similarity, verdicts
 from newsloom.operators import components as components_module
 
 T0 = datetime(2024, 1, 31)
@@ -120,3 +120,28 @@ def test_story_pairs_by_rule(spark):
         every = every.withColumnRenamed(c, f"a_{c}")
     plain = {(r.a_id, r.b_id) for r in every.where(similarity.same_story() | (F.size(F.array_intersect("a_signature", "b_signature")) > 0)).collect()}
     assert got == plain >= {(0, 1), (5, 6), (7, 8)}
+
+
+def test_bounded_boards(spark):
+    """Line by line against the fold, with lines that fit later, long ones, and groups that span batches."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(4), k, "x" * rng.choice([1, 5, 30, 90])) for k in range(400)] + [(9, 1, "y" * 500), (None, 2, "z"), (3, None, None)]
+    df = spark.createDataFrame(rows, "g int, k int, line string")
+    got = {r.g: (r.text, r.taken, r.skipped) for r in ranking.fit_boards(df, "g", "k", "line", 200).collect()}
+    want = {}
+    for g in {r[0] for r in rows if r[0] is not None}:
+        text, taken, skipped = "", 0, 0
+        for _, line in sorted((k, line) for h, k, line in rows if h == g and line):
+            longer = f"{text}\n{line}" if text else line
+            text, taken, skipped = (longer, taken + 1, skipped) if len(longer) <= 200 else (text, taken, skipped + 1)
+        want[g] = text, taken, skipped
+    assert got == want
+
+
+def test_history_keys(spark):
+    from newsloom.functions import urls
+
+    rows = [("One  story", "http://a.com/x?utm_source=1"), ("one story ", "http://a.com/x"), ("One story", "http://a.com/y"), ("Other story", "http://a.com/x")]
+    df = spark.createDataFrame(rows, "title string, link string")
+    a, b, c, d = (r.k for r in df.select(urls.history_key(F.col("title"), F.col("link")).alias("k")).collect())
+    assert a == b and len({a, c, d}) == 3
