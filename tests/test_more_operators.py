@@ -78,6 +78,8 @@ def test_components_of_hubs_and_chains(spark, monkeypatch):
     df = spark.createDataFrame(edges, "a long, b long")
     want = {i: 0 for i in [*range(60), 300, 301]} | {100 + i: 100 for i in range(31)}
     assert {r.node: r.label for r in components_module.components(df).collect()} == want
+    monkeypatch.setattr(components_module, "MOST_NODES", 0)
+    assert {r.node: r.label for r in components_module.components(df).collect()} == want
     monkeypatch.setattr(components_module, "MOST_HUBS", 0)
     assert {r.node: r.label for r in components_module.components(df).collect()} == want
 
