@@ -228,6 +228,16 @@ def _confirm(asks: DataFrame, ids: DataFrame, texts: DataFrame, home: Column, si
     return asks.groupBy("home", "group").cogroup(homes.groupBy("home", "group")).applyInArrow(_confirm_block(percent), "a long, b long")
 
 
+def _met(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows with the columns of keys (key, m and more). Rows of keys with more than BLOCK members meet them by a broadcast, where
+    they lie, and only the others are shuffled by their key; above BROADCAST_IDS such keys, all are."""
+    hot = keys.where(F.col("m") > BLOCK)
+    if not 0 < hot.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return rows.join(keys, "key")
+    few = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(keys.where(F.col("m") <= BLOCK), "key")
+    return rows.join(F.broadcast(hot), "key").unionByName(few)
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept.
 
@@ -258,7 +268,7 @@ def _links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     """Edges (a, b) that join the classes to the components of all confirmed links."""
     members = classes.select("id", F.explode("bands").alias("key"))
     shared = checkpointed(members.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("least")).where("m > 1"))
-    members = checkpointed(members.join(shared, "key"))
+    members = checkpointed(_met(members, shared))
     homes = max(1, -(-members.select(F.approx_count_distinct("id")).first()[0] // SET_BLOCK))
     home = F.pmod(F.xxhash64("id"), F.lit(homes))
     about = classes.select("id", "n", "sketch", home.alias("home"))
@@ -280,7 +290,7 @@ def _links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     # step 3: crowds by their rarest shingles
     crowds = mixed.where(F.col("m") > BLOCK)
     if not crowds.isEmpty():
-        crowd = checkpointed(members.join(crowds.select("key"), "key").select("id").distinct())
+        crowd = checkpointed(_met(members.drop("m"), crowds).select("id").distinct())
         sets = _set_table(crowd, texts, size)
         frequency = np.zeros(COUNTERS, np.int64)
         for r in sets.mapInArrow(lean(_tally), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -288,7 +298,7 @@ def _links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
         spark = texts.sparkSession
         rare = stored(named(sets.mapInArrow(lean(_rarest(spark.sparkContext.broadcast(frequency), percent)), "id long, key long")))
         shared = rare.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-        inside = inside.unionByName(rare.join(shared.select("key", "m"), "key"))
+        inside = inside.unionByName(_met(rare, checkpointed(shared.select("key", "m"))))
     inside = inside.join(about, "id")
     inside = inside.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = inside.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
