@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.runtime import lean, workers_import
+from newsloom.llm.runtime import lean, worker_tables, workers_import
 
 #: Bounds of a worker's tables. With the moves full, new ones are made and not kept; the other two are emptied and filled anew.
 MOST_MOVES, MOST_PIECES, MOST_PAIRS = 350_000, 600_000, 400_000
@@ -292,7 +292,7 @@ def _complete(piece: bytes) -> bool:
     return True
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str], Codec] = worker_tables("bpe")
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -314,7 +314,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_column: str = "doc
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))], names=["id", "ids"])
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_column)
+    return rows.mapInArrow(lean(run, "bpe"), f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_column)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -341,4 +341,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(names, pa.string()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_column)
+    return rows.mapInArrow(lean(run, "bpe"), f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_column)

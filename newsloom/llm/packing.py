@@ -63,7 +63,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
     workers_import(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(lean(_pieces(tokenizer, end_id, capacity)), f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_column)
+    return rows.mapInArrow(lean(_pieces(tokenizer, end_id, capacity), "words"), f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_column)
 
 
 def _before(of: str, window: Window) -> Column:

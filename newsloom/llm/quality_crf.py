@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.runtime import checkpointed, lean, workers_import
+from newsloom.llm.runtime import checkpointed, give_back, lean, workers_import
 from newsloom.llm.textbytes import SPACE_WORDS, split_words, string_buffers
 
 #: Bounds of the training sample: documents of each label (those of the smallest hashes), and visible lines of them all. Documents
@@ -211,7 +211,13 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     first = np.concatenate([[0], np.cumsum([len(f) for f in features])]).astype(int)
     if not got or not first[-1]:
         return {"weights": np.zeros(FEATURES), "moves": np.zeros((2, 2)), "mean": np.zeros(FEATURES), "spread": np.ones(FEATURES), "link": np.array([1.0, 0.0])}
-    return fit(np.concatenate(features), first, np.array([r.label for r in got]), np.concatenate([np.frombuffer(r.size) for r in got]))
+    label, size = np.array([r.label for r in got]), np.concatenate([np.frombuffer(r.size) for r in got])
+    sample = np.concatenate(features)
+    del features, got
+    model = fit(sample, first, label, size)
+    del sample
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -59,14 +59,35 @@ def id_ranges(docs: DataFrame, ranges: int) -> tuple[Column, list[int], int | No
     return (F.size(F.filter(limits, lambda e: e < F.col("id"))) if ends else F.lit(0)), ends, int(top)
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, and then the worker's free memory given back: workers stay for later tasks, and their memory counts as the executor's."""
+_TABLES: dict[str, dict] = {}
+
+
+def worker_tables(kind: str) -> dict:
+    """A place for tables of one kind that outlive a task of a worker, until a task comes that does not use the kind."""
+    return _TABLES.setdefault(kind, {})
+
+
+def keep_only(kind: str | None) -> None:
+    for name, tables in _TABLES.items():
+        if name != kind and tables:
+            tables.clear()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, without the tables of other kinds of tasks, and then the worker's free memory given back: workers stay for later tasks,
+    and their memory counts as the executor's."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(keeps)
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return wrapped
+
+
+def give_back() -> None:
+    """Returns this process's free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)

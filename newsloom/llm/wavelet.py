@@ -268,7 +268,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     workers_import(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
-    shards = ordered.mapInArrow(lean(_shards(tokenizer, end_id, shard_tokens)), "part int, place int, n_docs long, n_tokens long, payload binary")
+    shards = ordered.mapInArrow(lean(_shards(tokenizer, end_id, shard_tokens), "words"), "part int, place int, n_docs long, n_tokens long, payload binary")
     shards.write.option("compression", "none").parquet(path)
 
 
