@@ -71,3 +71,12 @@ def test_pipeline_without_rows(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_of_nulls_repeats_and_clashing_names(spark, tmp_path):
+    good, other = "The quick brown fox jumps over the lazy dog near the river bank today.", "A second plain text stands here with words of its own and ends well."
+    rows = [(1, good, "a", 5, "x"), (1, good, "a", 5, "x"), (2, good, "a", 5, "x"), (None, other, "b", 6, "y"), (3, None, None, None, None), (4, "", "c", 7, "z"), (5, other + " " + " ".join(f"w{i}." for i in range(5000)), "d", 8, "w")]
+    spark.createDataFrame(rows, "doc_id long, text string, id string, n long, key string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (None, 0), (9, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= {1, 2, 4, 3, 5, None} and {2, None, 5} <= {r.doc_id for r in got} and 1 not in {r.doc_id for r in got}

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from newsloom.llm import bpe_fst, packing, url_filter, wavelet
+from newsloom.llm import bpe_fst, packing, url_filter, wavelet, word_ids
 from newsloom.llm.registry import URL_RULES
 from newsloom.llm.runtime import shared_folder
 from newsloom.llm.textbytes import SPACE_WORDS, text_hash, word_runs
@@ -56,9 +56,18 @@ def test_tokens_are_emitted_before_the_piece_ends():
             lag = max(lag, min(k + 1, len(piece)) - sum(len(machine.bytes[t]) for t in out))
         assert out == REFERENCE._encode_single_piece(piece)
         assert early > 0 and lag <= 2 * machine.longest
+        assert machine.encode(piece) == out
     assert len(machine.states) < len(machine.moves) + 1  # different beginnings lead to one state
 
 
+def test_a_full_transducer_goes_on(monkeypatch):
+    monkeypatch.setattr(bpe_fst, "MOST_MOVES", 20)
+    machine = bpe_fst.Transducer(bpe_fst.read_ranks(RANKS))
+    for word in ("hello", "hellish", "transducer", "xyzzyx", "antidisestablishmentarianism"):
+        assert machine.encode(word.encode()) == REFERENCE._encode_single_piece(word.encode())
+    assert len(machine.moves) == 20
+
+
 def test_utf8_machine_equals_the_codec():
     rng = random.Random(6)
     for _ in range(400):
@@ -90,6 +99,17 @@ def test_word_ids_equal_the_library(texts):
     assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_full_word_table_forgets_and_goes_on(monkeypatch):
+    monkeypatch.setattr(word_ids, "MOST_WORDS", 40)
+    encoder, rng = word_ids.WordEncoder(WORDS), random.Random(3)
+    for k in range(60):
+        texts = [" ".join(rng.choice(["usual", "common", f"rare{rng.randrange(10**6)}"]) for _ in range(30 if k % 20 else 90)) for _ in range(2)]
+        run = next(iter(word_runs(pa.array(texts), SPACE_WORDS, lower=False)))
+        ids, first = encoder.encode(run)
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.hashes) <= 40 or k % 20 == 0 or len(encoder.hashes) < 200
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(TEXT, max_size=5), st.integers(1, 40))
 def test_words_of_runs(texts, size):
