@@ -119,7 +119,11 @@ def longest_alias(rows: DataFrame, aliases: DataFrame, name: str, id_column: str
     """
     sizes = [r.n for r in aliases.select(F.length("alias").alias("n")).where("n > 0").distinct().collect()]  # lengths of names: few
     low = F.lower(name)
-    parts = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(low, i, F.lit(n))) for n in sizes]
+
+    def parts_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
+
+    parts = [parts_of(n) for n in sizes]
     cut = rows.withColumn("alias", F.explode(F.array_distinct(F.flatten(F.array(*parts).cast("array<array<string>>")))))
     met = cut.join(broadcast_if_small(aliases.dropDuplicates(["alias"])), "alias")
     met = met.select(*rows.columns, *aliases.columns)

@@ -39,12 +39,15 @@ def consensus(verdicts: DataFrame, item: str, model: str, flag: str) -> DataFram
     return votes.withColumn("confirmed", F.col("flags") >= 2)
 
 
-def first_usable(verdicts: DataFrame, providers: DataFrame, cooling: DataFrame, item: str) -> DataFrame:
-    """The verdict of each item's first provider by priority that parsed, rests not and, if weak, approves something concrete."""
+def first_usable(verdicts: DataFrame, providers: DataFrame, cooling: DataFrame, item: str, *tie: str) -> DataFrame:
+    """The verdict of each item's first provider by priority that parsed, rests not and, if weak, approves something concrete.
+
+    Of several verdicts of that provider the first by the tie columns counts.
+    """
     rows = verdicts.join(broadcast_if_small(providers), "provider").join(broadcast_if_small(cooling.select("provider").distinct()), "provider", "left_anti")
     usable = F.col("ok").isNotNull() & (~F.col("weak") | (F.col("ok") & F.col("concrete")))
     rows = rows.where(usable)
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(item).orderBy("priority", "provider"))).where("_n = 1").drop("_n")
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(item).orderBy("priority", "provider", *tie))).where("_n = 1").drop("_n")
 
 
 def output_problems(source: Column, output: Column, most_sentences: int = 3, most_chars: int = 750, meta: str = r"(as an ai|here is|summary:)") -> Column:

@@ -123,7 +123,7 @@ def speaker_flags(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH s AS (SELECT id, title, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS s FROM {_DOCS}),
     b AS (SELECT *, array_to_string(s, ' ') AS body, lower(title || ' ' || array_to_string(s, ' ')) AS whole FROM s),
     w AS (SELECT *, len(list_filter(string_split_regex(title, '\\s+'), lambda x: x <> '')) AS tw, len(list_filter(string_split_regex(body, '\\s+'), lambda x: x <> '')) AS bw, len(list_filter(string_split_regex(coalesce(s[1], ''), '\\s+'), lambda x: x <> '')) AS lw FROM b)
-    SELECT id, CASE WHEN tw < 4 THEN 'title-too-short' WHEN len(list_filter(regexp_extract_all(title, '\\b([A-Z][A-Z0-9+]{{2,}})\\b', 1), lambda a: a <> 'MIT')) > 0 THEN 'unexplained-acronym' WHEN len(s) = 0 THEN 'empty-body'
+    SELECT id, CASE WHEN tw < 4 THEN 'title-too-short' WHEN len(list_filter(string_split_regex(title, '[^\\p{{L}}\\p{{N}}_+]+'), lambda a: a <> 'MIT' AND regexp_matches(a, '^[A-Z][A-Z0-9+]{{2,}}$'))) > 0 THEN 'unexplained-acronym' WHEN len(s) = 0 THEN 'empty-body'
         WHEN length(body) < 70 OR bw < 12 THEN 'body-too-thin' WHEN lw < 6 THEN 'lead-fragment' WHEN {_has('whole', ['click here', 'see above'])} THEN 'refers-to-missing-content' WHEN {_has('lower(title)', ['with'])} THEN 'service-schedule'
         WHEN NOT regexp_matches(s[-1], '[.!?؟»")]$') THEN 'body-truncated' END AS problem FROM w"""
 )

@@ -36,16 +36,16 @@ def cache_join(spark: SparkSession, sf: str) -> DataFrame:
     return memory.cached(table(spark, sf, "documents").select("doc_id"), cache, "doc_id", asof()).select("doc_id", "reason")
 
 
-_PROVIDER = "(SELECT conv_id AS item, turn % 4 AS provider, CASE WHEN length(text) % 5 = 0 THEN NULL ELSE length(text) % 2 = 0 END AS ok, length(text) > 300 AS concrete FROM conversations)"
+_PROVIDER = "(SELECT conv_id AS item, turn, turn % 4 AS provider, CASE WHEN length(text) % 5 = 0 THEN NULL ELSE length(text) % 2 = 0 END AS ok, length(text) > 300 AS concrete FROM conversations)"
 
 
-@query(f"WITH v AS (SELECT *, [3, 1, 4, 2][provider + 1] AS priority, provider = 1 AS weak FROM {_PROVIDER} WHERE provider <> 2) SELECT item, provider, ok FROM v WHERE ok IS NOT NULL AND (NOT weak OR (ok AND concrete)) QUALIFY row_number() OVER (PARTITION BY item ORDER BY priority, provider) = 1")
+@query(f"WITH v AS (SELECT *, [3, 1, 4, 2][provider + 1] AS priority, provider = 1 AS weak FROM {_PROVIDER} WHERE provider <> 2) SELECT item, provider, ok FROM v WHERE ok IS NOT NULL AND (NOT weak OR (ok AND concrete)) QUALIFY row_number() OVER (PARTITION BY item ORDER BY priority, provider, turn, ok, concrete) = 1")
 def provider_first_usable(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").dropDuplicates(["conv_id", "turn"])
+    c = table(spark, sf, "conversations")
     size = F.length("text")
-    rows = c.select(F.col("conv_id").alias("item"), (F.col("turn") % 4).alias("provider"), F.when(size % 5 != 0, size % 2 == 0).alias("ok"), (size > 300).alias("concrete"))
+    rows = c.select(F.col("conv_id").alias("item"), "turn", (F.col("turn") % 4).alias("provider"), F.when(size % 5 != 0, size % 2 == 0).alias("ok"), (size > 300).alias("concrete"))
     providers = spark.createDataFrame([(0, 3, False), (1, 1, True), (2, 4, False), (3, 2, False)], "provider long, priority int, weak boolean")
-    return verdicts.first_usable(rows, providers, spark.createDataFrame([(2,)], "provider long"), "item").select("item", "provider", "ok")
+    return verdicts.first_usable(rows, providers, spark.createDataFrame([(2,)], "provider long"), "item", "turn", "ok", "concrete").select("item", "provider", "ok")
 
 
 @query("SELECT conv_id, count(DISTINCT CASE WHEN length(text) % 3 = 0 THEN turn % 3 END) AS flags, count(DISTINCT turn % 3) AS models, count(DISTINCT CASE WHEN length(text) % 3 = 0 THEN turn % 3 END) >= 2 AS confirmed FROM conversations GROUP BY conv_id")
