@@ -123,39 +123,6 @@ def repeats_stream(stream: DataFrame, **limits: float) -> DataFrame:
     return stream.groupBy("channel").transformWithStateInPandas(RepeatMemory(**limits), outputStructType="channel string, id long, repeated boolean", outputMode="Append", timeMode="None")
 
 
-class Cooldowns(StatefulProcessor):
-    """The streaming form of audit.open_cooldowns: a key's rest is a value state that expires by itself after the longest rest."""
-
-    def __init__(self, seconds: float = 300, statuses: dict[int, float] | None = None):
-        self.seconds, self.statuses = seconds, statuses or {}
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        longest = max(self.seconds, *self.statuses.values()) if self.statuses else self.seconds
-        self.until = handle.getValueState("until", "until double", ttlDurationMs=int(longest * 1000))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["t", "id"])
-        seconds = pdf["t"].astype("datetime64[us]").astype("int64") / 1e6
-        until = self.until.get()[0] if self.until.exists() else 0.0
-        resting = []
-        for t, status in zip(seconds, pdf["status"], strict=True):
-            resting.append(t < until)
-            until = 0.0 if 200 <= status < 300 else t + self.statuses.get(int(status), self.seconds)
-        if until:
-            self.until.update((until,))
-        else:
-            self.until.clear()
-        yield pd.DataFrame({"key": key[0], "id": pdf["id"], "resting": resting})
-
-    def close(self) -> None:
-        pass
-
-
-def cooldown_stream(stream: DataFrame, seconds: float = 300, statuses: dict[int, float] | None = None) -> DataFrame:
-    """Calls (key, id, t, status) with resting: whether the key's last answer still rested it. A success clears the rest."""
-    return stream.groupBy("key").transformWithStateInPandas(Cooldowns(seconds, statuses), outputStructType="key string, id long, resting boolean", outputMode="Append", timeMode="ProcessingTime")
-
-
 def once_a_day(batch: DataFrame, done: DataFrame, zone: str, hour: int, at: str = "t") -> DataFrame:
     """Boards (board, t) that are due: the local hour is reached and (board, local day) is not among those done."""
     local = F.from_utc_timestamp(at, zone)

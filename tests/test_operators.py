@@ -258,21 +258,3 @@ def test_stream_dedup_and_windows(spark, tmp_path):
     q.stop()
     assert spark.table("uniq").count() == 4
     assert stories.windowed(df, "ts", ["key"], "20 minutes").agg(F.sum("n")).first()[0] == 40
-
-
-def test_cooldowns_of_a_stream_equal_the_table(spark, tmp_path):
-    from newsloom.operators import audit
-
-    start, rng = datetime(2024, 1, 1), random.Random(4)
-    rows = [(f"p{i % 3}", i, start + timedelta(seconds=70 * i), rng.choice([200, 200, 500, 429])) for i in range(80)]
-    df = spark.createDataFrame(rows, "key string, id long, t timestamp, status int")
-    rests = F.when(F.col("status") == 429, 900).otherwise(300)
-    want = {r.id for r in audit.open_cooldowns(df, "t", "key", "id", F.col("status") != 200, rests).collect()}
-    source = str(tmp_path / "in")
-    df.coalesce(1).write.parquet(source)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    q = stories.cooldown_stream(spark.readStream.schema(df.schema).parquet(source), 300, {429: 900}).writeStream.format("memory").queryName("cooldowns").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    got = spark.table("cooldowns").collect()
-    assert len(got) == 80 and {r.id for r in got if r.resting} == want and want
