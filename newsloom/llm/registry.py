@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe_fst, exact_dedup, katz_lm, license_scan, near_dedup, packing, quality_crf, url_filter, wavelet, winnow
+from newsloom.llm import bpe_fst, decontaminate, exact_dedup, katz_lm, license_scan, near_dedup, packing, quality_crf, url_filter, wavelet, winnow
 from newsloom.llm.runtime import shared_folder, shuffle_partitions
 
 #: (verdict, host and path)
@@ -81,8 +81,14 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0)
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_join("item_ids", ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_line_crf, op3_winnow, op4_license_scan, op5_katz, op6_bpe_fst, op7_wavelet, op8_url_filter, op9_exact_dedup, op10_best_fit)
+    f.__name__: f for f in (op1_near_dedup, op2_line_crf, op3_winnow, op4_license_scan, op5_katz, op6_bpe_fst, op7_wavelet, op8_url_filter, op9_exact_dedup, op10_best_fit, op13_decontaminate)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -117,4 +123,17 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, text_sha256
         FROM low WINDOW same AS (PARTITION BY text_sha256)
     """,
+    "op13_decontaminate": f"""
+        WITH docs AS (SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+        items AS (SELECT item_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+        sizes AS (SELECT DISTINCT least(10, len(w)) AS n FROM items WHERE len(w) > 0),
+        windows AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS span
+            FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+        places AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS span FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs JOIN sizes ON len(w) >= n)),
+        hits AS (SELECT doc_id, i, places.n AS n, item_id FROM places JOIN windows ON places.n = windows.n AND places.span = windows.span),
+        words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM hits GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
 }

@@ -10,7 +10,7 @@ import pyarrow as pa
 from newsloom.llm.textbytes import SPACE_WORDS, mix, word_runs
 
 
-def _combine(words: np.ndarray, n: int) -> np.ndarray:
+def combine(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of every n consecutive words (of all words, document borders are the caller's business); none of fewer words."""
     if len(words) < n:
         return np.empty(0, np.uint64)
@@ -31,14 +31,14 @@ def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[tuple[slice, np.nd
     for run in word_runs(column, SPACE_WORDS):
         words, count = run.hashes(), run.count
         full = np.flatnonzero(count >= size)
-        shingles = _combine(words, size)
+        shingles = combine(words, size)
         width = count[full] - size + 1
         begin = np.cumsum(width) - width
         index = np.repeat(run.first[:-1][full] - begin, width) + np.arange(int(width.sum()))
         hashes, owner = shingles[index], np.repeat(full, width)
         short = np.flatnonzero((count > 0) & (count < size))
         if len(short):
-            hashes = np.concatenate([hashes, np.array([_combine(words[run.first[d] : run.first[d + 1]], int(count[d]))[0] for d in short], np.uint64)])
+            hashes = np.concatenate([hashes, np.array([combine(words[run.first[d] : run.first[d + 1]], int(count[d]))[0] for d in short], np.uint64)])
             owner = np.concatenate([owner, short])
             order = np.argsort(owner, kind="stable")
             hashes, owner = hashes[order], owner[order]
