@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe_fst, decontaminate, exact_dedup, katz_lm, license_scan, near_dedup, packing, periodic, quality_crf, url_filter, wavelet, winnow
+from newsloom.llm import align, bpe_fst, decontaminate, exact_dedup, katz_lm, license_scan, near_dedup, packing, periodic, quality_crf, url_filter, wavelet, winnow
 from newsloom.llm.runtime import shared_folder, shuffle_partitions
 
 #: (verdict, host and path)
@@ -81,6 +81,10 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0)
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic.periodic_runs(table(spark, sf_dir, "documents"), edited=True)
     line = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
@@ -95,7 +99,7 @@ def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_line_crf, op3_winnow, op4_license_scan, op5_katz, op6_bpe_fst, op7_wavelet, op8_url_filter, op9_exact_dedup, op10_best_fit, op12_periodic, op13_decontaminate)
+    f.__name__: f for f in (op1_near_dedup, op2_line_crf, op3_winnow, op4_license_scan, op5_katz, op6_bpe_fst, op7_wavelet, op8_url_filter, op9_exact_dedup, op10_best_fit, op11_align, op12_periodic, op13_decontaminate)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
