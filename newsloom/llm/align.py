@@ -2,7 +2,8 @@
 
 A text with a space before it is encoded by a byte-level BPE (A) and by a piece model with byte fallback (B). Cumulative byte ends of
 A's and of B's tokens are the keys of two dictionaries (end to index); the keys in both, as sets, are where both cut, and in their
-order they slice both id lists into groups. Links are the pairs of overlapping tokens, expanded within each slice.
+order they slice both id lists into groups. Links are the pairs of overlapping tokens, expanded within each slice. Many units (below)
+stand in a row when they are sliced, as they do in a text.
 
 No rule of either tokenizer crosses a space or line feed that follows other text, so both cut there, and a text's tokens and groups
 are the row of its units' ones. A worker aligns each distinct unit once and remembers it; a text without such places is one unit.
@@ -18,6 +19,7 @@ import hashlib
 import os
 import secrets
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,9 @@ from newsloom.llm.runtime import lean, stored, worker_tables, workers_import
 from newsloom.llm.textbytes import string_buffers, word_hashes
 
 #: Text bytes of a chunk; units and bytes of their groups that a worker remembers before it starts anew.
-CHUNK_BYTES, MOST_UNITS, MOST_BYTES = 4 << 20, 300_000, 48 << 20
+CHUNK_BYTES, MOST_UNITS, MOST_BYTES = 4 << 20, 300_000, 32 << 20
+#: Bytes of units that are encoded together; units that are learnt together.
+PIECE_BYTES, LEARNT = 2048, 1 << 15
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -77,42 +81,40 @@ class Pieces:
         return [ids if u[0] != " " and ids[:1] != [self.space] else ids[1:] if u[0] != " " else ids or [self.space] for u, ids in zip(units, found, strict=True)]
 
 
-def sliced(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """(groups, links) of two token rows over the same bytes."""
-    ends: list[dict[int, int]] = []
-    for ids, table in ((a, a_bytes), (b, b_bytes)):
-        end, found = 0, {}
-        for i, x in enumerate(ids):
-            end += len(table[x])
-            found[end] = i + 1
-        ends.append(found)
-    in_a, in_b = ends
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted(in_a.keys() & in_b.keys()):
-        k, m = in_a[end], in_b[end]
-        left, right = a[i:k], b[j:m]
-        groups.append((left, right))
-        if len(left) == 1 or len(right) == 1:
-            links += [(x, y) for x in left for y in right]
-        else:
-            links += _overlapping(left, right, a_bytes, b_bytes)
-        i, j = k, m
-    return groups, links
-
-
-def _overlapping(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> list[tuple[int, int]]:
-    """Pairs of one slice, in which ends meet only at its own end."""
-    links, i, j, to_a, to_b = [], 0, 0, len(a_bytes[a[0]]), len(b_bytes[b[0]])
-    while True:
-        links.append((a[i], b[j]))
-        if to_a == to_b:
-            return links
-        if to_a < to_b:
-            i += 1
-            to_a += len(a_bytes[a[i]])
-        else:
-            j += 1
-            to_b += len(b_bytes[b[j]])
+def sliced(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ends, of_a, of_b): the ends that two rows of cumulative ends have in common, in order, and how many tokens of each end there
+    or before. Both rows end at the same byte."""
+    in_a, in_b = (dict(zip(x.tolist(), range(1, len(x) + 1), strict=True)) for x in (a, b))
+    common = sorted(in_a.keys() & in_b.keys())
+    return np.array(common, np.int64), *(np.fromiter(map(x.__getitem__, common), np.int64, len(common)) for x in (in_a, in_b))
+
+
+def linked(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes (of A, of B) of the overlapping tokens of all slices. Inside a slice no ends meet, so its links are one fewer than its
+    tokens: from the first pair on, the one of the two that ends first gives way to its next one."""
+    first_a, first_b = np.append(0, of_a[:-1]), np.append(0, of_b[:-1])
+    size = (of_a - first_a) + (of_b - first_b) - 1
+    edge = np.cumsum(size) - size
+    # the inner ends of a slice in their order: each moves its own side on
+    inner_a, inner_b = np.ones(len(a), bool), np.ones(len(b), bool)
+    inner_a[of_a - 1] = inner_b[of_b - 1] = False
+    ends = np.concatenate([a[inner_a], b[inner_b]])
+    moves_a = np.argsort(ends, kind="stable") < int(inner_a.sum())
+    total = int(size.sum())
+    start = np.zeros(total, bool)
+    start[edge] = True
+    step_a = np.zeros(total, np.int64)
+    step_b = np.zeros(total, np.int64)
+    step_a[~start], step_b[~start] = moves_a, ~moves_a
+    step_a[edge[1:]] = step_b[edge[1:]] = 1
+    return np.cumsum(step_a), np.cumsum(step_b)
+
+
+def digits(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal digits of the numbers below n, left-aligned in as many columns as the longest has, and how many there are."""
+    text = [str(i).encode() for i in range(n)]
+    width = len(text[-1])
+    return np.frombuffer(b"".join(x.ljust(width) for x in text), np.uint8).reshape(n, width), np.array([len(x) for x in text])
 
 
 class Aligner:
@@ -121,48 +123,128 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
         self.width = len(self.b.bytes)
+        self.sizes = [np.array([len(x) for x in side.bytes]) for side in (self.a, self.b)]
+        self.digits, self.wide = digits(max(len(self.a.bytes), self.width))
         self._reset()
 
     def _reset(self) -> None:
         self.hashes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.figures = np.zeros((0, 4), np.int64)  # tokens of A and B (both 0: bytes differ), groups, where the unit's links end
         self.links, self.texts, self.text_bytes = np.zeros(0, np.int64), [], 0
+        self.again = np.zeros(0, bool)  # by number: came in a later chunk too
 
-    def _learn(self, units: list[str]) -> None:
-        figures, links = [], []
-        at = len(self.links)
-        for unit, a, b in zip(units, self.a.encode(units), self.b.encode(units), strict=True):
-            data = unit.encode()
-            if b"".join([self.a.bytes[x] for x in a]) != data or b"".join([self.b.bytes[x] for x in b]) != data:
-                figures.append((0, 0, 0, at))
-                self.texts.append(b"")
-                continue
-            groups, pairs = sliced(a, b, self.a.bytes, self.b.bytes)
-            links += [x * self.width + y for x, y in pairs]
-            figures.append((len(a), len(b), len(groups), at := at + len(pairs)))
-            self.texts.append(";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups]).encode())
-            self.text_bytes += len(self.texts[-1])
-        self.figures = np.concatenate([self.figures, np.array(figures, np.int64).reshape(-1, 4)])
-        self.links = np.concatenate([self.links, np.array(links, np.int64)])
+    def _forget(self) -> None:
+        """Keeps the units that came again, if they are at most half of the table."""
+        keep = np.flatnonzero(self.again[self.number])
+        hashes, number = self.hashes[keep], self.number[keep]
+        figures, links, texts = self.figures, self.links, self.texts
+        self._reset()
+        if len(keep) > MOST_UNITS // 2:
+            return
+        size = (figures[:, 3] - np.append(0, figures[:-1, 3]))[number]
+        end = np.cumsum(size)
+        self.links = links[np.repeat(figures[number, 3] - end, size) + np.arange(int(end[-1]) if len(end) else 0)]
+        self.figures = figures[number]
+        self.figures[:, 3] = end
+        self.texts = [texts[k] for k in number.tolist()]
+        self.text_bytes = sum(map(len, self.texts))
+        self.hashes, self.number, self.again = hashes, np.arange(len(hashes)), np.zeros(len(hashes), bool)
+        if self.text_bytes > MOST_BYTES // 2:
+            self._reset()
+
+    def _encoded(self, pieces: list[bytes]) -> list[tuple[list[int], list[int]] | None]:
+        """(A's ids, B's ids) of each piece, None where the bytes of either differ."""
+        texts = [x.decode() for x in pieces]
+        out = []
+        for piece, a, b in zip(pieces, self.a.encode(texts), self.b.encode(texts), strict=True):
+            fits = b"".join(map(self.a.bytes.__getitem__, a)) == piece == b"".join(map(self.b.bytes.__getitem__, b))
+            out.append((a, b) if fits else None)
+        return out
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Adds units that are not in the table. Several are encoded as one piece, where a text with them in a row would be cut."""
+        size = end - start
+        edge = np.append(0, np.cumsum(size))
+        joined = data[np.repeat(start - edge[:-1], size) + np.arange(int(edge[-1]))]
+        closed = _after_text(np.concatenate([np.full(2, 32, np.uint8), joined]), edge[1:] + 2)
+        opens = (joined[edge[:-1]] == 32) | (joined[edge[:-1]] == 10)
+        fresh = np.append(True, ~closed[:-1] | ~opens[1:] | (edge[1:-1] // PIECE_BYTES != edge[:-2] // PIECE_BYTES))
+        first = np.flatnonzero(fresh)
+        spans = list(zip(first.tolist(), np.append(first[1:], len(size)).tolist(), strict=True))
+        text, good, bad = joined.tobytes(), [], []
+        while spans:
+            found = self._encoded([text[edge[i] : edge[j]] for i, j in spans])
+            good += [(i, j, *ids) for (i, j), ids in zip(spans, found, strict=True) if ids is not None]
+            again = [s for s, ids in zip(spans, found, strict=True) if ids is None]
+            bad += [i for i, j in again if j - i == 1]
+            spans = [(k, k + 1) for i, j in again if j - i > 1 for k in range(i, j)]
+        figures, links, texts = np.zeros((len(size), 4), np.int64), np.zeros(0, np.int64), [b""] * len(size)
+        if good:
+            good.sort()
+            order = np.concatenate([np.arange(i, j) for i, j, _, _ in good])
+            figures[order, :3], n_links, links, made = self._figures(size[order], *(np.fromiter(chain.from_iterable(g[k] for g in good), np.int64) for k in (2, 3)))
+            figures[order, 3] = n_links
+            for k, x in zip(order.tolist(), made, strict=True):
+                texts[k] = x
+        figures[:, 3] = len(self.links) + np.cumsum(figures[:, 3])
+        self.figures = np.concatenate([self.figures, figures])
+        self.links = np.concatenate([self.links, links])
+        self.texts += texts
+        self.text_bytes += sum(map(len, texts))
+
+    def _figures(self, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Of units of these sizes in a row: tokens of A, of B and groups, the number of links, the links, the groups as text."""
+        ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        common, of_a, of_b = sliced(ends_a, ends_b)
+        at_a, at_b = linked(ends_a, ends_b, of_a, of_b)
+        links = a[at_a] * self.width + b[at_b]
+        last = np.searchsorted(common, np.cumsum(size)) + 1  # groups up to each unit's end, which both have
+        upto = np.stack([of_a[last - 1], of_b[last - 1], last], 1)
+        figures = np.diff(upto, axis=0, prepend=0)
+        # the groups as text: A's tokens of a group, B's tokens of it, each with the sign that follows
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        place_a = np.arange(len(a)) + np.append(0, of_b)[group_a]
+        place_b = np.arange(len(b)) + of_a[group_b]
+        token, sign = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        token[place_a], token[place_b] = a, b
+        sign[place_a[of_a - 1]], sign[place_b[of_b - 1]] = ord("|"), ord(";")
+        wide = self.wide[token]
+        cells = np.concatenate([self.digits[token], sign[:, None]], 1)
+        column = np.arange(cells.shape[1])
+        written = (column < wide[:, None]) | (column == cells.shape[1] - 1)
+        text = cells[written].tobytes()
+        edge = np.append(0, np.append(0, np.cumsum(wide + 1))[upto[:, 0] + upto[:, 1]]).tolist()
+        return figures, figures[:, 0] + figures[:, 1] - figures[:, 2], links, [text[x : y - 1] for x, y in zip(edge[:-1], edge[1:], strict=True)]
 
     def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The number of each unit data[start:end] in this table."""
         hashes, where, back = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
         if len(self.hashes) and (len(self.hashes) + len(hashes) > MOST_UNITS or self.text_bytes > MOST_BYTES):
-            self._reset()
+            self._forget()
         at = np.searchsorted(self.hashes, hashes)
         number = np.full(len(hashes), -1)
         inside = at < len(self.hashes)
         number[inside] = np.where(self.hashes[at[inside]] == hashes[inside], self.number[at[inside]], -1)
         new = np.flatnonzero(number < 0)
+        self.again[number[number >= 0]] = True
         if len(new):
             number[new] = np.arange(len(self.texts), len(self.texts) + len(new))
-            text, here = data.tobytes(), where[new]
-            self._learn([text[a:b].decode() for a, b in zip(start[here].tolist(), end[here].tolist(), strict=True)])
+            for k in range(0, len(new), LEARNT):
+                some = where[new[k : k + LEARNT]]
+                self._learn(data, start[some], end[some])
             self.hashes, self.number = np.insert(self.hashes, at[new], hashes[new]), np.insert(self.number, at[new], number[new])
+            self.again = np.append(self.again, np.zeros(len(new), bool))
         return number[back]
 
 
+def _after_text(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether other than white space stands before each of these places (at least three bytes on)."""
+    three, two, one = data[at - 3], data[at - 2], data[at - 1]
+    wide = ((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | ((three == 0xE1) & ((two == 0x9A) | (two == 0xA0))) | ((three == 0xE3) & (two == 0x80) & (one == 0x80))
+    wide |= (three == 0xE2) & (((two == 0x80) & ((one <= 0x8A) | (one >= 0xA8))) | (two == 0x81))  # white space beyond ASCII, and some more
+    return (one > 32) & ~wide
+
+
 def units(column: pa.Array, cuts: bool, run_bytes: int = CHUNK_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, data, start, end, first): texts with a space before each, cut before a space or line feed that follows other than white
     space; row r has the units from first[r] to first[r + 1], an empty or null text none."""
@@ -180,10 +262,8 @@ def units(column: pa.Array, cuts: bool, run_bytes: int = CHUNK_BYTES) -> Iterato
         out[~lead] = data[offsets[i] : offsets[j]]
         cut = lead[3:].copy()
         if cuts:
-            three, two, one, here = out[:-3], out[1:-2], out[2:-1], out[3:]
-            wide = ((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | ((three == 0xE1) & ((two == 0x9A) | (two == 0xA0))) | ((three == 0xE3) & (two == 0x80) & (one == 0x80))
-            wide |= (three == 0xE2) & (((two == 0x80) & ((one <= 0x8A) | (one >= 0xA8))) | (two == 0x81))  # white space beyond ASCII, and some more
-            cut |= ((here == 32) | (here == 10)) & (one > 32) & ~wide
+            at = np.flatnonzero((out[3:] == 32) | (out[3:] == 10)) + 3
+            cut[at[_after_text(out, at)] - 3] = True
         start = np.flatnonzero(cut)
         yield slice(i, j), out[3:], start, np.append(start[1:], len(cut)), np.searchsorted(start, edge)
         i = j
