@@ -6,9 +6,8 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 FRESH_SECONDS, RESCUE_SECONDS, FUTURE_SECONDS = 1800, 43_200, 300
 
@@ -22,9 +21,16 @@ def freshness(at: Column, now: Column, critical: Column) -> Column:
     )
 
 
-def fresh_stream(stream: DataFrame, at: str, arrived: str, critical: Column) -> DataFrame:
-    """A stream (or table) with its freshness against the arrival time; undated, late and future rows leave by a filter."""
-    return stream.withColumn("freshness", freshness(F.col(at), F.col(arrived), critical)).where(F.col("freshness").isin("fresh", "rescued"))
+def fresh_stream(stream: DataFrame, key: str, at: str, arrived: str, critical: Column) -> DataFrame:
+    """A stream's fresh and rescued rows, once for each key, with their freshness against the arrival time.
+
+    The watermark is as late as a rescue may be: a key is forgotten when no row of it could be rescued any more, and rows that are
+    later still are dropped by Spark and counted (numRowsDroppedByWatermark). Undated and future rows leave by the filter, so a row
+    from the future does not move the watermark.
+    """
+    rows = stream.withColumn("freshness", freshness(F.col(at), F.col(arrived), critical)).where(F.col("freshness").isin("fresh", "rescued", "late"))
+    kept = rows.withWatermark(at, f"{RESCUE_SECONDS} seconds").where("freshness <> 'late'")
+    return kept.dropDuplicatesWithinWatermark([key])
 
 
 def unique_stream(stream: DataFrame, key: str, at: str, within: str = "7 days") -> DataFrame:
@@ -50,11 +56,14 @@ def sessions(stream: DataFrame, at: str, key: str, gap: str, late: str | None =
     return rows.groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def recent_matches(new: DataFrame, old: DataFrame, key: str, within: str, late: str = "1 hour") -> DataFrame:
-    """New posts (id, t, key) with earlier ones (id, t, key) of the same key in the time before; two watermarks bound the state."""
+def recent_matches(new: DataFrame, old: DataFrame, key: str, within: str, late: str = "1 hour", unmatched: bool = False) -> DataFrame:
+    """New posts (id, t, key) with earlier ones (id, t, key) of the same key in the time before; two watermarks bound the state.
+
+    unmatched: posts without an earlier one are given too, when the watermark has passed them (on tables: at once).
+    """
     a = new.select(F.col("id").alias("a"), F.col("t").alias("a_t"), F.col(key).alias("a_key")).withWatermark("a_t", late)
     b = old.select(F.col("id").alias("b"), F.col("t").alias("b_t"), F.col(key).alias("b_key")).withWatermark("b_t", late)
-    return a.join(b, F.expr(f"a_key = b_key AND b_t < a_t AND b_t >= a_t - INTERVAL {within}"))
+    return a.join(b, F.expr(f"a_key = b_key AND b_t < a_t AND b_t >= a_t - INTERVAL {within}"), "left_outer" if unmatched else "inner")
 
 
 def repeats(rows: list[tuple[Any, ...]], remembered: list[tuple[float, frozenset[str]]], seconds: float, most: int, least: int, share: float) -> tuple[list[bool], list[tuple[float, frozenset[str]]]]:
@@ -96,38 +105,35 @@ def repeats_table(rows: DataFrame, channel: str = "channel", hours: float = 36,
     return ordered.mapInPandas(run, "channel string, id long, repeated boolean")
 
 
-class RepeatMemory(StatefulProcessor):
-    """The streaming form of repeats_table: a channel's memory is a list state that never holds more than `most` entries."""
-
-    def __init__(self, hours: float = 36, most: int = 150, least: int = 4, share: float = 0.6):
-        self.args = (hours * 3600, most, least, share)
+def once_a_day(batch: DataFrame, done: DataFrame, zone: str, hour: int, at: str = "t") -> DataFrame:
+    """Boards (board, t) that are due: the local hour is reached and (board, local day) is not among those done."""
+    local = F.from_utc_timestamp(at, zone)
+    due = batch.withColumn("day", F.to_date(local)).where(F.hour(local) >= hour).dropDuplicates(["board", "day"])
+    return due.join(done.select("board", "day"), ["board", "day"], "left_anti")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.memory = handle.getListState("memory", "t double, keys array<string>")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["t", "id"])
-        seconds = pdf["t"].astype("datetime64[us]").astype("int64") / 1e6
-        held = [(m[0], frozenset(m[1])) for m in self.memory.get()] if self.memory.exists() else []
-        flags, held = repeats(list(zip(seconds, pdf["keys"], [None if pd.isna(x) else bool(x) for x in pdf["ok"]], strict=True)), held, *self.args)
-        self.memory.clear()
-        if held:
-            self.memory.put([(t, sorted(k)) for t, k in held])
-        yield pd.DataFrame({"channel": key[0], "id": pdf["id"], "repeated": flags})
+class DailyBoards:
+    """For foreachBatch: writes each (board, local day) once, in a folder of its micro-batch's own.
 
-    def close(self) -> None:
-        pass
+    Boards done are those of earlier micro-batches, which have ended before this one begins. A micro-batch that is tried again after
+    a failure finds the same ones done and overwrites its own folder, so it writes nothing twice and loses nothing.
+    """
 
+    def __init__(self, folder: str, zone: str = "UTC", hour: int = 0, at: str = "t"):
+        self.folder, self.zone, self.hour, self.at = folder, zone, hour, at
 
-def repeats_stream(stream: DataFrame, **limits: float) -> DataFrame:
-    return stream.groupBy("channel").transformWithStateInPandas(RepeatMemory(**limits), outputStructType="channel string, id long, repeated boolean", outputMode="Append", timeMode="None")
+    def start(self, spark: SparkSession) -> DailyBoards:
+        spark.createDataFrame([], "board string, day date").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/batch=-1")
+        return self
 
+    def done(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        """board, day and the micro-batch that wrote them."""
+        rows = spark.read.schema("board string, day date, batch long").parquet(self.folder)
+        return rows if before is None else rows.where(F.col("batch") < before)
 
-def once_a_day(batch: DataFrame, done: DataFrame, zone: str, hour: int, at: str = "t") -> DataFrame:
-    """Boards (board, t) that are due: the local hour is reached and (board, local day) is not among those done."""
-    local = F.from_utc_timestamp(at, zone)
-    due = batch.withColumn("day", F.to_date(local)).where(F.hour(local) >= hour).dropDuplicates(["board", "day"])
-    return due.join(done.select("board", "day"), ["board", "day"], "left_anti")
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        due = once_a_day(batch, self.done(batch.sparkSession, batch_id), self.zone, self.hour, self.at)
+        due.select("board", "day").write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
 
 
 def retry_queue(attempts: DataFrame, most: int = 2) -> DataFrame:

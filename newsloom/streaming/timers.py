@@ -8,7 +8,8 @@ progress (numRowsDroppedByWatermark). What a key no longer needs is removed by t
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from newsloom.runtime import shared_folder
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HOUR = 3_600_000_000  # microseconds
 
@@ -102,7 +105,7 @@ def _run(stream: DataFrame, keys: list[str], at: str, late: str, columns: dict[s
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # the only store with timers
     # own names inside, so that the stream's may be any
     own = [f"_{i}" for i in range(len(keys))]
-    rows = stream.select(*(F.col(k).alias(n) for k, n in zip(keys, own, strict=True)), F.col(at).alias("_at"), F.unix_micros(at).alias("t"), *(c.alias(n) for n, c in columns.items()))
+    rows = stream.select(*(F.col(k).alias(n) for k, n in zip(keys, own, strict=True)), F.col(at).cast("timestamp").alias("_at"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), *(c.alias(n) for n, c in columns.items()))
     out = ", ".join([*(f"{n} {kinds[k]}" for k, n in zip(keys, own, strict=True)), processor.out])
     told = rows.withWatermark("_at", late).groupBy(*own).transformWithStateInPandas(processor, outputStructType=out, outputMode="Append", timeMode="EventTime")
     return told.withColumnsRenamed(dict(zip(own, keys, strict=True)))
@@ -365,5 +368,16 @@ def run_available(result: DataFrame, folder: str, mode: str = "append", seconds:
         raise TimeoutError(f"the stream did not end within {seconds} s")
 
 
+def in_slices(rows: DataFrame, part: Column, parts: int, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream makes of a table that arrives in parts: it is stopped after each part and started again from its checkpoint."""
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for k in range(parts):
+        rows.where(part == k).write.mode("append").parquet(f"{folder}/in")
+        result = make(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+        run_available(result, folder)
+    return read_results(spark, result, folder)
+
+
 def read_results(spark: SparkSession, result: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(result.schema).parquet(f"{folder}/out")

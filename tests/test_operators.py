@@ -231,23 +231,6 @@ def test_freshness(spark):
     assert [r.f for r in df.collect()] == ["fresh", "rescued", "late", "future", "undated"]
 
 
-def test_stream_equals_table(spark, tmp_path):
-    start = datetime(2024, 1, 1)
-    rng = random.Random(1)
-    rows = [(f"c{i % 3}", i, start + timedelta(minutes=7 * i), [f"k{rng.randrange(6)}" for _ in range(4)], rng.choice([True, False, None])) for i in range(90)]
-    df = spark.createDataFrame(rows, "channel string, id long, t timestamp, keys array<string>, ok boolean")
-    want = {(r.channel, r.id): r.repeated for r in stories.repeats_table(df, least=3, share=0.7).collect()}
-    assert any(want.values()) and not all(want.values())
-    source = str(tmp_path / "in")
-    df.coalesce(1).write.parquet(source)
-    stream = spark.readStream.schema(df.schema).parquet(source)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    q = stories.repeats_stream(stream, least=3, share=0.7).writeStream.format("memory").queryName("repeats").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert {(r.channel, r.id): r.repeated for r in spark.table("repeats").collect()} == want
-
-
 def test_stream_dedup_and_windows(spark, tmp_path):
     start = datetime(2024, 1, 1)
     df = spark.createDataFrame([(i % 4, start + timedelta(minutes=i), 1.0) for i in range(40)], "key long, ts timestamp, value double")

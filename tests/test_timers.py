@@ -8,7 +8,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.streaming import timers
+from newsloom.plans import catalog, states
+from newsloom.streaming import stories, timers
 
 START = datetime(2024, 1, 1)
 
@@ -184,3 +185,77 @@ def test_a_memory_is_bounded_and_empties():
         assert len(memory.posts.map) <= 20 and len(memory.index.map) <= 40
     memory.tick(memory.following())
     assert not memory.posts.map and not memory.index.map and memory.following() is None
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize(("query", "name"), [("memory_streamed", "stories"), ("incidents_streamed", "incidents")])
+def test_registered_memories_equal_a_list_scan(spark, query, name):
+    rows = [tuple(r) for r in states.posts(spark, SF).select("channel", "event_id", "ts", "keys", "ok").collect()]
+    got = catalog.QUERIES[query](spark, SF).collect()
+    want = plain_memory(rows, *timers.MEMORIES[name], max(r[2] for r in rows) - timedelta(hours=2))
+    assert {r.id: r.repeated for r in got} == want and len(got) == len(want)
+    assert 0 < sum(want.values()) < len(want)
+
+
+def test_remembered_repeats_equal_a_list_scan(spark):
+    e = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_id", "ts", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k")).collect()
+    rows = [(str(r.user_id), r.event_id, r.ts, [r.event_type, None if r.k is None else f"k{r.k // 25}"], r.event_type != "error") for r in e]
+    want = plain_memory(rows, [(36, 2, 1.0)], 150, datetime.max)
+    assert {r.id: r.repeated for r in catalog.QUERIES["remembered_repeats"](spark, SF).collect()} == want
+
+
+def test_boards_of_a_batch_that_is_tried_again(spark, tmp_path):
+    boards = stories.DailyBoards(str(tmp_path / "done"), "UTC", 9, "t").start(spark)
+    rows = lambda *r: spark.createDataFrame([(b, at(60 * h)) for b, h in r], "board string, t timestamp")
+    first, second = rows(("w", 8), ("w", 10), ("c", 9), ("c", 33)), rows(("w", 11), ("w", 35), ("c", 34))
+    boards(first, 0)
+    boards(first, 0)
+    boards(second, 1)
+    written = lambda: sorted((r.board, r.day.day, r.batch) for r in boards.done(spark).collect())
+    expected = [("c", 1, 0), ("c", 2, 0), ("w", 1, 0), ("w", 2, 1)]
+    assert written() == expected
+    boards(second, 1)  # as after a failure between the write and Spark's commit of the micro-batch
+    assert written() == expected
+
+
+def test_rows_too_late_for_a_rescue_are_dropped_and_counted(spark, tmp_path):
+    schema = "id long, t timestamp, arrived timestamp, c boolean"
+    source, hour = str(tmp_path / "in"), 60
+    parts = [[(1, at(0), at(10), False), (2, at(40 * hour), at(40 * hour + 5), False), (3, None, at(5), True), (4, at(90 * hour), at(40 * hour), True)], [(5, at(30 * hour), at(40 * hour), True), (2, at(40 * hour), at(40 * hour + 9), False), (6, at(hour), at(41 * hour), True)]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        made = stories.fresh_stream(spark.readStream.schema(schema).parquet(source), "id", "t", "arrived", F.col("c")).select("id", "freshness")
+        query = made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        dropped = sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"])
+        assert dropped == 0
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(1, "fresh"), (2, "fresh"), (5, "rescued")]
+    late = [(7, at(20 * hour), at(20 * hour + 5), False)]  # arrived in time, but the stream sees it long after
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(source)
+    query = made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"]) == 1
+
+
+def test_two_streams_joined_over_an_interval(spark, tmp_path):
+    rng, schema = random.Random(6), "id long, t timestamp, k string"
+    make = lambda n, shift: [(i + shift, at(13 * i + rng.random() * 10), f"k{rng.randrange(5)}") for i in range(n)]
+    new, old = make(60, 0), make(60, 1000)
+    new.append((99, at(5), "alone"))
+    folders = [str(tmp_path / name) for name in ("new", "old")]
+    for part in range(3):
+        for folder, rows in zip(folders, (new, old), strict=True):
+            late = [r for r in rows if min(2, int(((r[1] - START).total_seconds() / 60 + r[0] % 4 * 10) // 270)) == part]  # up to half an hour late
+            spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(folder)
+        streams = [spark.readStream.schema(schema).parquet(f) for f in folders]
+        result = stories.recent_matches(*streams, "k", "2 HOURS", "1 hour", unmatched=True).select("a", "b")
+        timers.run_available(result, str(tmp_path / "run"), seconds=120)
+    got = [tuple(r) for r in timers.read_results(spark, result, str(tmp_path / "run")).collect()]
+    pairs = {(a, b) for a, t, k in new for b, u, m in old if k == m and t - timedelta(hours=2) <= u < t}
+    upto = min(max(r[1] for r in rows) for rows in (new, old)) - timedelta(hours=1)
+    alone = {(a, None) for a, t, _ in new if t <= upto and a not in {p[0] for p in pairs}}
+    assert len(got) == len(set(got)) and set(got) == pairs | alone and (99, None) in alone
+    tables = [spark.createDataFrame(rows, schema) for rows in (new, old)]
+    assert {tuple(r) for r in stories.recent_matches(*tables, "k", "2 HOURS").select("a", "b").collect()} == pairs
