@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.tokens import containment, jaccard, shared
+from newsloom.runtime import broadcast_if_small, checkpointed
 
 #: Keys carried by more rows than this are dealt out to several groups before rows meet.
 HOT_KEY = 2_000
@@ -22,31 +24,54 @@ def document_frequency(rows: DataFrame, keys: str = "keys") -> DataFrame:
 Need = int | Callable[[Column], Column]
 
 
+def _ranked(rows: DataFrame, keys: str, df: DataFrame) -> DataFrame:
+    """(id, sorted): a row's keys in ascending order of frequency, as structs (df, key, salts)."""
+    one = rows.select("id", F.explode(F.array_distinct(keys)).alias("key"))
+    return one.join(df, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key", "salts"))).alias("sorted"))
+
+
+def _frequencies(keys: DataFrame, name: str) -> DataFrame:
+    """(key, df, salts), counted once; few enough are broadcast, so that rows of a common key do not meet to learn its frequency."""
+    df = document_frequency(keys, name).withColumn("salts", F.least(F.ceil(F.col("df") / HOT_KEY), F.lit(64)).cast("int"))
+    return broadcast_if_small(checkpointed(df), 300_000)
+
+
+def _prefixes(ranked: DataFrame, name: str, least: Need, *more: str) -> DataFrame:
+    """(name, key, salts, ...): the keys by which a row must be met when it shares `least` of them."""
+    need = F.lit(least) if isinstance(least, int) else least(F.size("sorted"))
+    first = F.slice(F.col("sorted"), F.lit(1), F.greatest(F.size("sorted") - need.cast("int") + 1, F.lit(0)))
+    return ranked.select(F.col("id").alias(name), *more, F.explode(first).alias("x")).select(name, *more, F.col("x.key").alias("key"), F.col("x.salts").alias("salts"))
+
+
+def _meet(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    a = a.withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
+    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    # keys are few bytes and what they meet is many rows: Spark would gather them in few tasks by their size
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return a.repartition(parts, *on, "salt").join(b.repartition(parts, *on, "salt"), [*on, "salt"]).select("a", "b")
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, keys: str, least_shared: Need, within: Column | None = None, least_right: Need | None = None) -> DataFrame:
     """(a, b): ids of left and right rows that may share least_shared keys (least_right, if the right rows' bound is another).
 
     A prefix filter keeps the lists short and loses nothing: with its keys in ascending order of frequency, a row that shares
     at least t keys with another has one of them among its first size - t + 1, so only those are met. Keys of many rows are
-    dealt over salted groups on the left and copied to them on the right.
+    dealt over salted groups on the left and copied to them on the right. A table that meets itself is ranked once.
     """
-    df = document_frequency(left.select(keys).union(right.select(keys)), keys)
-    df = df.withColumn("salts", F.least(F.ceil(F.col("df") / HOT_KEY), F.lit(64)).cast("int"))
-
-    def prefixed(side: DataFrame, name: str, least: Need) -> DataFrame:
-        one = side.select(F.col("id").alias(name), F.explode(F.array_distinct(keys)).alias("key"))
-        ranked = one.join(df, "key").groupBy(name).agg(F.sort_array(F.collect_list(F.struct("df", "key", "salts"))).alias("sorted"))
-        need = F.lit(least) if isinstance(least, int) else least(F.size("sorted"))
-        first = F.slice(F.col("sorted"), F.lit(1), F.greatest(F.size("sorted") - need.cast("int") + 1, F.lit(0)))
-        return ranked.select(name, F.explode(first).alias("x")).select(name, F.col("x.key").alias("key"), F.col("x.salts").alias("salts"))
-
-    a = prefixed(left, "a", least_shared).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
-    b = prefixed(right, "b", least_shared if least_right is None else least_right).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    met = a.join(b, ["key", "salt"]).select("a", "b")
+    df = _frequencies(left.select(keys) if left is right else left.select(keys).union(right.select(keys)), keys)
+    ranked = checkpointed(_ranked(left, keys, df))
+    other = ranked if left is right else _ranked(right, keys, df)
+    met = _meet(_prefixes(ranked, "a", least_shared), _prefixes(other, "b", least_shared if least_right is None else least_right), ["key"])
     return (met if within is None else met.where(within)).distinct()
 
 
 def decided(pairs: DataFrame, left: DataFrame, right: DataFrame, test: Column) -> DataFrame:
-    """Pairs with both rows' columns (as a_* and b_*) for which the test holds."""
+    """Pairs with both rows' columns (as a_* and b_*) for which the test holds. Few enough rows are broadcast to the pairs."""
+    # a pair is a few bytes and its decision is not: Spark would gather them in few tasks by their size
+    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    same = left is right
+    left = broadcast_if_small(left, 20_000)
+    right = left if same else broadcast_if_small(right, 20_000)
     la = left.select(*[F.col(c).alias("a" if c == "id" else f"a_{c}") for c in left.columns])
     rb = right.select(*[F.col(c).alias("b" if c == "id" else f"b_{c}") for c in right.columns])
     return pairs.join(la, "a").join(rb, "b").where(test)
@@ -72,21 +97,39 @@ def signatures(title: Column, numbers: Column, events: list[list[list[str]]], ev
     return F.array_distinct(F.concat(named, F.flatten(F.flatten(triples))))
 
 
+def _likeness(test: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """test(common, sim, by_title, number) with each pair of sets intersected once; spelt out in place, the sets would be met some
+    thirty times a pair, by a method too long for the JVM to compile."""
+    size = {c: F.size(c) for c in ("a_story", "b_story", "a_tokens", "b_tokens")}
+    least = F.least(size["a_story"], size["b_story"])
+    met = F.struct(
+        shared(F.col("a_story"), F.col("b_story")).alias("n"), shared(F.col("a_tokens"), F.col("b_tokens")).alias("t"),
+        F.arrays_overlap("a_numbers", "b_numbers").alias("number"),
+    )
+
+    def judged(x: Column) -> Column:
+        part = lambda n, all_: F.when(all_ > 0, n / all_).otherwise(0.0)
+        by_title = part(x.t, size["a_tokens"] + size["b_tokens"] - x.t)
+        both = part(x.n, size["a_story"] + size["b_story"] - x.n)
+        figures = F.struct(x.n.alias("n"), F.when(least == 0, by_title).otherwise(0.45 * both + 0.55 * part(x.n, least)).alias("sim"), by_title.alias("by_title"), F.coalesce(x.number, F.lit(False)).alias("number"))
+        return F.exists(F.array(figures), lambda y: test(y.n, y.sim, y.by_title, y.number))
+
+    return F.exists(F.array(met), judged)
+
+
+def _is_story(common: Column, sim: Column, by_title: Column, number: Column) -> Column:
+    short = F.least(F.size("a_story"), F.size("b_story")) <= 3
+    return (F.col("a_norm") == F.col("b_norm")) | (sim >= 0.72) | ((common >= 4) & (sim >= 0.50)) | (short & (by_title >= 0.80)) | (number & (sim >= 0.45) & (common >= 3))
+
+
 def same_story() -> Column:
     """Columns a_/b_ norm (folded title), tokens (title), story (tokens without generic words), numbers, and signature if there is one."""
-    a, b = F.col("a_story"), F.col("b_story")
-    empty = (F.size(a) == 0) | (F.size(b) == 0)
-    by_title = jaccard(F.col("a_tokens"), F.col("b_tokens"))
-    sim = F.when(empty, by_title).otherwise(similarity(a, b))
-    common, short = shared(a, b), F.least(F.size(a), F.size(b)) <= 3
-    number = F.size(F.array_intersect("a_numbers", "b_numbers")) > 0
-    return (F.col("a_norm") == F.col("b_norm")) | (sim >= 0.72) | ((common >= 4) & (sim >= 0.50)) | (short & (by_title >= 0.80)) | (number & (sim >= 0.45) & (common >= 3))
+    return _likeness(_is_story)
 
 
 def same_event() -> Column:
-    a, b = F.col("a_story"), F.col("b_story")
-    inside, number = containment(a, b), F.size(F.array_intersect("a_numbers", "b_numbers")) > 0
-    return same_story() | ((shared(a, b) >= 3) & ((inside >= 0.78) | ((inside >= 0.62) & number)))
+    inside = lambda n: n / F.least(F.size("a_story"), F.size("b_story"))
+    return _likeness(lambda n, sim, by_title, number: _is_story(n, sim, by_title, number) | ((n >= 3) & ((inside(n) >= 0.78) | ((inside(n) >= 0.62) & number))))
 
 
 def story_pairs(rows: DataFrame, test: Column) -> DataFrame:
@@ -98,30 +141,42 @@ def story_pairs(rows: DataFrame, test: Column) -> DataFrame:
     five; and titles of at most three story tokens meet by title tokens, of which they share 0.72 of either side. Rows of one
     signature are all one story: each is paired with the smallest id of them, and not with every other.
     """
-    sizes = rows.withColumn("n", F.size("story")).withColumn("all", F.size("tokens"))
+    signed = rows.select("id", F.explode("signature").alias("key"))
+    # words as 64-bit hashes: sets of longs are met and compared in a fraction of the time
+    hashed = lambda c: F.transform(c, lambda w: F.xxhash64(w)).alias(c)
+    rows = checkpointed(rows.select("id", F.xxhash64("norm").alias("norm"), hashed("tokens"), hashed("story"), "numbers"))
+    sizes = rows.select("id", "story", "tokens", F.size("story").alias("n"))
     half = lambda n: F.greatest(F.lit(3), F.ceil(n * 0.45 - 1e-9))
     most = lambda n: F.ceil(n * 0.72 - 1e-9)
-    few = sizes.where("n between 1 and 2")
-    met = candidate_pairs(rows, rows, "story", half, F.col("a") != F.col("b"), 3)
-    met = met.union(candidate_pairs(few, sizes.where("n between 1 and 5"), "story", lambda n: n, F.col("a") != F.col("b"), 1))
-    met = met.union(candidate_pairs(sizes.where("n <= 3"), sizes.where("all <= 12"), "tokens", most, F.col("a") != F.col("b"), most))
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # both rules of story tokens use one order of frequency, and meet in one join with the rule's name
+    story = checkpointed(_ranked(sizes, "story", _frequencies(sizes, "story")).withColumn("n", F.size("sorted")))
+    short = sizes.where((F.col("n") <= 3) | (F.size("tokens") <= 12))
+    token = checkpointed(_ranked(short, "tokens", _frequencies(short, "tokens")).join(short.select("id", "n", F.size("tokens").alias("all")), "id"))
+    few, several = story.where("n between 1 and 2"), story.where("n between 1 and 5")
+    sides = [
+        ("half", _prefixes(story, "a", half), _prefixes(story, "b", 3)),
+        ("few", _prefixes(few, "a", lambda n: n), _prefixes(several, "b", 1)),
+        ("token", _prefixes(token.where("n <= 3"), "a", most), _prefixes(token.where("all <= 12"), "b", most)),
+    ]
+    a, b = (reduce(DataFrame.unionByName, [side[k].withColumn("rule", F.lit(side[0])) for side in sides]) for k in (1, 2))
+    met = _meet(a, b, ["rule", "key"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = decided(met, rows, rows, test).select("a", "b")
-    signed = rows.select("id", F.explode("signature").alias("key"))
     first = signed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     return pairs.union(signed.join(first, "key").where("a < id").select("a", F.col("id").alias("b"))).distinct()
 
 
 def fingerprint_overlap() -> Column:
-    n, part = shared(F.col("a_keys"), F.col("b_keys")), containment(F.col("a_keys"), F.col("b_keys"))
-    return ((n >= 6) & (part >= 0.40)) | ((n >= 4) & (part >= 0.60))
+    least = F.least(F.size("a_keys"), F.size("b_keys"))
+    # the sets are intersected once for each pair
+    return F.exists(F.array(shared(F.col("a_keys"), F.col("b_keys"))), lambda n: ((n >= 6) & (n / least >= 0.40)) | ((n >= 4) & (n / least >= 0.60)))
 
 
 def overlap_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs a < b of rows (id, keys) that pass fingerprint_overlap(), with both rows' columns.
+    """Pairs a < b of rows (id, keys) that pass fingerprint_overlap(), with both rows' keys as 64-bit hashes.
 
     The side of fewer keys shares four of them and two fifths at least, so it is met by the rarest of its keys alone.
     """
+    rows = checkpointed(rows.select("id", F.transform("keys", lambda k: F.xxhash64(k)).alias("keys")))
     part = lambda n: F.greatest(F.lit(4), F.ceil(n * 0.4 - 1e-9))
     met = candidate_pairs(rows, rows, "keys", part, F.col("a") != F.col("b"), 4)
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -11,6 +11,7 @@ from newsloom.operators import clusters, ranking, scores, similarity
 from newsloom.operators.memory import without_seen
 from newsloom.operators.rules import Rule, any_of, count_terms, first_reason, has
 from newsloom.plans.base import ASOF, STORIES, TITLE, asof, query, stories, table, title_of
+from newsloom.runtime import checkpointed
 
 # A rule table in the languages of the tables.
 VERY = ["license", "released", "unter", "avec", "from"]
@@ -189,7 +190,7 @@ def fp_overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_SETS} SELECT a.id AS a, b.id AS b FROM sets a JOIN sets b ON a.id <> b.id AND list_has_any(a.keys, b.keys) WHERE len(a.keys) >= 5 AND len(list_intersect(a.keys, b.keys)) = len(a.keys) AND len(b.keys) - len(a.keys) <= 2")
 def containment_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = title_sets(spark, sf)
+    rows = checkpointed(title_sets(spark, sf).select("id", "keys"))
     met = similarity.candidate_pairs(rows, rows, "keys", 5, F.col("a") != F.col("b"))
     return similarity.decided(met, rows, rows, similarity.headline_containment()).select("a", "b")
 
@@ -197,7 +198,7 @@ def containment_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_SETS} SELECT a.id AS a, b.id AS b FROM sets a JOIN sets b ON a.id <> b.id AND list_has_any(a.keys, b.keys) WHERE (len(a.keys) >= 5 AND len(list_intersect(a.keys, b.keys)) = len(a.keys) AND len(b.keys) - len(a.keys) <= 2) OR (len(list_intersect(a.keys, b.keys)) >= 4 AND {_CON.format('a.keys', 'b.keys')} >= 0.5)")
 def same_headline_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Earlier and later headlines (in either order of ids) that repeat each other by containment or by half of the words."""
-    rows = title_sets(spark, sf)
+    rows = checkpointed(title_sets(spark, sf).select("id", "keys"))
     half = lambda n: F.greatest(F.lit(4), F.ceil(n * 0.5))
     met = similarity.candidate_pairs(rows, rows, "keys", half, F.col("a") != F.col("b"), 4)
     met = met.union(met.select("b", "a")).distinct()
@@ -210,7 +211,7 @@ def same_headline_pairs(spark: SparkSession, sf: str) -> DataFrame:
     SELECT a, b, count(*) AS shared, count_if(df <= 2)::BIGINT AS rare FROM p JOIN df USING (key) GROUP BY a, b HAVING count(*) >= 6 AND count_if(df <= 2) >= 5"""
 )
 def rare_follow_up(spark: SparkSession, sf: str) -> DataFrame:
-    rows = title_sets(spark, sf)
+    rows = checkpointed(title_sets(spark, sf).select("id", "keys"))
     pairs = similarity.self_pairs(rows, "keys", 6, F.lit(True))
     return similarity.rare_follow_up(pairs, rows)
 
@@ -234,8 +235,8 @@ def semantic_anti_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, sf: str, heads_only: bool) -> DataFrame:
-    rows = title_sets(spark, sf)
-    pairs = similarity.overlap_pairs(rows.select("id", "keys")).select("a", "b")
+    rows = checkpointed(title_sets(spark, sf).select("id", "keys"))
+    pairs = similarity.overlap_pairs(rows).select("a", "b")
     return clusters.greedy_clusters(rows.select("id", F.col("id").alias("seq")), pairs, heads_only)
 
 
@@ -277,8 +278,9 @@ def front_page(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: accepted stories, one per cluster of like titles, in diverse order (a top-k report)."""
     group = clusters.greedy_clusters
     rows = gated(spark, sf).where("reason is null").select("id", "title", F.coalesce("source", F.lit("-")).alias("source"), (F.col("keyword") + F.col("recency")).alias("score"))
+    rows = checkpointed(rows)
     sets = rows.select("id", F.array_sort(K.fingerprint(F.lower(normal_space(F.col("title"))))).alias("keys"))
-    one = sets.groupBy("keys").agg(F.min("id").alias("id"))
+    one = checkpointed(sets.groupBy("keys").agg(F.min("id").alias("id")))
     pairs = similarity.overlap_pairs(one).select("a", "b")
     named = group(one.select("id", F.col("id").alias("seq")), pairs)
     best = clusters.representatives(rows.join(named, "id"), "cluster_id", F.desc("score"), F.col("id"))

@@ -102,21 +102,44 @@ def html_blocks(pages: DataFrame, id_column: str = "page_id", html: str = "html"
     return rows.mapInPandas(run, "id long, place int, tag string, text string, link_chars long, links int, list int, inside array<int>").withColumnRenamed("id", id_column)
 
 
-def main_text(pages: DataFrame, id_column: str = "page_id", html: str = "html", least: int = 40, most_links: float = 0.65, shortest: int = 150, phrases: Sequence[str] = PHRASES, penalty: int = 500) -> DataFrame:
-    """(id, blocks, text): the best candidate for a page's article; pages without one have no row.
+def article_of(page: str | None, least: int = 40, most_links: float = 0.65, shortest: int = 150, phrases: Sequence[str] = PHRASES, penalty: int = 500) -> tuple[int, str] | None:
+    """(blocks, text) of the best candidate for a page's article, None without one; see main_text."""
+    blocks = blocks_of(page)
+    lists: dict[int, list[int]] = {}
+    for _, text, linked, links, number, _ in blocks:
+        if number:
+            sums = lists.setdefault(number, [0, 0, 0])
+            sums[0], sums[1], sums[2] = sums[0] + links, sums[1] + linked, sums[2] + len(text)
+    chrome = {k for k, (n, linked, chars) in lists.items() if n >= 3 and chars and linked / chars >= most_links}
+    homes: dict[int, list[str]] = {}
+    for tag, text, _, _, number, inside in blocks:
+        if number not in chrome:
+            for home in (*inside, 0) if tag == "p" and len(text) >= least else inside:
+                homes.setdefault(home, []).append(text)
+    best = None
+    for home, texts in homes.items():
+        text = "\n".join(texts)
+        if len(text) > shortest:
+            low = text.lower()
+            order = (home > 0, len(text) - penalty * sum(p in low for p in phrases), -home)  # the paragraphs count only without a container
+            if best is None or order > best[0]:
+                best = order, (len(texts), text)
+    return best[1] if best else None
+
+
+def main_text(pages: DataFrame, id_column: str = "page_id", html: str = "html", **limits: float | Sequence[str]) -> DataFrame:
+    """(id, blocks, text): the best candidate for a page's article; pages without one have no row. limits: as of article_of.
 
     Lists of three links and more that are mostly links are dropped. Every article container whose text is longer than
     `shortest` is a candidate; without one, the paragraphs of at least `least` characters together are. A candidate's score is
-    its length less `penalty` for each phrase of page furniture in it; the best stays, the first of equals.
+    its length less `penalty` for each phrase of page furniture in it; the best stays, the first of equals. A page is read once,
+    in its task, and only its article leaves it.
     """
-    rows = html_blocks(pages, id_column, html)
-    lists = rows.where("list > 0").groupBy(id_column, "list").agg(F.sum("links").alias("n"), F.sum("link_chars").alias("l"), F.sum(F.length("text")).alias("c"))
-    chrome = lists.where((F.col("n") >= 3) & (F.col("l") / F.col("c") >= most_links)).select(id_column, "list")
-    good = rows.join(chrome, [id_column, "list"], "left_anti")
-    paragraph = (F.col("tag") == "p") & (F.length("text") >= least)
-    homes = F.concat("inside", F.when(paragraph, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
-    joined = good.select(id_column, F.explode(homes).alias("home"), F.struct("place", "text").alias("b")).groupBy(id_column, "home").agg(F.sort_array(F.collect_list("b")).alias("b"))
-    text = joined.select(id_column, "home", F.size("b").alias("blocks"), F.array_join(F.transform("b", lambda x: x.text), "\n").alias("text")).where(F.length("text") > shortest)
-    hits = F.size(F.filter(F.array(*[F.lit(p) for p in phrases]).cast("array<string>"), lambda p: F.contains(F.lower("text"), p)))
-    order = F.struct(F.col("home") > 0, F.length("text") - penalty * hits, -F.col("home"))  # the paragraphs count only without a container
-    return text.groupBy(id_column).agg(F.max_by(F.struct("blocks", "text"), order).alias("x")).select(id_column, "x.blocks", "x.text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(i, article_of(page, **limits)) for i, page in pdf.itertuples(index=False)]
+            yield pd.DataFrame([(i, *x) for i, x in found if x is not None], columns=["id", "blocks", "text"])
+
+    rows = pages.select(F.col(id_column).alias("id"), F.col(html).alias("html"))
+    return rows.mapInPandas(run, "id long, blocks int, text string").withColumnRenamed("id", id_column)
