@@ -8,9 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Query parameters that only track, and hosts of a kind.
-TRACKING = ["fbclid", "gclid", "dclid", "igshid", "mc_cid", "mc_eid", "ref", "ref_src", "source", "spm", "yclid", "cmpid", "ocid", "feature"]
-AGGREGATORS = ["news.google.com", "news.yahoo.com", "flipboard.com"]
-SOCIAL = ["x.com", "twitter.com", "facebook.com", "instagram.com", "t.me", "telegram.me", "youtube.com", "tiktok.com", "linkedin.com"]
+TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_name", "gclid", "fbclid", "mc_cid", "mc_eid", "ref", "referrer", "source", "output"]
+AGGREGATORS = ["news.google.com", "google.com", "googleusercontent.com", "gstatic.com"]
+SOCIAL = ["facebook.com", "fb.com", "fbcdn.net", "x.com", "twitter.com", "twimg.com", "youtube.com", "youtu.be", "tiktok.com", "instagram.com", "telegram.me", "t.me"]
 TRACKERS = ["doubleclick.net", "google-analytics.com", "googletagmanager.com", "scorecardresearch.com"]
 VIDEO_SUFFIXES = ["mp4", "webm", "mov", "m4v"]
 ASSET_SUFFIXES = ["jpg", "jpeg", "png", "gif", "webp", "svg", "css", "js", "ico", "woff2"]

@@ -20,6 +20,20 @@ def document_frequency(rows: DataFrame, keys: str = "keys") -> DataFrame:
     return rows.select(F.explode(F.array_distinct(keys)).alias("key")).groupBy("key").agg(F.count("*").alias("df"))
 
 
+def windowed_frequency(rows: DataFrame, hours: float, keys: str = "keys", at: str = "t") -> DataFrame:
+    """(id, key, df): for each row and key, in how many rows of the hours up to the row's time the key occurs, its own included.
+
+    Time is cut into cells as long as the window, so a row's window lies in its cell and the one before. Rows of a key meet in cells:
+    each is counted in its own and the next one, and no task holds more of a key than two cells have.
+    """
+    span = int(hours * 3_600_000_000)
+    one = rows.select("id", F.unix_micros(F.col(at).cast("timestamp")).alias("_t"), F.explode(F.array_distinct(keys)).alias("key"))
+    own = F.floor(F.col("_t") / span)
+    placed = one.withColumn("_cell", F.explode(F.array(own, own + 1))).withColumn("_own", F.col("_cell") == own)
+    counted = placed.withColumn("df", F.count("*").over(Window.partitionBy("key", "_cell").orderBy("_t").rangeBetween(-span, 0)))
+    return counted.where("_own").select("id", "key", "df")
+
+
 #: How many keys a row must share at least: a number, or made from the number of its own keys.
 Need = int | Callable[[Column], Column]
 
@@ -208,6 +222,18 @@ def rare_follow_up(pairs: DataFrame, rows: DataFrame, rarest: int = 2, least_sha
     return both.groupBy("a", "b").agg(F.count("*").alias("shared"), F.count_if(F.col("df") <= rarest).alias("rare")).where((F.col("shared") >= least_shared) & (F.col("rare") >= least_rare))
 
 
+def rare_in_window(pairs: DataFrame, rows: DataFrame, hours: float, rarest: int = 2, least_shared: int = 6, least_rare: int = 5) -> DataFrame:
+    """Pairs (a, b) of rows (id, t, keys) at most the hours apart that share least_shared keys, least_rare of which occur in at most
+    rarest rows of the hours before the later one: rarity is judged when that story comes. later is its id."""
+    la, rb = (rows.select(F.col("id").alias(n), F.col("t").alias(f"{n}_at"), F.col("keys").alias(f"{n}_keys")) for n in ("a", "b"))
+    both = pairs.select("a", "b").join(la, "a").join(rb, "b")
+    both = both.where(F.abs(F.unix_micros(F.col("a_at").cast("timestamp")) - F.unix_micros(F.col("b_at").cast("timestamp"))) <= int(hours * 3_600_000_000))
+    later = F.when(F.struct("a_at", "a") > F.struct("b_at", "b"), F.col("a")).otherwise(F.col("b"))
+    each = both.select("a", "b", later.alias("later"), F.explode(F.array_intersect("a_keys", "b_keys")).alias("key"))
+    known = each.join(windowed_frequency(rows, hours).withColumnRenamed("id", "later"), ["later", "key"])
+    return known.groupBy("a", "b", "later").agg(F.count("*").alias("shared"), F.count_if(F.col("df") <= rarest).alias("rare")).where((F.col("shared") >= least_shared) & (F.col("rare") >= least_rare))
+
+
 def newest_earlier(left: DataFrame, right: DataFrame, key: str, window: str) -> DataFrame:
     """Each left row (id, key, t) with the newest right row of its key from the window before it; null without one.
 

@@ -150,15 +150,11 @@ def union_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return every.unionByName(labelled).groupBy("lang", "source").agg(F.bool_or("a").alias("in_documents"), F.bool_or("b").alias("labelled"))
 
 
-def _sql_jalali(day: str) -> str:
-    d = f"(date_diff('day', DATE '1600-01-01', {day}::DATE) - 79)"
-    r, r4 = f"({d} % 12053)", f"({d} % 12053 % 1461)"
-    inside = f"(CASE WHEN {r4} >= 366 THEN ({r4} - 1) % 365 ELSE {r4} END)"
-    year = f"(979 + 33 * ({d} // 12053) + 4 * ({r} // 1461) + CASE WHEN {r4} >= 366 THEN ({r4} - 1) // 365 ELSE 0 END)::INT"
-    return f"{year} AS year, (CASE WHEN {inside} < 186 THEN {inside} // 31 + 1 ELSE ({inside} - 186) // 30 + 7 END)::INT AS month, (CASE WHEN {inside} < 186 THEN {inside} % 31 + 1 ELSE ({inside} - 186) % 30 + 1 END)::INT AS day"
-
-
-@query(f"SELECT year, month, day, count(*) AS orders FROM (SELECT {_sql_jalali('o_orderdate')} FROM orders) GROUP BY ALL")
+@query(
+    """WITH years AS (SELECT y, DATE '1991-03-21' + (sum(days) OVER (ORDER BY y) - days)::INT AS new_year FROM (SELECT y, 365 + ((25 * y + 11) % 33 < 8)::INT AS days FROM range(1370, 1470) t(y))),
+    months AS (SELECT y, m, new_year + (31 * least(m - 1, 6) + 30 * greatest(m - 7, 0))::INT AS first FROM years, range(1, 13) r(m))
+    SELECT y::INT AS year, m::INT AS month, (date_diff('day', first, o_orderdate::DATE) + 1)::INT AS day, count(*) AS orders FROM orders ASOF JOIN months ON o_orderdate::DATE >= first::DATE GROUP BY ALL"""
+)
 def jalali_date(spark: SparkSession, sf: str) -> DataFrame:
     j = table(spark, sf, "orders").select(jalali(F.to_date("o_orderdate")).alias("j"))
     return j.groupBy("j.year", "j.month", "j.day").agg(F.count("*").alias("orders"))

@@ -13,7 +13,11 @@ from newsloom.sources.html_text import main_text
 _HOST = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://|^//', ''), '^([^/?#]*)', 1)), '^.*@', ''), ':[0-9]*$', ''), '^www\\.', '')"
 _PATH = "regexp_extract(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://|^//', ''), '^[^/?#]*([^?#]*)', 1)"
 _QUERY = "regexp_extract(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://|^//', ''), '^[^?#]*\\?([^#]*)', 1)"
-_TRACK = "[" + ", ".join(f"'{t}'" for t in U.TRACKING) + "]"
+# Written out, not taken from the library that they hold.
+_TRACK = "['utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'utm_name', 'gclid', 'fbclid', 'mc_cid', 'mc_eid', 'ref', 'referrer', 'source', 'output']"
+_AGGREGATOR = r"regexp_matches(h, '(^|\.)(google\.com|googleusercontent\.com|gstatic\.com)$')"
+_SOCIAL = r"regexp_matches(h, '(^|\.)(facebook\.com|fb\.com|fbcdn\.net|x\.com|twitter\.com|twimg\.com|youtube\.com|youtu\.be|tiktok\.com|instagram\.com|telegram\.me|t\.me)$')"
+_TRACKER = r"regexp_matches(h, '(^|\.)(doubleclick\.net|google-analytics\.com|googletagmanager\.com|scorecardresearch\.com)$')"
 
 
 @query(
@@ -33,7 +37,7 @@ def _in(hosts: list[str]) -> str:
 
 
 @query(
-    f"""WITH u AS (SELECT page_id, {_HOST} AS h FROM pages), q AS (SELECT page_id, h AS host, CASE WHEN h = '' THEN 0 WHEN {_in(U.SOCIAL)} THEN -40 WHEN {_in(U.AGGREGATORS)} THEN -50 WHEN {_in(_HIGH)} THEN 25 WHEN {_in(_MEDIUM)} THEN 15 ELSE 5 END AS quality FROM u)
+    f"""WITH u AS (SELECT page_id, {_HOST} AS h FROM pages), q AS (SELECT page_id, h AS host, CASE WHEN h = '' THEN 0 WHEN {_SOCIAL} THEN -40 WHEN {_AGGREGATOR} THEN -50 WHEN {_in(_HIGH)} THEN 25 WHEN {_in(_MEDIUM)} THEN 15 ELSE 5 END AS quality FROM u)
     SELECT page_id, host, quality, CASE WHEN quality >= 25 THEN 10 WHEN quality >= 15 THEN 8 WHEN quality >= 5 THEN 6 WHEN quality >= 0 THEN 4 ELSE 2 END AS reliability FROM q"""
 )
 def host_quality(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,7 +46,7 @@ def host_quality(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("reliability", scores.reliability(F.col("quality")))
 
 
-@query(f"WITH u AS (SELECT page_id, {_HOST} AS h, lower(regexp_extract({_PATH}, '\\.([A-Za-z0-9]{{1,5}})$', 1)) AS e FROM pages) SELECT page_id, {_in(U.AGGREGATORS)} AS aggregator, {_in(U.SOCIAL)} AS social, {_in(U.TRACKERS)} AS tracker, e IN ({', '.join(repr(x) for x in U.VIDEO_SUFFIXES)}) AS video FROM u")
+@query(f"WITH u AS (SELECT page_id, {_HOST} AS h, lower(regexp_extract({_PATH}, '\\.([A-Za-z0-9]{{1,5}})$', 1)) AS e FROM pages) SELECT page_id, {_AGGREGATOR} AS aggregator, {_SOCIAL} AS social, {_TRACKER} AS tracker, e IN ('mp4', 'webm', 'mov', 'm4v') AS video FROM u")
 def url_kind_flags(spark: SparkSession, sf: str) -> DataFrame:
     k = table(spark, sf, "pages").select("page_id", U.kinds(F.col("url")).alias("k"))
     return k.select("page_id", "k.aggregator", "k.social", "k.tracker", "k.video")

@@ -216,6 +216,35 @@ def rare_follow_up(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.rare_follow_up(pairs, rows)
 
 
+_AT = f"(TIMESTAMP '{ASOF}' - to_seconds((id * 613) % 129600 * 3))"
+
+
+def timed_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Title sets as stories spread over four and a half days."""
+    at = F.timestamp_seconds(F.unix_timestamp(asof()) - (F.col("id") * 613) % 129_600 * 3)
+    return checkpointed(title_sets(spark, sf).select("id", "keys", at.alias("t")))
+
+
+@query(
+    f"""WITH {_SETS}, timed AS (SELECT id, keys, {_AT} AS t FROM sets), k AS (SELECT id, t, unnest(keys) AS key FROM timed),
+    p AS (SELECT a.id AS a, b.id AS b, CASE WHEN (a.t, a.id) > (b.t, b.id) THEN a.id ELSE b.id END AS later, unnest(list_intersect(a.keys, b.keys)) AS key FROM timed a JOIN timed b ON a.id < b.id AND list_has_any(a.keys, b.keys)
+        WHERE len(list_intersect(a.keys, b.keys)) >= 6 AND abs(epoch(a.t) - epoch(b.t)) <= 36 * 3600),
+    c AS (SELECT a, b, later, key, (SELECT count(*) FROM k WHERE k.key = p.key AND k.t <= l.t AND k.t >= l.t - INTERVAL 36 HOURS) AS df FROM p JOIN timed l ON l.id = later)
+    SELECT a, b, later, count(*) AS shared, count_if(df <= 3)::BIGINT AS rare FROM c GROUP BY ALL HAVING count(*) >= 6 AND count_if(df <= 3) >= 3"""
+)
+def rare_in_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Follow-ups by words that are rare in the 36 hours before the later story."""
+    rows = timed_sets(spark, sf)
+    pairs = similarity.candidate_pairs(rows, rows, "keys", 6, F.col("a") < F.col("b"))
+    return similarity.rare_in_window(pairs, rows, 36, rarest=3, least_rare=3)
+
+
+@query(f"WITH {_SETS}, k AS (SELECT id, {_AT} AS t, unnest(keys) AS key FROM sets) SELECT a.id, a.key, count(*) AS df FROM k a JOIN k b ON a.key = b.key AND b.t <= a.t AND b.t >= a.t - INTERVAL 36 HOURS GROUP BY a.id, a.key")
+def windowed_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    """In how many stories of the 36 hours up to a story each of its keys occurs."""
+    return similarity.windowed_frequency(timed_sets(spark, sf), 36)
+
+
 @query(f"SELECT doc_id FROM documents WHERE lower(trim(regexp_replace({TITLE}, '\\s+', ' ', 'g'))) NOT IN (SELECT lower(trim(regexp_replace({TITLE}, '\\s+', ' ', 'g'))) FROM benchmark)")
 def history_anti_join(spark: SparkSession, sf: str) -> DataFrame:
     norm = F.lower(normal_space(title_of())).alias("norm")

@@ -63,11 +63,16 @@ def test_numbers(spark):
     assert one(spark, "Minister: we agree", tokens.speaker) == "Minister"
 
 
-@pytest.mark.parametrize("raw, want", [("HTTP://WWW.Ex.com:80/a/?utm_source=x&b=2&a=1#f", "http://ex.com/a?a=1&b=2"), ("ex.com", "https://ex.com/"), ("https://ex.com/?ref=1", "https://ex.com/")])
+@pytest.mark.parametrize("raw, want", [("HTTP://WWW.Ex.com:80/a/?utm_source=x&b=2&a=1#f", "http://ex.com/a?a=1&b=2"), ("ex.com", "https://ex.com/"), ("https://ex.com/?ref=1", "https://ex.com/"), ("https://ex.com/a?Referrer=q&output=x&igshid=3&utm_id=4", "https://ex.com/a?igshid=3")])
 def test_canonical(spark, raw, want):
     assert one(spark, raw, urls.canonical) == want
 
 
+@pytest.mark.parametrize("raw, flag", [("https://google.com/x", "aggregator"), ("https://lh3.googleusercontent.com/i", "aggregator"), ("https://t1.gstatic.com/i", "aggregator"), ("https://www.fb.com/x", "social"), ("https://youtu.be/x", "social"), ("https://pbs.twimg.com/x", "social"), ("https://flipboard.com/x", None), ("https://linkedin.com/x", None)])
+def test_kinds_of_hosts(spark, raw, flag):
+    assert [k for k in ("aggregator", "social") if one(spark, raw, urls.kinds)[k]] == ([flag] if flag else [])
+
+
 def test_absolute_links(spark):
     base = F.lit("https://h.com/a/b.html")
     assert [one(spark, x, lambda c: urls.absolute(c, base)) for x in ("c", "/d", "//e.com/f", "../g", "https://i.com")] == ["https://h.com/a/c", "https://h.com/d", "https://e.com/f", "https://h.com/g", "https://i.com"]
