@@ -29,7 +29,7 @@ def texts():
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cursor = con.execute(registry.ORACLES[name])
     columns = [d[0] for d in cursor.description]
