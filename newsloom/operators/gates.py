@@ -148,17 +148,21 @@ def major_sports(text: Column, sports: Sequence[str], stages: Sequence[str], res
     return F.when(~has(low, sports) | noise(text).isNotNull(), 0).when(result & (has(low, stages) | has(low, derbies)), 3).when(result, 2).otherwise(0)
 
 
-def incident_signature(text: Column, kinds: Sequence[tuple[str, str]], places: dict[str, str], anchors: Column) -> Column:
+def incident_signature(text: Column, kinds: Sequence[tuple[str, str]], places: dict[str, str] | Column, anchors: Column) -> Column:
     """struct<kind, regions, places, toll, anchors>; null for ceremonies, without a kind, or with no region and under two anchors.
 
-    places maps a place name to its region; the longest names are found first, with a suffix allowed.
+    places maps a place name to its region; the longest names are found first, with a suffix allowed. A large gazetteer is searched
+    before, by dictionary.find_terms (term: place, value: region; whole words), and its column given here.
     """
     low = F.lower(text)
     kind = F.coalesce(*[F.when(low.rlike(p), F.lit(k)) for k, p in kinds])
-    names = "|".join("\\Q" + n.lower() + "\\E" for n in sorted(places, key=len, reverse=True))
-    found = F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?<!\p{{L}})({names})"), F.lit(1)))
-    table = F.create_map(*[x for n, r in places.items() for x in (F.lit(n.lower()), F.lit(r))])
-    regions = F.array_distinct(F.transform(found, lambda n: F.element_at(table, n)))
+    if isinstance(places, Column):
+        found, regions = F.array_distinct(places["term"]), F.array_distinct(places["value"])
+    else:
+        names = "|".join("\\Q" + n.lower() + "\\E" for n in sorted(places, key=len, reverse=True))
+        found = F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?<!\p{{L}})({names})"), F.lit(1)))
+        table = F.create_map(*[x for n, r in places.items() for x in (F.lit(n.lower()), F.lit(r))])
+        regions = F.array_distinct(F.transform(found, lambda n: F.element_at(table, n)))
     empty = (F.size(regions) == 0) & (F.size(anchors) < 2)
     return F.when(kind.isNotNull() & ~has(low, ["ceremony", "anniversary", "commemoration"]) & ~empty, F.struct(kind.alias("kind"), regions.alias("regions"), found.alias("places"), toll(low).alias("toll"), anchors.alias("anchors")))
 

@@ -51,7 +51,7 @@ def test_query_equals_its_sql(spark, duck, name):
 #: Queries without SQL, and the tests that replay them as registered.
 REPLAYED = {
     "output_numbers": "test_output_numbers_replayed", "bounded_board": "test_bounded_board_replayed", "remembered_repeats": "tests/test_timers.py", "memory_streamed": "tests/test_timers.py",
-    "incidents_streamed": "tests/test_timers.py", "html_main_text": "tests/test_html_text.py",
+    "incidents_streamed": "tests/test_timers.py", "html_main_text": "tests/test_html_text.py", "dictionary_rewritten": "tests/test_dictionary.py",
 }
 #: Those of which only the functions are held, by fixtures.
 BY_FIXTURES = ["lead_reselect", "on_topic_lines", "post_problems", "publisher_links", "redundant_lines", "scored_summary"]
