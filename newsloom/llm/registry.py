@@ -47,8 +47,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = F.filter("found", lambda x: x.kind == "phrase")
     starts = F.transform(places, lambda x: x.start)
     labels = lambda found: F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: x.label))), ",")
-    # whole wording accepted by a template: 1, only a phrase: 0.5
-    score = F.when(F.exists("found", lambda x: x.kind == "template"), 1.0).when(F.size(places) > 0, 0.5).otherwise(0.0)
+    # whole wording accepted by a template: 1, only a phrase or a licence's first sentence: 0.5
+    score = F.when(F.exists("found", lambda x: x.kind == "template"), 1.0).when(F.size("found") > 0, 0.5).otherwise(0.0)
     return found.select(
         "doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         labels(places).alias("base_labels"), labels(F.col("found")).alias("labels"), score.alias("score"),

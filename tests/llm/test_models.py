@@ -158,3 +158,36 @@ def test_license_templates(text, label):
     hashes = [text_hash(w) for w in words]
     found = {name for name, t in license_scan.TEMPLATES for i in range(len(words)) if hashes[i] in license_scan.Automaton(t).first and license_scan.Automaton(t).accept(hashes[i:])}
     assert found == ({label} if label else set())
+
+
+def wording(template, optional):
+    """One reading of a template, and whether each of its words is mandatory; optional parts are left out or taken."""
+    out = []
+    for left_out, replaceable, plain in re.findall(r"(?s)\[\[(.*?)\]\]|<<(.*?)>>|((?:(?!\[\[|<<).)+)", template):
+        part = plain or ("The Authors of 2024" if replaceable.isdigit() else replaceable.split("|")[0]) or (left_out.split("|")[0] if optional else "")
+        out += [(w, bool(plain)) for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", part.lower())]
+    return out
+
+
+@pytest.mark.parametrize("label, template", license_scan.BODIES)
+@pytest.mark.parametrize("optional", [False, True])
+def test_licence_bodies_hold_every_mandatory_word(label, template, optional):
+    from newsloom.llm.textbytes import text_hash
+
+    machine, words = license_scan.Automaton(template), wording(template, optional)
+    hashes = [text_hash(w) for w, _ in words]
+    assert machine.accept(hashes) == len(words) > 60
+    refused = [i for i, (_, fixed) in enumerate(words) if fixed and not machine.accept([*hashes[:i], text_hash("xyzzy"), *hashes[i + 1 :]])]
+    short = [i for i, (_, fixed) in enumerate(words) if fixed and not machine.accept([*hashes[:i], *hashes[i + 1 :]])]
+    assert refused == short == [i for i, (_, fixed) in enumerate(words) if fixed]
+
+
+def test_changed_licence_is_its_opening_only(spark):
+    bodies = {label: " ".join(w for w, _ in wording(t, True)) for label, t in license_scan.BODIES}
+    texts = [("whole " + label, "Some code.\n" + t.upper() + "\nEnd") for label, t in bodies.items()]
+    texts += [("changed mit-text", bodies["mit-text"].replace("noninfringement", "infringement")), ("bsd both", bodies["bsd-2-clause-text"] + " " + bodies["bsd-3-clause-text"]), ("none", None), ("cut", bodies["isc-text"][:-1])]
+    got = {r.doc_id: {(f.kind, f.label) for f in r.found if f.kind != "phrase"} for r in license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id string, text string")).collect()}
+    for label in bodies:
+        assert {x for k, x in got["whole " + label] if k == "template" and x.endswith("-text")} == {label}
+    assert got["changed mit-text"] == {("opening", "mit-opening")} and got["cut"] == {("opening", "isc-opening")} and not got["none"]
+    assert got["bsd both"] == {("template", "bsd-2-clause-text"), ("template", "bsd-3-clause-text"), ("opening", "bsd-opening")}
