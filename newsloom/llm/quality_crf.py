@@ -10,7 +10,7 @@ strongly neighbouring lines agree ("stay" against "change"), not where good text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -239,3 +239,22 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], id_column: str = "doc_i
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, score double, n_lines long, good_share double").withColumnRenamed("id", id_column)
+
+
+def cross_validated(docs: DataFrame, labels: DataFrame, thresholds: Sequence[float], folds: int = 3, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> DataFrame:
+    """(threshold, bad_kept, good_lost, n): what each threshold does to labelled documents that the model has not seen.
+
+    labels are those that may be learnt from; they are dealt into folds by a hash of their id, and each fold is scored by a model of
+    the others. A document labelled twice takes the smaller label, as in train; labels without a document are passed over.
+    """
+    fold = F.pmod(F.xxhash64(F.lit("fold"), F.col(id_column).cast("string")), F.lit(folds))
+    named = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.min(label_column).cast("int").alias("_label")).withColumn("_fold", fold)
+    scored = None
+    for k in range(folds):
+        model = train(docs, named.where(F.col("_fold") != k).withColumnRenamed("_label", label_column), id_column, text_column, label_column)
+        asked = named.where(F.col("_fold") == k).select(id_column, "_label")
+        part = score(docs.select(id_column, text_column).join(asked, id_column, "left_semi"), model, id_column, text_column).join(asked, id_column).select("score", "_label")
+        scored = part if scored is None else scored.unionByName(part)
+    cut = scored.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    kept = F.col("score") >= F.col("threshold")
+    return cut.groupBy("threshold").agg(F.count_if(kept & (F.col("_label") == 0)).alias("bad_kept"), F.count_if(~kept & (F.col("_label") == 1)).alias("good_lost"), F.count("*").alias("n")).orderBy("threshold")

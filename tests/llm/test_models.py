@@ -191,3 +191,14 @@ def test_changed_licence_is_its_opening_only(spark):
         assert {x for k, x in got["whole " + label] if k == "template" and x.endswith("-text")} == {label}
     assert got["changed mit-text"] == {("opening", "mit-opening")} and got["cut"] == {("opening", "isc-opening")} and not got["none"]
     assert got["bsd both"] == {("template", "bsd-2-clause-text"), ("template", "bsd-3-clause-text"), ("opening", "bsd-opening")}
+
+
+def test_thresholds_are_held_against_unseen_folds(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_crf.cross_validated(docs.withColumn("score", F.lit("x")), labels, [0.0, 0.25, 0.5, 1.01], folds=2).collect()
+    have = labels.join(docs, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q is not null")
+    good, bad = have.where("q = 1").count(), have.where("q = 0").count()
+    assert [r.threshold for r in got] == [0.0, 0.25, 0.5, 1.01] and all(r.n == good + bad for r in got)
+    assert (got[0].bad_kept, got[0].good_lost) == (bad, 0) and (got[-1].bad_kept, got[-1].good_lost) == (0, good)
+    assert got[1].bad_kept >= got[2].bad_kept and got[1].good_lost <= got[2].good_lost and got[1].bad_kept + got[1].good_lost < (good + bad) / 5
