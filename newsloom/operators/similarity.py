@@ -251,14 +251,87 @@ def newest_earlier(left: DataFrame, right: DataFrame, key: str, window: str) ->
     return both.select("id", key, "t", F.when(fits, F.col("_last._id")).alias("match_id"), F.when(fits, F.col("_last._t")).alias("match_t"))
 
 
-def anchored(rows: DataFrame, common_keys: list[str], speaker_within: str = "INTERVAL 2 HOURS") -> DataFrame:
-    """Pairs (a later, b earlier) of rows (id, t, keys, numbers, speaker): a shared distinctive number and two uncommon keys,
-    or the same speaker within two hours and three uncommon keys. Rows meet by number or by speaker, never all with all."""
+#: Rows of one side in a group that meets within hours.
+GROUP = 2_000
+
+
+def _micros(at: str) -> Column:
+    return F.unix_micros(F.col(at).cast("timestamp"))
+
+
+def met_within(left: DataFrame, right: DataFrame, hours: float) -> DataFrame:
+    """(a, b): ids of rows (id, at, key) of the two sides that have one key and are at most the hours apart; a is the later one
+    (of equal times the larger id), at is in microseconds. Rows without a time meet none.
+
+    Time is cut into cells as long as the window: a left row stands in its own cell, a right one in its own and both beside it. A
+    key's rows in a cell are dealt into groups of about GROUP rows for either side, and each group of one side meets each of the
+    other, so a hot key is many tasks' work and no pair is lost.
+    """
+    span = int(hours * 3_600_000_000)
+    cell = F.floor(F.col("at") / span)
+    a = left.select(F.col("id").alias("a"), F.col("at").alias("a_at"), "key", cell.alias("cell"))
+    b = right.select(F.col("id").alias("b"), F.col("at").alias("b_at"), "key", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    counted = a.select("key", "cell", F.lit(1).alias("na"), F.lit(0).alias("nb")).union(b.select("key", "cell", F.lit(0), F.lit(1))).groupBy("key", "cell").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    parts = lambda n: F.ceil(F.col(n) / GROUP).cast("int")
+    hot = counted.where("na > 0 and nb > 0").where((F.col("na") > GROUP) | (F.col("nb") > GROUP)).select("key", "cell", parts("na").alias("ka"), parts("nb").alias("kb"))
+    hot = broadcast_if_small(checkpointed(hot))
+    own = lambda row, k: F.pmod(F.xxhash64(row), F.coalesce(k, F.lit(1))).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.coalesce(k, F.lit(1)) - 1))
+    a = a.join(hot, ["key", "cell"], "left").select("a", "a_at", "key", "cell", own("a", F.col("ka")).alias("ga"), each(F.col("kb")).alias("gb"))
+    b = b.join(hot, ["key", "cell"], "left").select("b", "b_at", "key", "cell", own("b", F.col("kb")).alias("gb"), each(F.col("ka")).alias("ga"))
+    n, on = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["key", "cell", "ga", "gb"]
+    met = a.repartition(n, *on).join(b.repartition(n, *on), on).where((F.abs(F.col("a_at") - F.col("b_at")) <= span) & (F.col("a") != F.col("b")))
+    later = F.struct("a_at", "a") > F.struct("b_at", "b")
+    return met.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
+
+
+def _ranked_in_time(rows: DataFrame, *more: str) -> DataFrame:
+    """(id, at, sorted, ...): rows (id, t, keys, ...) with their keys in ascending order of frequency, as structs (df, key)."""
+    one = rows.select("id", _micros("t").alias("at"), *more, F.explode(F.array_distinct("keys")).alias("key"))
+    df = broadcast_if_small(checkpointed(one.groupBy("key").agg(F.count("*").alias("df"))), 300_000)
+    held = [F.first(c).alias(c) for c in ("at", *more)]
+    return checkpointed(one.join(df, "key").groupBy("id").agg(*held, F.sort_array(F.collect_list(F.struct("df", "key"))).alias("sorted")))
+
+
+def _rarest(ranked: DataFrame, least: Need) -> DataFrame:
+    need = F.lit(least) if isinstance(least, int) else least(F.size("sorted"))
+    first = F.slice("sorted", F.lit(1), F.greatest(F.size("sorted") - need.cast("int") + 1, F.lit(0)))
+    return ranked.withColumn("key", F.explode(first)).withColumn("key", F.col("key.key")).drop("sorted")
+
+
+def pairs_within(rows: DataFrame, hours: float, least: Need, other: Need, test: Column) -> DataFrame:
+    """(a, b, a_*, b_*): pairs of rows (id, t, keys), a the later one, at most the hours apart, that pass the test on a_keys and
+    b_keys (as 64-bit hashes). One of a pair, whichever it is, must share at least `least` keys with the other, which must share
+    `other`: each is met by as few of its rarest keys as that allows. Ids are distinct; rows without a time or keys pair with none."""
+    rows = checkpointed(rows.select("id", "t", F.transform("keys", lambda k: F.xxhash64(k)).alias("keys")))
+    ranked = _ranked_in_time(rows)
+    return decided(met_within(_rarest(ranked, least), _rarest(ranked, other), hours), rows, rows, test)
+
+
+def overlap_within(rows: DataFrame, hours: float = 36) -> DataFrame:
+    """Pairs (a later, b earlier) that pass fingerprint_overlap() within the hours."""
+    return pairs_within(rows, hours, lambda n: F.greatest(F.lit(4), F.ceil(n * 0.4 - 1e-9)), 4, fingerprint_overlap())
+
+
+def heads_within(rows: DataFrame, hours: float = 12) -> DataFrame:
+    """Pairs (a later, b earlier) that pass head_overlap() within the hours."""
+    return pairs_within(rows, hours, lambda n: F.greatest(F.lit(6), F.ceil(n * 0.5 - 1e-9)), 6, head_overlap())
+
+
+def anchored(rows: DataFrame, common_keys: list[str], hours: float = 36, speaker_hours: float = 2) -> DataFrame:
+    """Pairs (a later, b earlier) of rows (id, t, keys, numbers, speaker): a shared distinctive number and two uncommon keys within
+    the hours, or the same speaker within two hours and three uncommon keys.
+
+    Rows meet by a number (or the speaker) together with one of their rarest keys, in cells of time: a number or a speaker that
+    many rows have is split by what else they say. Null numbers, speakers and times meet none.
+    """
     usual = F.array(*[F.lit(k) for k in common_keys]).cast("array<string>")
-    rare = rows.withColumn("keys", F.array_except("keys", usual))
-    side = lambda p: rare.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "t", "keys", "numbers", "speaker")])
-    a, b = side("a"), side("b")
-    earlier, both = F.col("b_t") < F.col("a_t"), F.size(F.array_intersect("a_keys", "b_keys"))
-    number = a.withColumn("n", F.explode("a_numbers")).join(b.withColumn("n", F.explode("b_numbers")), "n").where(earlier & (both >= 2)).select("a_id", "b_id")
-    said = a.join(b, F.col("a_speaker") == F.col("b_speaker")).where(earlier & (F.col("b_t") >= F.col("a_t") - F.expr(speaker_within)) & (both >= 3)).select("a_id", "b_id")
-    return number.union(said).distinct().select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    rare = checkpointed(rows.select("id", "t", F.transform(F.array_except("keys", usual), lambda k: F.xxhash64(k)).alias("keys"), "numbers", "speaker"))
+    ranked = _ranked_in_time(rare, "numbers", "speaker")
+    with_key = lambda c: F.concat_ws("\n", F.col("key").cast("string"), c)
+    number = _rarest(ranked, 2).withColumn("number", F.explode(F.array_distinct(F.array_compact("numbers")))).select("id", "at", with_key(F.col("number")).alias("key"))
+    said = _rarest(ranked, 3).where("speaker is not null").select("id", "at", with_key(F.col("speaker")).alias("key"))
+    met = met_within(number, number, hours).union(met_within(said, said, speaker_hours)).distinct()
+    apart = _micros("a_t") - _micros("b_t")
+    both = lambda n: (F.coalesce(F.arrays_overlap("a_numbers", "b_numbers"), F.lit(False)) & (apart <= int(hours * 3_600_000_000)) & (n >= 2)) | (F.coalesce(F.col("a_speaker") == F.col("b_speaker"), F.lit(False)) & (apart <= int(speaker_hours * 3_600_000_000)) & (n >= 3))
+    return decided(met, rare, rare, F.exists(F.array(shared(F.col("a_keys"), F.col("b_keys"))), both)).select("a", "b")

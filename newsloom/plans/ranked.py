@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import tokens as K
-from newsloom.functions.text import normal_space
+from newsloom.functions.text import normal_space, story_head
 from newsloom.operators import clusters, ranking, scores, similarity
 from newsloom.operators.memory import without_seen
 from newsloom.operators.rules import Rule, any_of, count_terms, first_reason, has
@@ -235,8 +235,62 @@ def timed_sets(spark: SparkSession, sf: str) -> DataFrame:
 def rare_in_window(spark: SparkSession, sf: str) -> DataFrame:
     """Follow-ups by words that are rare in the 36 hours before the later story."""
     rows = timed_sets(spark, sf)
-    pairs = similarity.candidate_pairs(rows, rows, "keys", 6, F.col("a") < F.col("b"))
-    return similarity.rare_in_window(pairs, rows, 36, rarest=3, least_rare=3)
+    met = similarity.pairs_within(rows, 36, 6, 6, K.shared(F.col("a_keys"), F.col("b_keys")) >= 6)
+    return similarity.rare_in_window(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), rows, 36, rarest=3, least_rare=3)
+
+
+_LATER = "(a.t, a.id) > (b.t, b.id) AND list_has_any(a.keys, b.keys) AND epoch_us(a.t) - epoch_us(b.t)"
+
+
+@query(
+    f"""WITH {_SETS}, timed AS (SELECT id, keys, {_AT} AS t FROM sets)
+    SELECT a.id AS later, b.id AS earlier, len(list_intersect(a.keys, b.keys))::INT AS shared FROM timed a JOIN timed b ON {_LATER} <= 36 * 3600000000
+    WHERE (len(list_intersect(a.keys, b.keys)) >= 6 AND {_CON.format('a.keys', 'b.keys')} >= 0.4) OR (len(list_intersect(a.keys, b.keys)) >= 4 AND {_CON.format('a.keys', 'b.keys')} >= 0.6)"""
+)
+def overlaps_in_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Stories told again within 36 hours, by the keys of their titles."""
+    return similarity.overlap_within(timed_sets(spark, sf)).select(F.col("a").alias("later"), F.col("b").alias("earlier"), K.shared(F.col("a_keys"), F.col("b_keys")).alias("shared"))
+
+
+# Lines of a post that are story text, the first two of them, written out apart from the library.
+_HEAD = """array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '#') AND NOT regexp_matches(x, '^[━─—-]{3,}$')
+    AND NOT regexp_matches(x, '(?i)\\bhttps?://\\S|\\bwww\\.\\S|\\bt\\.me/\\S') AND NOT (contains(x, '·') AND length(x) < 40) AND NOT (regexp_matches(x, '^[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}]') AND length(x) < 30))[:2], ' ')"""
+_HEADS = f"""firsts AS (SELECT min(doc_id) AS id, norm, arg_min(coalesce(text, ''), doc_id) AS text, nullif(arg_min(coalesce(source, ''), doc_id), '') AS speaker
+        FROM (SELECT *, lower(trim(regexp_replace({_HEAD}, '\\s+', ' ', 'g'))) AS norm FROM documents) GROUP BY norm),
+    heads AS (SELECT id, speaker, {_KEYS} AS keys, {_AT} AS t, list_filter(list_distinct(regexp_extract_all(text, '[0-9]+')), lambda n: length(n) >= 3 AND NOT regexp_full_match(n, '(13|14|19|20)[0-9]{{2}}') AND NOT ends_with(n, '00')) AS numbers FROM firsts)"""
+
+
+def timed_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """The first two lines of story text of each document, one row for each wording, with the numbers and the source of its first."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source"))
+    rows = d.select("doc_id", F.lower(normal_space(story_head(F.col("text")))).alias("norm"), K.distinctive_numbers(F.col("text")).alias("numbers"), "source")
+    first = lambda c: F.min_by(c, "doc_id").alias(c)
+    one = rows.groupBy("norm").agg(F.min("doc_id").alias("id"), first("numbers"), first("source"))
+    at = F.timestamp_seconds(F.unix_timestamp(asof()) - (F.col("id") * 613) % 129_600 * 3)
+    return checkpointed(one.select("id", K.fingerprint(F.col("norm")).alias("keys"), at.alias("t"), "numbers", F.nullif("source", F.lit("")).alias("speaker")))
+
+
+@query(
+    f"""WITH {_HEADS} SELECT a.id AS later, b.id AS earlier, len(list_intersect(a.keys, b.keys))::INT AS shared FROM heads a JOIN heads b ON {_LATER} <= 12 * 3600000000
+    WHERE least(len(a.keys), len(b.keys)) >= 5 AND len(list_intersect(a.keys, b.keys)) >= 6 AND {_CON.format('a.keys', 'b.keys')} >= 0.5"""
+)
+def heads_in_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts whose first lines tell the same within twelve hours."""
+    return similarity.heads_within(timed_heads(spark, sf)).select(F.col("a").alias("later"), F.col("b").alias("earlier"), K.shared(F.col("a_keys"), F.col("b_keys")).alias("shared"))
+
+
+#: Keys too common to tell two posts of one number apart.
+COMMON_KEYS = ["tn", "tht", "ths", "dr", "lcns"]
+_RARE = "list_filter(list_intersect(a.keys, b.keys), lambda k: k NOT IN ('tn', 'tht', 'ths', 'dr', 'lcns'))"
+
+
+@query(
+    f"""WITH {_HEADS} SELECT a.id AS later, b.id AS earlier FROM heads a JOIN heads b ON {_LATER} <= 36 * 3600000000
+    WHERE (list_has_any(a.numbers, b.numbers) AND len({_RARE}) >= 2) OR (a.speaker = b.speaker AND epoch_us(a.t) - epoch_us(b.t) <= 2 * 3600000000 AND len({_RARE}) >= 3)"""
+)
+def anchored_in_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts of one number within 36 hours, or of one source within two, with uncommon keys in common."""
+    return similarity.anchored(timed_heads(spark, sf), COMMON_KEYS).select(F.col("a").alias("later"), F.col("b").alias("earlier"))
 
 
 @query(f"WITH {_SETS}, k AS (SELECT id, {_AT} AS t, unnest(keys) AS key FROM sets) SELECT a.id, a.key, count(*) AS df FROM k a JOIN k b ON a.key = b.key AND b.t <= a.t AND b.t >= a.t - INTERVAL 36 HOURS GROUP BY a.id, a.key")
