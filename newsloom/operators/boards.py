@@ -35,7 +35,8 @@ def model_rows(pages: DataFrame, html: str = "html", id_column: str = "page_id")
 
 
 def update_date(text: Column, label: str) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(text, rf"\Q{label}\E\s*[:：]?\s*([^|<]{{3,60}})", 1)), F.lit(""))
+    """The three to sixty characters after the label, up to a bar or tag; null without them."""
+    return F.nullif(F.regexp_extract(text, rf"\Q{label}\E\s*[:：]?\s*([^|<\s:：][^|<]{{1,58}}[^|<\s])", 1), F.lit(""))
 
 
 def is_price(cells: Column, place: int = 2) -> Column:
@@ -71,8 +72,10 @@ def extremes(rows: DataFrame, group: str, name: str, high: str, low: str, order:
 
 
 def board_line(city: Column, now: Column, tmin: Column, tmax: Column, rain: Column) -> Column:
-    degrees = lambda c: F.coalesce(F.format_string("%.0f°", c), F.lit("—"))
-    return F.concat_ws(" ", city, degrees(now), F.concat(degrees(tmin), F.lit("/"), degrees(tmax)), F.coalesce(F.format_string("%d%%", rain), F.lit("—")))
+    """What is not known is a dash; a format of nothing would be text."""
+    shown = lambda how, c: F.when(c.isNull(), "—").otherwise(F.format_string(how, c))
+    degrees = lambda c: shown("%.0f°", c)
+    return F.concat_ws(" ", city, degrees(now), F.concat(degrees(tmin), F.lit("/"), degrees(tmax)), shown("%d%%", rain))
 
 
 MATCH_SCHEMA = "struct<matches: array<struct<id: long, leagueId: long, sport: int, hostName: string, guestName: string, scheduledStartOn: string, status: int>>, leagues: array<struct<id: long, title: string>>>"

@@ -146,9 +146,10 @@ def same_event() -> Column:
     return _likeness(lambda n, sim, by_title, number: _is_story(n, sim, by_title, number) | ((n >= 3) & ((inside(n) >= 0.78) | ((inside(n) >= 0.62) & number))))
 
 
-def story_pairs(rows: DataFrame, test: Column) -> DataFrame:
+def story_pairs(rows: DataFrame, test: Column, old: str | None = None) -> DataFrame:
     """(a, b), a < b, of rows (id, norm, tokens, story, numbers, signature) that pass same_story() or same_event() or share a
-    signature. Rows must be one for each norm.
+    signature. Rows must be one for each norm. With old, a boolean column, only rows that differ in it meet, and rows of one
+    signature are left to the caller.
 
     Candidates are exact for each rule: a containment of 0.45 and three common story tokens, which all rules for longer titles
     need, bound the prefix of the smaller side by half its tokens; one or two story tokens must all be in a title of at most
@@ -158,27 +159,54 @@ def story_pairs(rows: DataFrame, test: Column) -> DataFrame:
     signed = rows.select("id", F.explode("signature").alias("key"))
     # words as 64-bit hashes: sets of longs are met and compared in a fraction of the time
     hashed = lambda c: F.transform(c, lambda w: F.xxhash64(w)).alias(c)
-    rows = checkpointed(rows.select("id", F.xxhash64("norm").alias("norm"), hashed("tokens"), hashed("story"), "numbers"))
-    sizes = rows.select("id", "story", "tokens", F.size("story").alias("n"))
+    side = F.col(old) if old else F.lit(True)
+    rows = checkpointed(rows.select("id", F.xxhash64("norm").alias("norm"), hashed("tokens"), hashed("story"), "numbers", side.alias("side")))
+    sizes = rows.select("id", "story", "tokens", "side", F.size("story").alias("n"))
     half = lambda n: F.greatest(F.lit(3), F.ceil(n * 0.45 - 1e-9))
     most = lambda n: F.ceil(n * 0.72 - 1e-9)
     # both rules of story tokens use one order of frequency, and meet in one join with the rule's name
-    story = checkpointed(_ranked(sizes, "story", _frequencies(sizes, "story")).withColumn("n", F.size("sorted")))
+    story = _ranked(sizes, "story", _frequencies(sizes, "story")).withColumn("n", F.size("sorted"))
+    story = checkpointed(story.join(sizes.select("id", "side"), "id") if old else story.withColumn("side", F.lit(True)))
     short = sizes.where((F.col("n") <= 3) | (F.size("tokens") <= 12))
-    token = checkpointed(_ranked(short, "tokens", _frequencies(short, "tokens")).join(short.select("id", "n", F.size("tokens").alias("all")), "id"))
+    token = checkpointed(_ranked(short, "tokens", _frequencies(short, "tokens")).join(short.select("id", "n", "side", F.size("tokens").alias("all")), "id"))
     few, several = story.where("n between 1 and 2"), story.where("n between 1 and 5")
     sides = [
-        ("half", _prefixes(story, "a", half), _prefixes(story, "b", 3)),
-        ("few", _prefixes(few, "a", lambda n: n), _prefixes(several, "b", 1)),
-        ("token", _prefixes(token.where("n <= 3"), "a", most), _prefixes(token.where("all <= 12"), "b", most)),
+        ("half", _prefixes(story, "a", half, "side"), _prefixes(story, "b", 3, "side")),
+        ("few", _prefixes(few, "a", lambda n: n, "side"), _prefixes(several, "b", 1, "side")),
+        ("token", _prefixes(token.where("n <= 3"), "a", most, "side"), _prefixes(token.where("all <= 12"), "b", most, "side")),
     ]
     a, b = (reduce(DataFrame.unionByName, [side[k].withColumn("rule", F.lit(side[0])) for side in sides]) for k in (1, 2))
-    met = _meet(a, b, ["rule", "key"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    b = b.withColumn("side", ~F.col("side")) if old else b
+    met = _meet(a, b, ["rule", "key", "side"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = decided(met, rows, rows, test).select("a", "b")
+    if old:
+        return pairs
     first = signed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     return pairs.union(signed.join(first, "key").where("a < id").select("a", F.col("id").alias("b"))).distinct()
 
 
+def seen_before(rows: DataFrame, history: DataFrame, asof: Column, days: int = 7) -> DataFrame:
+    """rows (id, norm, tokens, story, numbers, signature, ...) with seen: whether a title of the history (the same columns, and t) of
+    the days up to asof has the same wording or a signature in common, or is the same story.
+
+    Either side may hold a wording many times; each is met once, under a 64-bit hash. Rows of the history without a time or a wording
+    count for nothing, rows without a wording are not seen. A wording common in either side costs one row of the candidate search.
+    """
+    columns = ["norm", "tokens", "story", "numbers", "signature"]
+    recent = history.where(F.col("t").between(asof - F.expr(f"INTERVAL {days} DAYS"), asof)).where("norm is not null")
+    alike = lambda df, old: df.where("norm is not null").groupBy("norm").agg(*[F.first(c).alias(c) for c in columns[1:]]).withColumn("old", F.lit(old))
+    new, known = alike(rows, False), alike(recent, True)
+    both = checkpointed(new.unionByName(known).withColumn("id", F.xxhash64("norm", "old")))
+    new, known = both.where("not old"), both.where("old")
+    signed = lambda df: df.select("norm", F.explode("signature").alias("key"))
+    pairs = story_pairs(both, same_story(), "old")
+    met = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).join(new.select("id", "norm"), "id").select("norm")
+    same = new.select("norm").join(known.select("norm"), "norm", "left_semi")
+    events = signed(new).join(signed(known).select("key").distinct(), "key", "left_semi").select("norm")
+    seen = met.union(same).union(events).distinct().withColumn("_seen", F.lit(True))
+    return rows.join(broadcast_if_small(checkpointed(seen)), "norm", "left").withColumn("seen", F.coalesce("_seen", F.lit(False))).drop("_seen")
+
+
 def fingerprint_overlap() -> Column:
     least = F.least(F.size("a_keys"), F.size("b_keys"))
     # the sets are intersected once for each pair
