@@ -291,14 +291,15 @@ def met_within(left: DataFrame, right: DataFrame, hours: float) -> DataFrame:
     """(a, b): ids of rows (id, at, key) of the two sides that have one key and are at most the hours apart; a is the later one
     (of equal times the larger id), at is in microseconds. Rows without a time meet none.
 
-    Time is cut into cells as long as the window: a left row stands in its own cell, a right one in its own and both beside it. A
-    key's rows in a cell are dealt into groups of about GROUP rows for either side, and each group of one side meets each of the
+    Time is cut into cells as long as the window: a left row stands in its own cell, a right one in its own and both beside it. Where
+    both sides are one table, the left row is the later one, and the right one stands in its own and the next cell. A key's rows in a cell are dealt into groups of about GROUP rows for either side, and each group of one side meets each of the
     other, so a hot key is many tasks' work and no pair is lost.
     """
     span = int(hours * 3_600_000_000)
     cell = F.floor(F.col("at") / span)
     a = left.select(F.col("id").alias("a"), F.col("at").alias("a_at"), "key", cell.alias("cell"))
-    b = right.select(F.col("id").alias("b"), F.col("at").alias("b_at"), "key", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    same = left is right
+    b = right.select(F.col("id").alias("b"), F.col("at").alias("b_at"), "key", F.explode(F.array(cell, cell + 1) if same else F.array(cell - 1, cell, cell + 1)).alias("cell"))
     counted = a.select("key", "cell", F.lit(1).alias("na"), F.lit(0).alias("nb")).union(b.select("key", "cell", F.lit(0), F.lit(1))).groupBy("key", "cell").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
     parts = lambda n: F.ceil(F.col(n) / GROUP).cast("int")
     hot = counted.where("na > 0 and nb > 0").where((F.col("na") > GROUP) | (F.col("nb") > GROUP)).select("key", "cell", parts("na").alias("ka"), parts("nb").alias("kb"))
@@ -308,8 +309,8 @@ def met_within(left: DataFrame, right: DataFrame, hours: float) -> DataFrame:
     a = a.join(hot, ["key", "cell"], "left").select("a", "a_at", "key", "cell", own("a", F.col("ka")).alias("ga"), each(F.col("kb")).alias("gb"))
     b = b.join(hot, ["key", "cell"], "left").select("b", "b_at", "key", "cell", own("b", F.col("kb")).alias("gb"), each(F.col("ka")).alias("ga"))
     n, on = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["key", "cell", "ga", "gb"]
-    met = a.repartition(n, *on).join(b.repartition(n, *on), on).where((F.abs(F.col("a_at") - F.col("b_at")) <= span) & (F.col("a") != F.col("b")))
     later = F.struct("a_at", "a") > F.struct("b_at", "b")
+    met = a.repartition(n, *on).join(b.repartition(n, *on), on).where((F.abs(F.col("a_at") - F.col("b_at")) <= span) & (later if same else F.col("a") != F.col("b")))
     return met.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
 
 
@@ -356,7 +357,7 @@ def anchored(rows: DataFrame, common_keys: list[str], hours: float = 36, speaker
     usual = F.array(*[F.lit(k) for k in common_keys]).cast("array<string>")
     rare = checkpointed(rows.select("id", "t", F.transform(F.array_except("keys", usual), lambda k: F.xxhash64(k)).alias("keys"), "numbers", "speaker"))
     ranked = _ranked_in_time(rare, "numbers", "speaker")
-    with_key = lambda c: F.concat_ws("\n", F.col("key").cast("string"), c)
+    with_key = lambda c: F.xxhash64("key", c)  # noqa: E731 (a hash can only add a candidate)
     number = _rarest(ranked, 2).withColumn("number", F.explode(F.array_distinct(F.array_compact("numbers")))).select("id", "at", with_key(F.col("number")).alias("key"))
     said = _rarest(ranked, 3).where("speaker is not null").select("id", "at", with_key(F.col("speaker")).alias("key"))
     met = met_within(number, number, hours).union(met_within(said, said, speaker_hours)).distinct()
