@@ -48,9 +48,11 @@ def keep_last_days(rows: DataFrame, group: str, day: str, k: int) -> DataFrame:
     return rows.withColumn("_d", F.dense_rank().over(Window.partitionBy(group).orderBy(F.desc(day)))).where(F.col("_d") <= k).drop("_d")
 
 
-def next_lesson(bank: DataFrame, done: DataFrame, key: str, place: str) -> DataFrame:
-    """The first item not yet done; the first of all when every item is."""
+def next_lesson(bank: DataFrame, done: DataFrame, key: str, place: str, again: bool = True) -> DataFrame:
+    """The first item not yet done; when every item is, the first of all, or with again=False none."""
     left = bank.join(done.select(key).distinct(), key, "left_anti").withColumn("_again", F.lit(0))
+    if not again:
+        return left.orderBy(place).limit(1).drop("_again")
     return left.union(bank.withColumn("_again", F.lit(1))).orderBy("_again", place).limit(1).drop("_again")
 
 
