@@ -69,8 +69,9 @@ def blocked_publisher(hosts: Column, blocked: Sequence[str], allowed: Sequence[s
     return F.exists(hosts, lambda h: ~host_in(h, allowed) & (host_in(h, blocked) | (h.endswith(suffix) if suffix else F.lit(False))))
 
 
-def strict_source(host: Column, score: Column, strict: Sequence[str], least: int = 10) -> Column:
-    return host_in(host, strict) & (score < least)
+def strict_source(host: Column, score: Column, strict: Sequence[str], least: int = 10, subdomains: bool = True) -> Column:
+    """Whether a source with a bar of its own stays below it; with subdomains, those of a listed host have its bar."""
+    return (host_in(host, strict) if subdomains else host.isin(*strict)) & (score < least)
 
 
 def rescued(reason: Column, score: Column, *, critical: Column, global_critical: Column) -> Column:
