@@ -23,10 +23,95 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 HOUR = 3_600_000_000  # microseconds
 
 
+class HeldValue:
+    """A value state that is read and written once for all the rows that a key has in a call, not once a row."""
+
+    def __init__(self, state: Any):
+        self.state = state
+        self.begin()
+
+    def begin(self) -> None:
+        self.known, self.changed, self.value = False, False, None
+
+    def get(self) -> tuple | None:
+        if not self.known:
+            self.known, self.value = True, tuple(self.state.get()) if self.state.exists() else None
+        return self.value
+
+    def exists(self) -> bool:
+        return self.get() is not None
+
+    def update(self, value: tuple | None) -> None:
+        self.known, self.changed, self.value = True, True, value
+
+    def clear(self) -> None:
+        self.update(None)
+
+    def end(self) -> None:
+        if self.changed:
+            if self.value is None:
+                self.state.clear()
+            else:
+                self.state.update(self.value)
+
+
+class HeldMap:
+    """The same for a map state of bounded size: read whole when it is first asked for; what changed is written in the end."""
+
+    def __init__(self, state: Any):
+        self.state = state
+        self.begin()
+
+    def begin(self) -> None:
+        self.map: dict | None = None
+        self.there: set = set()
+        self.touched: set = set()
+
+    def _all(self) -> dict:
+        if self.map is None:
+            plain = lambda row: tuple(x.tolist() if hasattr(x, "tolist") else x for x in row)
+            self.map = {plain(k): plain(v) for k, v in self.state.iterator()}
+            self.there = set(self.map)
+        return self.map
+
+    def containsKey(self, key: tuple) -> bool:  # noqa: N802 (the names of Spark's map state)
+        return key in self._all()
+
+    def getValue(self, key: tuple) -> tuple | None:  # noqa: N802
+        return self._all().get(key)
+
+    def updateValue(self, key: tuple, value: tuple) -> None:  # noqa: N802
+        self._all()[key] = value
+        self.touched.add(key)
+
+    def removeKey(self, key: tuple) -> None:  # noqa: N802
+        self._all().pop(key, None)
+        self.touched.add(key)
+
+    def values(self) -> Iterable[tuple]:
+        return self._all().values()
+
+    def clear(self) -> None:
+        self.touched |= set(self._all())
+        self.map = {}
+
+    def end(self) -> None:
+        if self.map is None:
+            return
+        if not self.map and self.there:
+            self.state.clear()
+            return
+        for key in self.touched:
+            if key in self.map:
+                self.state.updateValue(key, self.map[key])
+            elif key in self.there:
+                self.state.removeKey(key)
+
+
 class InOrder(StatefulProcessor):
     """Rows in the order of (t, id). A subclass has row (columns after t and id), out (its result) and the methods below.
 
-    setup(handle) makes its states; tick(now) gives what falls due up to a moment; came(row) takes a row, after tick of its time;
+    setup(handle) makes its states by value() and held_map(); tick(now) gives what falls due up to a moment; came(row) takes a row, after tick of its time;
     following() is the next moment at which tick must be called without a row, or None.
     """
 
@@ -47,8 +132,17 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.pending = handle.getListState("pending", f"t long, id long, {self.row}")
+        self.held: list[HeldValue | HeldMap] = []
         self.setup(handle)
 
+    def value(self, handle: StatefulProcessorHandle, name: str, schema: str) -> HeldValue:
+        self.held.append(HeldValue(handle.getValueState(name, schema)))
+        return self.held[-1]
+
+    def held_map(self, handle: StatefulProcessorHandle, name: str, key: str, schema: str) -> HeldMap:
+        self.held.append(HeldMap(handle.getMapState(name, key, schema)))
+        return self.held[-1]
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         names, kinds = zip(("t", "long"), ("id", "long"), *(c.split() for c in self.row.split(", ")), strict=True)
         new = [r for pdf in rows for r in _plain(pdf[list(names)], kinds)]
@@ -58,6 +152,8 @@ class InOrder(StatefulProcessor):
         return self._settled(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
 
     def _settled(self, key: Any, new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+        for state in self.held:
+            state.begin()
         held = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
         rows = sorted([*held, *new], key=lambda r: r[:2])
         out: list[tuple] = []
@@ -74,6 +170,8 @@ class InOrder(StatefulProcessor):
             if rows[n:]:
                 self.pending.put(rows[n:])
         moments = {-(-m // 1000) for m in (rows[n][0] if rows[n:] else None, self.following()) if m is not None}
+        for state in self.held:
+            state.end()
         known = set(self.handle.listTimers())
         for m in known - moments:
             self.handle.deleteTimer(m)
@@ -117,7 +215,7 @@ class Rests(InOrder):
     row, out = "until long", "id long, at timestamp, kind string"
 
     def setup(self, handle: StatefulProcessorHandle) -> None:
-        self.until = handle.getValueState("until", "until long")
+        self.until = self.value(handle, "until", "until long")
 
     def _until(self) -> int | None:
         return self.until.get()[0] if self.until.exists() else None
@@ -171,7 +269,7 @@ class Silence(InOrder):
         self.age = age
 
     def setup(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t long, told boolean")
+        self.last = self.value(handle, "last", "t long, told boolean")
 
     def tick(self, now: int) -> list[tuple]:
         if not self.last.exists():
@@ -212,9 +310,9 @@ class Results(InOrder):
         self.hour, self.length, self.wait, self.keep, self.offset = hour, length, wait, keep, offset
 
     def setup(self, handle: StatefulProcessorHandle) -> None:
-        self.matches = handle.getMapState("matches", "match long", "start long, final boolean")
-        self.board = handle.getValueState("board", "first long, last long, open int, n int, changed long")
-        self.told = handle.getValueState("told", "forget long")
+        self.matches = self.held_map(handle, "matches", "match long", "start long, final boolean")
+        self.board = self.value(handle, "board", "first long, last long, open int, n int, changed long")
+        self.told = self.value(handle, "told", "forget long")
 
     def _moments(self, first: int, last: int) -> tuple[int, int]:
         day = (first + self.offset) // (24 * HOUR) * 24 * HOUR - self.offset
@@ -247,10 +345,18 @@ class Results(InOrder):
         was_start, was_final = known if known is not None else (None, False)
         if start is None and was_start is None:
             return []  # a result of a match that the board does not have
-        self.matches.updateValue((match,), (was_start if start is None else start, bool(was_final or final)))
-        rows = list(self.matches.values())
-        starts = [r[0] for r in rows]
-        self.board.update((min(starts), max(starts), sum(not r[1] for r in rows), len(rows), t))
+        start, final = was_start if start is None else start, bool(was_final or final)
+        self.matches.updateValue((match,), (start, final))
+        if known is None:
+            first, last, still, n, _ = self.board.get() if self.board.exists() else (start, start, 0, 0, t)
+            self.board.update((min(first, start), max(last, start), still + (not final), n + 1, t))
+        elif start == was_start:
+            first, last, still, n, _ = self.board.get()
+            self.board.update((first, last, still - (final and not was_final), n, t))
+        else:  # a match that was moved: the first and last start are sought anew
+            starts = [r[0] for r in self.matches.values()]
+            _, _, still, n, _ = self.board.get()
+            self.board.update((min(starts), max(starts), still - (final and not was_final), n, t))
         return self.tick(t)
 
     def following(self) -> int | None:
@@ -283,9 +389,9 @@ class Remembered(InOrder):
         self.rules, self.most, self.longest = rules, most, max(r[0] for r in rules)
 
     def setup(self, handle: StatefulProcessorHandle) -> None:
-        self.index = handle.getMapState("index", "key string", "posts array<long>")
-        self.posts = handle.getMapState("posts", "post long", "t long, keys array<string>")
-        self.edge = handle.getValueState("edge", "first long, next long, newest long")
+        self.index = self.held_map(handle, "index", "key string", "posts array<long>")
+        self.posts = self.held_map(handle, "posts", "post long", "t long, keys array<string>")
+        self.edge = self.value(handle, "edge", "first long, next long, newest long")
 
     def _forget(self, before: int, room: int) -> None:
         """Drops posts older than a moment, and the oldest beyond the most."""
