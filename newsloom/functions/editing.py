@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,17 +114,55 @@ def on_topic(title: Column, sentences: Column, lead_keys: int = 2, least_title_k
     Titles of few keys decide nothing, then all sentences stay; without a lead nothing does.
     """
 
-    def choose(t: Column) -> Column:
-        numbered = F.transform(sentences, lambda s, i: F.struct(i.alias("i"), s.alias("s"), keys_of(s).alias("k")))
+    @F.arrow_udf("array<boolean>")
+    def kept(head: pa.Array, column: pa.Array) -> pa.Array:
+        return _by_slices(lambda t, s: _topical(t, s, lead_keys, least_title_keys), head, column)
+
+    topical = _chosen(sentences, kept(keys_of(title), F.transform(sentences, lambda s: keys_of(s))))
+    few = F.coalesce(F.size(keys_of(title)) < least_title_keys, F.lit(False))
+    return F.when(sentences.isNull() & ~few, F.array().cast("array<string>")).otherwise(topical)
+
+
+#: Rows of a batch that are worked on together: bounds the memory of a worker.
+SLICE = 256
+
+
+def _by_slices(work: Callable[..., pa.Array], *columns: pa.Array) -> pa.Array:
+    parts = [work(*[c.slice(i, SLICE) for c in columns]) for i in range(0, len(columns[0]), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.bool_()))
+
+
+def _listed(values: np.ndarray, like: pa.Array) -> pa.Array:
+    """values as lists of the lengths of like's, null where like is."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(like), 0).to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values, pa.bool_()), mask=like.is_null())
+
+
+def _parents(lists: pa.Array) -> np.ndarray:
+    return pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+
 
-        def pick(rows: Column) -> Column:
-            lead = F.get(F.filter(rows, lambda x: common(x.k, t) >= lead_keys), 0)
-            later = F.filter(rows, lambda x: (x.i > lead.i) & ((common(x.k, t) > 0) | (common(x.k, lead.k) > 0)))
-            return F.when(lead.isNull(), F.array().cast("array<string>")).otherwise(F.concat(F.array(lead.s), F.transform(later, lambda x: x.s)))
+def _coded(*strings: pa.Array) -> tuple[list[np.ndarray], int]:
+    """Numbers that are equal where strings are, and how many there are."""
+    found = pa.concat_arrays(strings).dictionary_encode()
+    codes = found.indices.to_numpy().astype(np.int64)
+    return np.split(codes, np.cumsum([len(s) for s in strings])[:-1]), max(1, len(found.dictionary))
 
-        return F.when(F.size(t) < least_title_keys, sentences).otherwise(let(numbered, pick))
 
-    return let(keys_of(title), choose)
+def _topical(title: pa.Array, column: pa.Array, lead_keys: int, least_title_keys: int) -> pa.Array:
+    lines = column.flatten()
+    row, line = _parents(column), _parents(lines)
+    (head, keys), size = _coded(title.flatten(), lines.flatten())
+    pairs = row[line] * size + keys
+    titled = np.bincount(line[np.isin(pairs, _parents(title) * size + head)], minlength=len(lines))
+    leads = np.full(len(column), len(lines))
+    fit = np.flatnonzero(titled >= lead_keys)
+    np.minimum.at(leads, row[fit], fit)
+    lead = leads[row]
+    led = np.bincount(line[np.isin(pairs, pairs[line == lead[line]])], minlength=len(lines))
+    few = pc.fill_null(pc.less(pc.list_value_length(title), least_title_keys), False).to_numpy(zero_copy_only=False)
+    at = np.arange(len(lines))
+    return _listed(few[row] | (at == lead) | (at > lead) & ((titled > 0) | (led > 0)), column)
 
 
 def _chosen(sentences: Column, kept: Column) -> Column:

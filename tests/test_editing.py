@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,3 +171,16 @@ def test_incidents(spark):
 def test_post_problem(spark):
     df = spark.createDataFrame([("Short one", ["a b c"]), ("A title of five words", ["Too short."]), ("A title of five words", ["The first sentence has more than six words in it.", "And the second one says where and when it all happened."])], "t string, s array<string>")
     assert [r[0] for r in df.select(G.post_problem(F.col("t"), F.col("s"))).collect()] == ["title_short", "body_short", None]
+
+
+def test_on_topic_of_long_texts(spark):
+    """Thousands of sentences under a title of thousands of keys: the lead is looked for once, in time that grows with the text."""
+    word = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:04d}")
+    title = " ".join(word(i) for i in range(4000))
+    s = ["Nothing said here."] * 3000 + [f"{word(i)} met {word(i + 1)} by {word(9000 + i % 900)}." for i in range(3000)] + ["Nothing said here.", f"Only {word(9001)} now."] + [f"It was {word(9800)}."] * 2
+    rows = [(0, title, s), (1, None, s[:2]), (2, title, None), (3, "Two keys", s[:2]), (4, "Two keys", None), (5, title, []), (6, title, [None, s[3000], None, s[3001]])]
+    df = spark.createDataFrame(rows, "id long, title string, s array<string>")
+    started = time.monotonic()
+    got = result(df, E.on_topic(F.col("title"), F.col("s")))
+    assert time.monotonic() - started < 30
+    assert got == {0: s[3000:6000], 1: [], 2: [], 3: s[:2], 4: None, 5: [], 6: [s[3000], s[3001]]}
