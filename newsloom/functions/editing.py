@@ -21,8 +21,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def keys_of(text: Column, letters: int = 4) -> Column:
     """Distinct stems: the first letters of the words of so many letters or more."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{letters},}}"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda w: F.substring(w, 1, letters)))
+    return F.array_distinct(_stems(text, letters))
+
+
+def _stems(text: Column, letters: int = 4) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(\p{{L}}{{{letters}}})\p{{L}}*"), F.lit(1))
 
 
 def common(a: Column, b: Column) -> Column:
@@ -118,7 +121,7 @@ def on_topic(title: Column, sentences: Column, lead_keys: int = 2, least_title_k
     def kept(head: pa.Array, column: pa.Array) -> pa.Array:
         return _by_slices(lambda t, s: _topical(t, s, lead_keys, least_title_keys), head, column)
 
-    topical = _chosen(sentences, kept(keys_of(title), F.transform(sentences, lambda s: keys_of(s))))
+    topical = _chosen(sentences, kept(keys_of(title), F.transform(sentences, lambda s: _stems(s))))
     few = F.coalesce(F.size(keys_of(title)) < least_title_keys, F.lit(False))
     return F.when(sentences.isNull() & ~few, F.array().cast("array<string>")).otherwise(topical)
 
@@ -144,15 +147,22 @@ def _parents(lists: pa.Array) -> np.ndarray:
 
 def _coded(*strings: pa.Array) -> tuple[list[np.ndarray], int]:
     """Numbers that are equal where strings are, and how many there are."""
-    found = pa.concat_arrays(strings).dictionary_encode()
+    some = [s for s in strings if len(s)]  # an empty part of Spark's may have no buffer to be joined
+    found = (pa.concat_arrays(some) if some else pa.array([], pa.string())).dictionary_encode()
     codes = found.indices.to_numpy().astype(np.int64)
     return np.split(codes, np.cumsum([len(s) for s in strings])[:-1]), max(1, len(found.dictionary))
 
 
+def _distinct(line: np.ndarray, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of every line once each."""
+    return np.divmod(np.unique(line * size + codes), size)
+
+
 def _topical(title: pa.Array, column: pa.Array, lead_keys: int, least_title_keys: int) -> pa.Array:
     lines = column.flatten()
     row, line = _parents(column), _parents(lines)
     (head, keys), size = _coded(title.flatten(), lines.flatten())
+    line, keys = _distinct(line, keys, size)
     pairs = row[line] * size + keys
     titled = np.bincount(line[np.isin(pairs, _parents(title) * size + head)], minlength=len(lines))
     leads = np.full(len(column), len(lines))
@@ -175,51 +185,127 @@ def without_near_copies(sentences: Column, share: float = 0.8) -> Column:
 
     @F.arrow_udf("array<boolean>")
     def kept(column: pa.Array) -> pa.Array:
-        return pa.array([None if x.as_py() is None else _unlike(x.as_py(), share) for x in column], pa.list_(pa.bool_()))
+        return _by_slices(lambda s: _unlike(s, share), column)
+
+    return _chosen(sentences, kept(F.transform(sentences, lambda s: F.lower(s))))
 
-    return _chosen(sentences, kept(F.transform(sentences, lambda s: F.array_distinct(words_of(F.lower(s))))))
 
+#: The characters of Java's (?U)\\s, in the syntax of Arrow's expressions.
+_WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-def _unlike(sentences: list[list[str]], share: float) -> list[bool]:
+
+def _words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """(line, word) of the distinct words of lines, words as numbers below the last of the three."""
+    if pc.any(pc.match_substring_regex(lines, _WHITE.replace(" ", ""))).as_py():
+        lines = pc.replace_substring_regex(lines, _WHITE, " ")
+    parts = pc.split_pattern(lines, " ")
+    words = parts.flatten()
+    filled = pc.not_equal(words, "")
+    (codes,), size = _coded(words.filter(filled))
+    return *_distinct(_parents(parts)[filled.to_numpy(zero_copy_only=False)], codes, size), size
+
+
+def _unlike(column: pa.Array, share: float) -> pa.Array:
+    """Sentences of which too little was said before, in whatever sentences, stay; the others are looked up among those kept."""
+    lines = column.flatten()
+    line, words, size = _words(lines)
+    counts = np.bincount(line, minlength=len(lines))
+    heads = _firsts(_parents(column)[line] * size + words)
+    again = counts - np.bincount(line[heads], minlength=len(lines))
+    doubtful = again >= share * counts
+    kept = (counts > 0) & ~doubtful
+    ends = np.concatenate(([0], np.cumsum(counts))).tolist()
+    line_ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)))).tolist()
+    for first, end in zip(line_ends, line_ends[1:], strict=False):
+        unsure = np.flatnonzero(doubtful[first:end] & (counts[first:end] > 0))
+        if len(unsure):
+            start, stop = first + int(unsure[0]), first + int(unsure[-1]) + 1
+            text = words[ends[first] : ends[stop]].tolist()
+            said = [text[ends[i] - ends[first] : ends[i + 1] - ends[first]] for i in range(first, stop)]
+            kept[start:stop] = _look_up(said, doubtful[first:stop].tolist(), share)[start - first :]
+    return _listed(kept, column)
+
+
+def _look_up(sentences: list[list[int]], doubtful: list[bool], share: float) -> list[bool]:
     """Of n words c must be shared, so a copy's original holds one of any n - c + 1 of them: those in the fewest kept sentences."""
     kept = [False] * len(sentences)
-    holders: dict[str, list[int]] = {}
+    holders: dict[int, list[int]] = {}
+    sets: list[set[int]] = []
+    none: list[int] = []
     for i, words in enumerate(sentences):
+        own = set(words)
+        sets.append(own)
         if not words:
             continue
-        own, least = set(words), share * len(words)
-        probes = sorted((holders.get(w, []) for w in words), key=len)[: max(0, len(words) - math.ceil(least) + 1)]
-        if any(len(own.intersection(sentences[k])) >= least for k in set().union(*probes)):
-            continue
+        if doubtful[i]:
+            least = share * len(words)
+            probes = sorted([holders.get(w, none) for w in words], key=len)[: max(0, len(words) - math.ceil(least) + 1)]
+            if any(len(own & sets[k]) >= least for k in set().union(*probes)):
+                continue
         kept[i] = True
         for w in words:
             holders.setdefault(w, []).append(i)
     return kept
 
 
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Where a value stands for the first time."""
+    return np.unique(values, return_index=True)[1]
+
+
 def without_redundant(title: Column, sentences: Column, fillers: Sequence[str] = (r"(?i)^(more details|further details|this story is)",)) -> Column:
     """After the lead, fillers go, and details that add no number and at most one key to what was said."""
     numbers = lambda s: F.regexp_extract_all(s, F.lit(r"[0-9]+"), F.lit(0))
-    said = lambda s: F.struct(keys_of(s).alias("keys"), numbers(s).alias("numbers"))
+    head = F.coalesce(title, F.lit(""))
 
     @F.arrow_udf("array<boolean>")
-    def kept(head: pa.Array, column: pa.Array) -> pa.Array:
-        return pa.array([None if x.as_py() is None else _news(t.as_py(), x.as_py()) for t, x in zip(head, column, strict=True)], pa.list_(pa.bool_()))
-
-    details = F.transform(sentences, lambda s: F.struct(said(s).alias("said"), s.rlike("|".join(fillers)).alias("filler")))
-    return _chosen(sentences, kept(said(F.coalesce(title, F.lit(""))), details))
-
-
-def _news(title: dict, details: list[dict]) -> list[bool]:
-    keys, numbers = set(title["keys"]), set(title["numbers"])
-    kept: list[bool] = []
-    for x in details:
-        new_keys, new_numbers = set(x["said"]["keys"] or ()) - keys, set(x["said"]["numbers"] or ()) - numbers
-        kept.append(not kept or bool(new_numbers or len(new_keys) > 1) and not x["filler"])
-        if kept[-1]:
-            keys |= new_keys
-            numbers |= new_numbers
-    return kept
+    def kept(*columns: pa.Array) -> pa.Array:
+        return _by_slices(_news, *columns)
+
+    each = lambda f: F.transform(sentences, f)
+    return _chosen(sentences, kept(keys_of(head), numbers(head), each(lambda s: _stems(s)), each(numbers), each(lambda s: s.rlike("|".join(fillers)))))
+
+
+def _news(head_keys: pa.Array, head_numbers: pa.Array, keys: pa.Array, numbers: pa.Array, filler: pa.Array) -> pa.Array:
+    """Sentences whose news are said there for the first time stay; what is new only if sentences before were dropped is replayed."""
+    row = _parents(keys)
+    first = np.zeros(len(row), bool)
+    first[_firsts(row)] = True
+    may = first | ~pc.fill_null(filler.flatten(), False).to_numpy(zero_copy_only=False)
+
+    def new(head: pa.Array, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pairs, line, opens) of what the title does not say: row and value, sentence, whether it is the first such."""
+        lines = column.flatten()
+        line = _parents(lines)
+        (told, said), size = _coded(head.flatten(), lines.flatten())
+        line, said = _distinct(line, said, size)
+        pairs = row[line] * size + said
+        open_ = ~np.isin(pairs, _parents(head) * size + told)
+        pairs, line = pairs[open_], line[open_]
+        opens = np.zeros(len(pairs), bool)
+        opens[_firsts(pairs)] = True
+        return pairs, line, opens
+
+    both = [new(head_keys, keys), new(head_numbers, numbers)]
+    count = lambda line, which: np.bincount(line[which], minlength=len(row))
+    enough = lambda k, n: (k > 1) | (n > 0)
+    kept = first | may & enough(*[count(line, opens) for _, line, opens in both])
+    left = []  # what no sentence that stays has said before
+    for pairs, line, _ in both:
+        stays = np.flatnonzero(kept[line])
+        known, at = np.unique(pairs[stays], return_index=True)
+        where = np.searchsorted(known, pairs)
+        said_at = np.where(np.isin(pairs, known), line[stays[at]][np.minimum(where, len(known) - 1)] if len(known) else 0, len(row))
+        left.append((said_at > line) & may[line] & ~kept[line])
+    unsure = np.flatnonzero(may & ~kept & enough(*[count(line, which) for (_, line, _), which in zip(both, left, strict=True)]))
+    said: tuple[set[int], set[int]] = (set(), set())
+    for i in unsure.tolist():
+        fresh = [set(pairs[a:b][which[a:b]].tolist()) - done for (pairs, line, _), which, done in zip(both, left, said, strict=True) for a, b in [np.searchsorted(line, (i, i + 1))]]
+        kept[i] = enough(*map(len, fresh))
+        if kept[i]:
+            for done, more in zip(said, fresh, strict=True):
+                done |= more
+    return _listed(kept, keys)
 
 
 def best_lead(title: Column, sentences: Column, first: int = 3) -> Column:

@@ -6,6 +6,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +185,50 @@ def test_on_topic_of_long_texts(spark):
     got = result(df, E.on_topic(F.col("title"), F.col("s")))
     assert time.monotonic() - started < 30
     assert got == {0: s[3000:6000], 1: [], 2: [], 3: s[:2], 4: None, 5: [], 6: [s[3000], s[3001]]}
+
+
+def drawn(seed, n):
+    """Long texts of few words, in which many sentences say again in part what dropped ones said."""
+    rng = random.Random(seed)
+    words = ["Alpha", "bravo", "Charlie", "delta", "échos", "fox", "golfing", "hotel", "India", "juliet", "kilo", "lima", "mike", "12", "345", "6"] + [f"word{a}{b}" for a in "abcde" for b in "abcde"] + [f"{a}{b}ten" for a in "abcdef" for b in "abcdef"]
+    gaps = [" ", " ", " ", "  ", " ", "\t", " ", "　", "\x85", "\x1f", "​"]
+    say = lambda: rng.choice(["", "", "", "", "More details "]) + "".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.choice((0, 1, 1, 2, 2, 3, 5, 9))))
+    return [(i, rng.choice([None, say()]), rng.choice([None] + [[rng.choice([None] + [say()] * 30) for _ in range(rng.choice((0, 1, 30, 200)))]] * 9)) for i in range(n)]
+
+
+def test_redundant_and_near_copies_of_long_texts(spark):
+    """More rows than one slice, against plain replays by row and sentence."""
+    white = r"[\t-\r \x85\xa0  -     　]+"
+
+    def unlike(s):
+        kept = []
+        for x in s:
+            w = set(re.split(white, (x or "").lower())) - {""}
+            if w and not any(len(w & k) >= 0.8 * len(w) for k, _ in kept):
+                kept.append((w, x))
+        return [x for _, x in kept]
+
+    def news(title, s):
+        kept, k, n = [], set(keys(title or "")), set(re.findall("[0-9]+", title or ""))
+        for x in s:
+            new_k, new_n = set(keys(x or "")) - k, set(re.findall("[0-9]+", x or "")) - n
+            if not kept and x is s[0] or (new_n or len(new_k) > 1) and not (x or "").startswith("More details"):
+                kept.append(x)
+                k, n = k | new_k, n | new_n
+        return kept
+
+    rows = drawn(11, 600)
+    df = spark.createDataFrame(rows, "id long, title string, s array<string>").coalesce(1)
+    got = {r.id: r for r in df.select("id", E.without_near_copies(F.col("s")).alias("u"), E.without_redundant(F.col("title"), F.col("s")).alias("n")).collect()}
+    for i, title, s in rows:
+        assert got[i].u == (None if s is None else unlike(s)), i
+        assert got[i].n == (None if s is None else news(title, s)), i
+
+
+def test_sentences_are_coded_in_slices():
+    """The folds hold a slice of a batch's rows at a time, numbered, not every word of it as Python strings."""
+    seen = []
+    column = pa.array([["a"]] * 600, pa.list_(pa.string()))
+    E._by_slices(lambda c: (seen.append(len(c)), pa.array([[True]] * len(c)))[1], column)
+    assert sum(seen) == 600 and max(seen) <= E.SLICE
+    assert E._by_slices(lambda c: E._unlike(c, 0.8), column.slice(0, 0)).to_pylist() == []
