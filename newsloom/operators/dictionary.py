@@ -7,15 +7,20 @@ place, without overlap.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable
+from itertools import chain, pairwise
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.editing import let
+
 WORD = r"[\p{L}\p{N}]+"
 #: Terms up to this many, and this many characters, go into one automaton in every worker; beyond that they are joined.
 MOST_TERMS, MOST_CHARS = 200_000, 8_000_000
@@ -28,8 +33,9 @@ def words_of(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), F.lower)
 
 
-def _key(words: Column) -> Column:
-    return F.array_join(words, " ")
+def _key(text: Column) -> Column:
+    """The words of words_of with single spaces, in one pass without an array of them."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", " ")))
 
 
 def leftmost_longest(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -42,14 +48,14 @@ def leftmost_longest(found: list[tuple[int, int, int]]) -> list[tuple[int, int,
     return kept
 
 
-def _automaton(name: str, terms: list[tuple[str, str | None]]) -> ahocorasick.Automaton:
+def _automaton(name: str, terms: Iterable[str]) -> ahocorasick.Automaton:
     """The terms' automaton, built once a worker; the last one only is kept."""
     if name not in _built:
         _built.clear()
         machine = ahocorasick.Automaton()
-        for i, (term, _) in enumerate(terms):
+        for i, term in enumerate(terms):
             machine.add_word(f" {term} ", (i, term.count(" ") + 1))
-        if terms:
+        if len(machine):
             machine.make_automaton()
         _built[name] = machine
     return _built[name]
@@ -75,50 +81,145 @@ def find_terms(rows: DataFrame, terms: DataFrame, text: str = "text", into: str
     the same result; terms are unique there, so a sequence that very many texts hold can be split by adaptive execution.
     """
     spark = rows.sparkSession
-    unique = terms.select(_key(words_of(F.col("term"))).alias("term"), F.col("value").cast("string").alias("value")).where("term <> ''").groupBy("term").agg(F.min("value").alias("value"))
+    unique = terms.select(_key(F.col("term")).alias("term"), F.col("value").cast("string").alias("value")).where("term <> ''").groupBy("term").agg(F.min("value").alias("value"))
     size = unique.select(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
-    keyed = rows.withColumn("_words", _key(words_of(F.col(text))))
     if size.n <= most_terms and size.chars <= most_chars:
         shared, name = spark.sparkContext.broadcast([(r.term, r.value) for r in unique.collect()]), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = _automaton(name, shared.value)
-            for batch in batches:
-                found = [[(start, n, *shared.value[i]) for start, n, i in _places(t, machine)] for t in batch.column(batch.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _structs(found)], names=[*batch.schema.names[:-1], into])
+        @F.arrow_udf(_FOUND)
+        def found(texts: pa.Array) -> pa.Array:
+            machine = _automaton(name, [t for t, _ in shared.value])
+            return _in_slices(lambda part: [_places(t, machine) for t in part.to_pylist()], texts, _columns(shared.value))
+
+        return rows.withColumn(into, found(_key(F.col(text))))
+    return _joined(rows, unique, text, into)
+
+
+#: Texts that are searched together: bounds a worker's memory, as places are Python objects only until a slice is done.
+SLICE = 128
+
+
+def _columns(terms: list[tuple[str, str | None]]) -> tuple[pa.Array, pa.Array]:
+    return pa.array([t for t, _ in terms], pa.string()), pa.array([v for _, v in terms], pa.string())
+
+
+def _in_slices(search: Callable[[pa.Array], list[list[tuple[int, int, int]]]], texts: pa.Array, terms: tuple[pa.Array, pa.Array]) -> pa.Array:
+    """_FOUND of the (start, size, which of the terms) that search gives for each text of a slice."""
+    parts = [_structs(search(texts.slice(i, SLICE)), terms) for i in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], _ARROW)
+
+
+def _structs(found: list[list[tuple[int, int, int]]], terms: tuple[pa.Array, pa.Array]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)])
+    flat = np.fromiter(chain.from_iterable(chain.from_iterable(found)), np.int32, 3 * int(ends[-1])).reshape(-1, 3)
+    which = pa.array(flat[:, 2])
+    values = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), terms[0].take(which), terms[1].take(which)], fields=list(_ARROW.value_type))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, type=_ARROW)
 
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        return keyed.mapInArrow(run, f"{kinds}, `{into}` {_FOUND}")
-    return _joined(keyed, unique, into)
 
+#: Bits of the filter that a text's word sequences pass before they meet the terms (8 MB); terms set one each, so ten million set an eighth.
+FILTER_BITS = 1 << 26
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
-def _structs(found: list[list[tuple]]) -> pa.Array:
-    return pa.array([[dict(zip(("start", "size", "term", "value"), f, strict=True)) for f in row] for row in found], _ARROW)
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64 bits of each word, computed once for equal ones."""
+    known = words.dictionary_encode()
+    bits = [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in known.dictionary.to_pylist()]
+    return np.array(bits, np.uint64)[known.indices.to_numpy()]
 
-def _joined(keyed: DataFrame, unique: DataFrame, into: str) -> DataFrame:
-    """The same by a join of the texts' word sequences with the terms; equal texts are searched once."""
-    sizes = sorted(r.n for r in unique.select(F.size(F.split("term", " ")).alias("n")).distinct().collect())  # sizes of terms: few
-    texts = keyed.select(F.sha2("_words", 256).alias("_text"), "_words").dropDuplicates(["_text"]).select("_text", F.split("_words", " ").alias("w"))
 
-    def sequences(n: int) -> Column:
-        starts = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.cast("int").alias("start"), F.lit(n).alias("size"), _key(F.slice("w", i + 1, n)).alias("term")))
+def _bits(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """The filter's bit of each sequence of n words from starts on."""
+    mixed = np.zeros(len(starts), np.uint64)
+    for k in range(n):
+        mixed = (mixed ^ hashes[starts + k]) * _MIX
+        mixed ^= mixed >> np.uint64(29)
+    return (mixed % np.uint64(FILTER_BITS)).astype(np.int64)
 
-    cut = texts.select("_text", F.explode(F.flatten(F.array(*[sequences(n) for n in sizes]))).alias("x")).select("_text", "x.*")
-    met = cut.join(unique, "term").groupBy("_text").agg(F.collect_list(F.struct("start", "size", "term", "value")).alias(into))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for row in batch.column(1).to_pylist():
-                kept = leftmost_longest([(x["start"], x["size"], i) for i, x in enumerate(row)])
-                found.append([(start, n, row[i]["term"], row[i]["value"]) for start, n, i in kept])
-            yield pa.RecordBatch.from_arrays([batch.column(0), _structs(found)], names=["_text", into])
+def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(ends of the texts' words, each word's text, words) of texts that are words with single spaces; an empty text is one empty word."""
+    lists = pc.split_pattern(texts, " ")
+    words = lists.flatten()
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return np.cumsum(counts), np.repeat(np.arange(len(texts)), counts), words
 
-    kept = met.mapInArrow(run, f"_text string, `{into}` {_FOUND}")
-    out = keyed.withColumn("_text", F.sha2("_words", 256)).join(kept, "_text", "left")
-    return out.withColumn(into, F.coalesce(into, F.array().cast(_FOUND))).drop("_text", "_words")
+
+def _filter_of(terms: DataFrame) -> tuple[list[int], np.ndarray]:
+    """(the terms' sizes, the filter's bits as bytes): of fixed size, set by the partitions' distinct bits."""
+
+    @F.arrow_udf("bigint")
+    def bit(texts: pa.Array) -> pa.Array:
+        ends, _, words = _cut(texts)
+        counts = np.diff(np.concatenate(([0], ends)))
+        hashes, out = _hashes(words), np.zeros(len(texts), np.int64)
+        for n in np.unique(counts).tolist():
+            at = np.flatnonzero(counts == n)
+            out[at] = _bits(hashes, ends[at] - n, n)
+        return pa.array(out)
+
+    sizes = sorted(r.n for r in terms.select(F.size(F.split("term", " ")).alias("n")).distinct().collect())  # sizes of terms: few
+    words = terms.select(bit("term").alias("bit")).select(F.expr("bit div 32768").alias("word"), (F.col("bit") % 32768).alias("at"))
+    set_ = np.zeros(FILTER_BITS, bool)
+    for r in words.groupBy("word").agg(F.collect_set(F.col("at").cast("int")).alias("at")).toLocalIterator():  # at most 2048 rows
+        set_[r.word * 32768 + np.array(r["at"])] = True
+    return sizes, np.packbits(set_, bitorder="little")
+
+
+def _joined(rows: DataFrame, unique: DataFrame, text: str, into: str) -> DataFrame:
+    """The same by a join of the texts' word sequences with the terms; equal texts are searched once.
+
+    Sequences that no term's bit in a filter of fixed size fits are left out where texts are read; the join decides on all others.
+    """
+    sizes, packed = _filter_of(unique)
+    shared = rows.sparkSession.sparkContext.broadcast(packed)
+
+    @F.arrow_udf("array<struct<start: int, size: int, term: string>>")
+    def likely(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("term", pa.string())]))
+        parts = [_likely(texts.slice(i, SLICE), sizes, shared.value, kind) for i in range(0, len(texts), SLICE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    marked = rows.withColumn("_text", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)))
+    cut = marked.select("_text", likely(_key(F.col(text))).alias("x")).where(F.size("x") > 0).dropDuplicates(["_text"])
+    met = cut.select("_text", F.explode("x").alias("x")).select("_text", "x.*").join(unique, "term").groupBy("_text").agg(F.collect_list(F.struct("start", "size", "term", "value")).alias("_met"))
+
+    @F.arrow_udf(_FOUND)
+    def kept(column: pa.Array) -> pa.Array:
+        parts = []
+        for i in range(0, len(column), SLICE):
+            lists = column.slice(i, SLICE)
+            flat = lists.flatten()
+            start, size = flat.field("start").to_numpy(), flat.field("size").to_numpy()
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+            found = [leftmost_longest(list(zip(start[a:b].tolist(), size[a:b].tolist(), range(a, b), strict=True))) for a, b in pairwise([0, *ends.tolist()])]
+            parts.append(_structs(found, (flat.field("term"), flat.field("value"))))
+        return pa.concat_arrays(parts) if parts else pa.array([], _ARROW)
+
+    out = marked.join(met.select("_text", kept("_met").alias(into)), "_text", "left")
+    return out.withColumn(into, F.coalesce(into, F.array().cast(_FOUND))).select(*rows.columns, into)
+
+
+def _likely(texts: pa.Array, sizes: list[int], packed: np.ndarray, kind: pa.DataType) -> pa.Array:
+    ends, owner, words = _cut(texts)
+    hashes, first = _hashes(words), np.concatenate(([0], ends))
+    at, size, terms = [], [], []
+    for n in sizes:
+        starts = np.flatnonzero(np.arange(len(words)) + n <= ends[owner])
+        bits = _bits(hashes, starts, n)
+        starts = starts[(packed[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1]
+        at.append(starts)
+        size.append(np.full(len(starts), n))
+        terms.append(pc.binary_join_element_wise(*[words.take(pa.array(starts + k)) for k in range(n)], " "))
+    if not sizes:
+        return pa.array([[]] * len(texts), kind)
+    where = np.concatenate(at)
+    order = np.argsort(where, kind="stable")
+    where = where[order]
+    per_text = np.bincount(owner[where], minlength=len(texts))
+    values = pa.StructArray.from_arrays([pa.array((where - first[owner[where]]).astype(np.int32)), pa.array(np.concatenate(size)[order].astype(np.int32)), pa.concat_arrays(terms).take(pa.array(order))], fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per_text))), pa.int32()), values, type=kind)
 
 
 def rewrite_terms(rows: DataFrame, terms: DataFrame, text: str = "text", into: str = "rewritten", **limits: int) -> DataFrame:
@@ -143,6 +244,11 @@ def rewrite_terms(rows: DataFrame, terms: DataFrame, text: str = "text", into: s
 
 def counted_by_value(found: Column) -> Column:
     """map of a value (the list that a term belongs to) to the number of its distinct terms in a text."""
-    values = F.array_distinct(F.transform(F.filter(found, lambda x: x["value"].isNotNull()), lambda x: x["value"]))
-    terms = lambda v: F.array_distinct(F.transform(F.filter(found, lambda x: x["value"] == v), lambda x: x["term"]))
-    return F.map_from_entries(F.transform(values, lambda v: F.struct(v, F.size(terms(v)))))
+    pairs = F.transform(F.filter(found, lambda x: x["value"].isNotNull()), lambda x: F.struct(x["value"].alias("value"), x["term"].alias("term")))
+    distinct = lambda s: F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1)))
+
+    def counted(rows: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(rows)), lambda i: (i < F.size(rows)) & ((i == 0) | (F.get(rows, i)["value"] != F.get(rows, i - 1)["value"])))
+        return let(starts, lambda at: F.map_from_entries(F.transform(at, lambda i, k: F.struct(F.get(rows, i)["value"], F.coalesce(F.get(at, k + 1), F.size(rows)) - i))))
+
+    return let(F.array_sort(pairs), lambda s: let(distinct(s), counted))

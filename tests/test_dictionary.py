@@ -6,6 +6,8 @@ import hashlib
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -96,3 +98,33 @@ def test_rewritten_documents_replayed(spark):
     want = {i: plain_rewrite(t, terms) for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()}
     got = {r.doc_id: (r.digest, r.chars) for r in dictionaries.dictionary_rewritten(spark, SF).collect()}
     assert got == {i: (t and hashlib.md5(t.encode()).hexdigest(), t and len(t)) if t is not None else (None, None) for i, t in want.items()}
+
+
+def test_a_text_key_is_its_words_with_single_spaces(spark):
+    texts = ["ΟΔΟΣ, ΑΣ. Σ", "İstanbul--İ 5٣", " ,;", "", None, "𝔘nd 😀 x́y", "ﬁn ß ẞ Ǆ", "A\tb\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(r.a == r.b for r in df.select(D._key(F.col("t")).alias("a"), F.array_join(D.words_of(F.col("t")), " ").alias("b")).collect())
+
+
+def test_join_meets_only_likely_sequences(spark):
+    """Of 60,000 word sequences those few reach the join that a term's bit lets through, and all real ones do."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(300)]
+    terms = [t.split()[5] + " " + t.split()[6] for t in texts[:50]] + ["none at all"]
+    table = spark.createDataFrame([(t, "v") for t in terms], "term string, value string")
+    sizes, packed = D._filter_of(table)
+    assert sizes == [2, 3] and 0 < int(np.unpackbits(packed).sum()) <= 51
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("term", pa.string())]))
+    likely = D._likely(pa.array(texts), sizes, packed, kind).to_pylist()
+    assert {x["term"] for row in likely for x in row} >= set(terms[:-1]) and sum(map(len, likely)) < 100
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    found = {r.id: [tuple(f) for f in r.found] for r in D.find_terms(rows, table, most_terms=0).collect()}
+    assert found == {i: plain_places(t, dict.fromkeys(terms, "v")) for i, t in enumerate(texts)}
+
+
+def test_places_are_listed_by_slices():
+    """A worker holds the places of a slice of texts as Python objects, not those of a batch."""
+    seen = []
+    search = lambda part: (seen.append(len(part)), [[(0, 1, 0)]] * len(part))[1]
+    out = D._in_slices(search, pa.array(["a"] * 1000), D._columns([("a", None)]))
+    assert len(out) == 1000 and max(seen) <= D.SLICE and out[999].as_py() == [{"start": 0, "size": 1, "term": "a", "value": None}]
