@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import is_incomplete, word_count
+from newsloom.functions.text import fewer_words, is_incomplete
 from newsloom.functions.tokens import magnitude, toll
 from newsloom.functions.urls import host_in
 from newsloom.operators.rules import Rule, count_terms, first_reason, has
@@ -107,10 +107,10 @@ def post_problem(title: Column, sentences: Column) -> Column:
     """The first reason for which a post's text is refused."""
     body = F.array_join(sentences, " ")
     return first_reason([
-        Rule("title_short", word_count(title) < 4),
+        Rule("title_short", fewer_words(title, 4)),
         Rule("unexplained_acronym", title.rlike(r"(^|[^A-Za-z])[A-Z]{5,}([^A-Za-z]|$)") & ~body.rlike(r"\([A-Z]{5,}\)")),
-        Rule("body_short", (F.length(body) < 70) | (word_count(body) < 12)),
-        Rule("lead_short", word_count(F.coalesce(F.get(sentences, 0), F.lit(""))) < 6),
+        Rule("body_short", (F.length(body) < 70) | fewer_words(body, 12)),
+        Rule("lead_short", fewer_words(F.coalesce(F.get(sentences, 0), F.lit("")), 6)),
         Rule("noise", noise(title).isNotNull()),
         Rule("incomplete", is_incomplete(body)),
     ])
@@ -127,8 +127,9 @@ def old_event(title: Column, body: Column, year: Column, back: int = 2) -> Colum
 def small_event(title: Column, body: Column) -> Column:
     """A weak earthquake without damage, or a road crash of few victims."""
     both = F.lower(F.concat_ws(" ", title, body))
-    quake = has(both, ["earthquake", "quake"]) & (F.coalesce(magnitude(both), F.lit(0.0)) < 4.5) & ~has(both, ["damage", "damaged", "killed", "injured"])
-    crash = has(both, ["crash", "collision"]) & has(both, ["road", "bus", "highway"]) & (F.coalesce(toll(both), F.lit(0)) < 5)
+    # Branches, so that numbers are looked for only in texts that speak of such an event.
+    quake = F.when(has(both, ["earthquake", "quake"]), (F.coalesce(magnitude(both), F.lit(0.0)) < 4.5) & ~has(both, ["damage", "damaged", "killed", "injured"]))
+    crash = F.when(has(both, ["crash", "collision"]), F.when(has(both, ["road", "bus", "highway"]), F.coalesce(toll(both), F.lit(0)) < 5))
     return F.when(quake, "small_quake").when(crash, "small_crash")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,8 +17,15 @@ def any_of(terms: Sequence[str], whole_words: bool = True) -> str:
     return rf"(^|[^a-z0-9])({body})([^a-z0-9]|$)" if whole_words else f"({body})"
 
 
+# Signs of expressions, which terms may be, and how many terms are looked for as plain text first.
+SIGNS, MOST_LOOKED_FOR = set("\\.^$*+?{}[]|()"), 16
+
+
 def has(text: Column, terms: Sequence[str], whole_words: bool = True) -> Column:
-    return text.rlike(any_of(terms, whole_words))
+    found = text.rlike(any_of(terms, whole_words))
+    if not terms or len(terms) > MOST_LOOKED_FOR or any(SIGNS & set(t) for t in terms):
+        return found
+    return reduce(or_, [F.contains(text, F.lit(t.lower())) for t in terms]) & found  # most texts hold none, which is seen faster so
 
 
 def count_terms(text: Column, terms: Sequence[str]) -> Column:

@@ -94,3 +94,26 @@ def test_guides_have_room_for_five_sentences(spark):
     five = "One line here. " * 4 + "It began in 1999."
     assert problems(five) == [] and problems("One line here. " * 5 + "End.") == ["too_many_sentences"]
     assert problems("x" * 901) == ["too_long"] and problems("It began in 2001.") == ["new_number"]
+
+
+def test_ends_and_first_words_are_told_without_the_whole_text(spark):
+    """The gates' word counts and ends equal those over whole texts, and a small event's numbers are looked for in few texts."""
+    from newsloom.functions import text as T
+    from newsloom.operators import gates as G
+    from newsloom.operators import rules
+
+    texts = ["", " ", "a", "a b", " a  b ", "one\tand", "x and\n", "x and", "so on...\r\n", "so on…", "a,\n", "a,\n\n", "x of \n", "and", "a b c d e f g h i j k l", " a b c d e f g h i j k", " a b", "a:", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    trimmed = F.trim(F.coalesce(t, F.lit("")))
+    dangling = F.lower(F.element_at(F.split(trimmed, r"\s+"), -1)).isin("and", "or", "of", "the", "with", "to", "و", "که", "از", "با", "به", "در")
+    whole = (trimmed == "") | trimmed.rlike(r"(…|\.\.\.|[,،:؛])$") | dangling
+    rows = df.select(T.is_incomplete(t).alias("a"), whole.alias("b"), *[(T.fewer_words(t, n) == (T.word_count(t) < n)).alias(f"w{n}") for n in (1, 2, 4, 6, 12)]).collect()
+    for text, r in zip(texts, rows, strict=True):
+        assert r.a == r.b and (text is None or all(r[2:])), text
+    said = spark.createDataFrame([("a quake of 4.1",), ("quakes",), (None,), ("QUAKE",), ("re.d",), ("red",)], "t string")
+    assert [r[0] for r in said.select(rules.has(t, ["quake", "earthquake"])).collect()] == [True, False, None, False, False, False]
+    assert [r[0] for r in said.select(rules.has(t, ["re.d", "r.d"])).collect()] == [False, False, None, False, True, True]
+    events = [("M 4.1 earthquake", "", "small_quake"), ("Magnitude 5 quake", "", None), ("Quake", "houses damaged", None), ("Bus crash", "2 killed on a road", "small_crash"), ("Bus crash", "12 killed", None), ("Crash", "of prices", None), (None, None, None)]
+    df = spark.createDataFrame([e[:2] for e in events], "t string, b string")
+    assert [r[0] for r in df.select(G.small_event(t, F.col("b"))).collect()] == [e[2] for e in events]
