@@ -182,7 +182,7 @@ def _joined(rows: DataFrame, unique: DataFrame, text: str, into: str) -> DataFra
         return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     marked = rows.withColumn("_text", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)))
-    cut = marked.select("_text", likely(_key(F.col(text))).alias("x")).where(F.size("x") > 0).dropDuplicates(["_text"])
+    cut = marked.select("_text", likely(_key(F.col(text))).alias("x")).dropDuplicates(["_text"])
     met = cut.select("_text", F.explode("x").alias("x")).select("_text", "x.*").join(unique, "term").groupBy("_text").agg(F.collect_list(F.struct("start", "size", "term", "value")).alias("_met"))
 
     @F.arrow_udf(_FOUND)
