@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.runtime import broadcast_if_small, checkpointed, lower_ascii, shared_folder, stored
+from newsloom.llm.runtime import broadcast_if_small, checkpointed, lower_ascii, maybe_ids, shared_folder, stored
 
 #: Characters of the prefix that the second refinement hashes.
 PREFIX = 256
-#: Groups up to this many are broadcast (under 40 bytes each); more are joined by a shuffle, hot groups split by Spark.
-BROADCAST_GROUPS = 500_000
-#: Ids of survivors up to this many (8 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Groups up to this many are broadcast (some 100 bytes each of the driver's memory); more are joined by a shuffle, hot groups split by Spark.
+BROADCAST_GROUPS = 200_000
+#: Ids of survivors up to this many are broadcast to pick their texts; more are joined by a shuffle, behind a filter.
+BROADCAST_IDS = 200_000
 
 
 def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", digest_all: bool = False) -> DataFrame:
@@ -43,7 +43,8 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     if not digest_all:
         ids = checkpointed(alive.select(F.col("id").alias("alive_id")).distinct())
         named = broadcast_if_small(ids, BROADCAST_IDS)
-        alive = stored(rows.join(named, rows.id.eqNullSafe(F.col("alive_id")), "left_semi").select("id", length, digest))
+        texts = rows if named is not ids else maybe_ids(rows, ids.withColumnRenamed("alive_id", "id"), "id").where("_maybe")
+        alive = stored(texts.join(named, texts.id.eqNullSafe(F.col("alive_id")), "left_semi").select("id", length, digest))
         every = alive.union(every.join(named, every.id.eqNullSafe(F.col("alive_id")), "left_anti"))
     groups = alive.groupBy("length", "sha").agg(F.max("id").alias("keep"), F.count("*").alias("n")).where("n > 1")
     groups = checkpointed(groups.select(F.col("length").alias("g_length"), F.col("sha").alias("g_sha"), "keep", "n"))

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.runtime import broadcast_if_small, checkpointed, lean, shuffle_partitions, stored, workers_import
+from newsloom.llm.runtime import broadcast_if_small, checkpointed, lean, only_ids, shuffle_partitions, stored, workers_import
 from newsloom.llm.shingles import MinHash, shingle_sets
 from newsloom.llm.textbytes import mix
 from newsloom.operators.components import components
@@ -38,8 +38,8 @@ SKETCH_BOUND = 147
 #: Members of a block inside a large band; documents whose sets meet in one confirming group, on average.
 BLOCK = 512
 SET_BLOCK = 4096
-#: Ids up to this many are broadcast (8 bytes each) to pick their texts; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Keys of large bands or groups up to this many are broadcast; above, all rows are shuffled by their key.
+BROADCAST_KEYS = 200_000
 #: Asking documents of one confirming group, on average; counters of the frequency sketch (8 bytes each).
 ASKS, COUNTERS = 8192, 1 << 18
 
@@ -209,7 +209,7 @@ def _confirm_block(percent: int):
 
 def _set_table(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(id, items): the full sets of the documents in ids."""
-    wanted = texts.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    wanted = only_ids(texts, ids, "id").groupBy("id").agg(F.min("text").alias("text"))
     return stored(wanted.mapInArrow(lean(_sets(size)), "id long, items binary"))
 
 
@@ -230,9 +230,9 @@ def _confirm(asks: DataFrame, ids: DataFrame, texts: DataFrame, home: Column, si
 
 def _met(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """rows with the columns of keys (key, m and more). Rows of keys with more than BLOCK members meet them by a broadcast, where
-    they lie, and only the others are shuffled by their key; above BROADCAST_IDS such keys, all are."""
+    they lie, and only the others are shuffled by their key; above BROADCAST_KEYS such keys, all are."""
     hot = keys.where(F.col("m") > BLOCK)
-    if not 0 < hot.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+    if not 0 < hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         return rows.join(keys, "key")
     few = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(keys.where(F.col("m") <= BLOCK), "key")
     return rows.join(F.broadcast(hot), "key").unionByName(few)
@@ -293,8 +293,8 @@ def _links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
         crowd = checkpointed(_met(members.drop("m"), crowds).select("id").distinct())
         sets = _set_table(crowd, texts, size)
         frequency = np.zeros(COUNTERS, np.int64)
-        for r in sets.mapInArrow(lean(_tally), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-            frequency[r.slot] = r.n
+        counts = sets.mapInArrow(lean(_tally), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+        frequency[counts["slot"].to_numpy()] = counts["n"].to_numpy()
         spark = texts.sparkSession
         rare = stored(named(sets.mapInArrow(lean(_rarest(spark.sparkContext.broadcast(frequency), percent)), "id long, key long")))
         shared = rare.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
